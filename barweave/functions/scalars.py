@@ -20,7 +20,9 @@ def safe_ratio(n, d) -> Column:
 
 
 def clip(x, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), as_col(x)))
+    """x held inside [lo, hi]; null stays null (`greatest` and `least` alone would skip it)."""
+    x = as_col(x)
+    return F.when(x.isNotNull(), F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), x)))
 
 
 def log1p_pos(x) -> Column:
