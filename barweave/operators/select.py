@@ -1,15 +1,29 @@
-"""Candidate selection: filters, ranks inside time buckets, caps and cooldowns."""
+"""Candidate selection: filters, ranks inside time buckets, caps and cooldowns.
+
+A time bucket or a symbol may hold a large part of all rows. So ranks that are cut at k use a rank
+filter, which Spark also applies before the shuffle; full ranks use the ordered prefix; bucket
+statistics are aggregates joined back, not windows.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import as_col
-from . import prefix
+from ..functions.scalars import MS_PER_MINUTE, floor_div
+from ..sources.candidates import PRE_FILTER_STAGE
+from . import prefix, quantiles
 
 # Order inside a bucket; row_id makes it total.
 SCORE_ORDER = ["trade_score", "hybrid_score"]
+BLEND = {
+    "calibrated_probability": 0.35,
+    "calibrated_predicted_return": 0.25,
+    "predicted_net_return": 0.25,
+    "expected_value": 0.15,
+}
 
 
 def score_order(df: DataFrame, score: str) -> list[Column]:
@@ -17,21 +31,297 @@ def score_order(df: DataFrame, score: str) -> list[Column]:
     return [F.desc(c) for c in names] + [F.col("symbol"), F.col("row_id")]
 
 
+def signals(df: DataFrame, score: str, threshold: float) -> DataFrame:
+    return df.filter(F.col(score) >= threshold)
+
+
+def rank_in_bucket(df: DataFrame, bucket: list[str], order: list[Column], rank: str, total: str) -> DataFrame:
+    """Full rank and row count per bucket."""
+    return prefix.ordered(df, bucket, order, rank=rank, total=total)
+
+
 def topk(
     df: DataFrame,
     k: int,
     bucket: list[str],
     order: list[Column],
     per_symbol: int = 0,
+    unique_first: bool = False,
     rank: str = "rank_in_bucket",
 ) -> DataFrame:
-    """Best k rows per bucket, at most `per_symbol` of a symbol, lower ranks moving up.
+    """Best k rows per bucket. `per_symbol` limits a symbol, lower ranks move up; `unique_first` takes a
+    symbol's second row only when the bucket has no further symbol."""
+    if per_symbol or unique_first:
+        mine = F.row_number().over(Window.partitionBy(*bucket, "symbol").orderBy(*order))
+        # With unique_first a symbol's rows beyond its k-th can never be among the best k.
+        df = df.withColumn("_mine", mine).filter(F.col("_mine") <= (per_symbol or k))
+    final = [F.col("_mine"), *order] if unique_first else order
+    place = F.row_number().over(Window.partitionBy(*bucket).orderBy(*final))
+    return df.withColumn(rank, place).filter(F.col(rank) <= k).drop("_mine")
+
+
+def top_percent(df: DataFrame, share: float, bucket: list[str], order: list[Column], rank: str = "rank_in_bucket") -> DataFrame:
+    """The first ceil(share * rows) rows of each bucket."""
+    ranked = rank_in_bucket(df, bucket, order, rank, "_rows")
+    return ranked.filter(F.col(rank) <= F.ceil(F.col("_rows") * share)).drop("_rows")
+
+
+def top_utility(df: DataFrame, score: str, floor: float, k: int, bucket: list[str]) -> DataFrame:
+    """Best k rows per bucket among those whose selection score is present and above the floor."""
+    return topk(df.filter(F.col(score) > floor), k, bucket, score_order(df, score))
+
+
+def market_filter(df: DataFrame, mode: str, breadth: float = 0.5, leader: str = "btc") -> DataFrame:
+    """Adds `market_blocked`. 'btc_or_market_positive' takes the leader's 240-row return (form inferred)."""
+    market = F.col("market_average_return_60m") > 0
+    if mode == "market_positive":
+        passed = market
+    elif mode == "btc_or_market_positive":
+        passed = market | (F.col(f"{leader}_return_240m") > 0)
+    elif mode == "breadth":
+        passed = F.col("market_breadth_up_60m") >= breadth
+    else:
+        raise ValueError(f"unknown market filter {mode}")
+    return df.withColumn("market_blocked", ~passed)
+
+
+def symbol_scores(
+    validation: DataFrame, net: Column, executed: Column, shrink: float = 0.0, candidate_weight: float = 0.5, executed_weight: float = 0.5
+) -> DataFrame:
+    """Per symbol: candidate and executed quality (mean net return), their blend, and the blend shrunk to the
+    mean quality of all candidates. A row that was executed supports its symbol once."""
+    rows = validation.select("symbol", "trade_day", net.alias("net"), executed.alias("ex"))
+    per = rows.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("candidates"),
+        F.count_if("ex").alias("executed"),
+        F.avg("net").alias("candidate_quality"),
+        F.avg(F.when(F.col("ex"), F.col("net"))).alias("executed_quality"),
+        F.sum("net").alias("total_net"),
+        F.countDistinct(F.when(F.col("ex"), F.col("trade_day"))).alias("active_days"),
+    )
+    whole = rows.agg(F.avg("net").alias("_global"), F.count_if("ex").alias("_executed"))
+    joined = per.crossJoin(F.broadcast(whole))  # one row
+    c, e = F.col("candidate_quality"), F.coalesce("executed_quality", "candidate_quality")
+    blended = (candidate_weight * c + executed_weight * e) / (candidate_weight + executed_weight)
+    n = F.col("candidates")
+    score = (n * blended + shrink * F.col("_global")) / (n + shrink)
+    share = F.when(F.col("_executed") > 0, F.col("executed") / F.col("_executed")).otherwise(0.0)
+    return joined.withColumn("symbol_score", score).withColumn("executed_share", share).drop("_global", "_executed")
+
 
-    A rank filter of this form is applied by Spark before the shuffle too, so a hot bucket sends at
-    most k rows per input task (and symbol).
+def symbol_filter(scores: DataFrame, min_rows: int, min_score: float = 0.0, max_share: float = 1.0, min_days: int = 0) -> DataFrame:
+    """Adds `reason` ('' for a kept symbol). A symbol with a large share of the executed rows needs active days."""
+    reason = (
+        F.when(F.col("candidates") < min_rows, "too_few_rows")
+        .when((F.col("executed_share") > max_share) & (F.col("active_days") < min_days), "dominance_support_floor")
+        .when(F.col("symbol_score") <= min_score, "negative_score")
+        .otherwise("")
+    )
+    return scores.withColumn("reason", reason)
+
+
+def keep_symbols(df: DataFrame, filtered: DataFrame) -> DataFrame:
+    return df.join(filtered.filter(F.col("reason") == "").select("symbol"), "symbol", "left_semi")
+
+
+def dominance_penalty(df: DataFrame, validation: DataFrame, score: str, weight: float, grace: float = 0.0) -> DataFrame:
+    """Adds penalised_score: score - weight * max(0, validation share of the symbol - grace)."""
+    total = validation.agg(F.count(F.lit(1)).alias("_total"))
+    shares = (
+        validation.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n")).crossJoin(F.broadcast(total))  # one row
+        .select("symbol", (F.col("_n") / F.col("_total")).alias("validation_share"))
+    )
+    over = F.greatest(F.lit(0.0), F.coalesce("validation_share", F.lit(0.0)) - grace)
+    return df.join(shares, "symbol", "left").withColumn("penalised_score", F.col(score) - weight * over)
+
+
+def first_n(df: DataFrame, keys: list[str], n: int, order: tuple[str, ...] = ("open_time", "row_id")) -> DataFrame:
+    """First n entries in time per day, fold, or (symbol, period)."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_place", place).filter(F.col("_place") <= n).drop("_place")
+
+
+def period(minutes: int) -> Column:
+    return floor_div("open_time", minutes * MS_PER_MINUTE)
+
+
+def streak_cap(df: DataFrame, n: int, order: tuple[str, ...] = ("open_time", "row_id")) -> DataFrame:
+    """At most the first n rows of every run of one symbol in time order.
+
+    A run keeps (rank over all rows - rank within the symbol) constant.
     """
-    if per_symbol:
-        mine = F.row_number().over(Window.partitionBy(*bucket, "symbol").orderBy(*order))
-        df = df.withColumn("_mine", mine).filter(F.col("_mine") <= per_symbol).drop("_mine")
-    place = F.row_number().over(Window.partitionBy(*bucket).orderBy(*order))
-    return df.withColumn(rank, place).filter(F.col(rank) <= k)
+    ranked = prefix.ordered(df, [], list(order), rank="_all")
+    ranked = prefix.ordered(ranked, ["symbol"], ["_all"], rank="_own")
+    run = Window.partitionBy("symbol", F.col("_all") - F.col("_own")).orderBy("_all")
+    return ranked.withColumn("_place", F.row_number().over(run)).filter(F.col("_place") <= n).drop("_place", "_all", "_own")
+
+
+def cooldown(df: DataFrame, minutes: int, keys: tuple[str, ...] = ("fold", "symbol")) -> DataFrame:
+    """Entries kept when the symbol's last kept entry is at least `minutes` minutes back.
+
+    Only the first row of a minute can be kept, so each key is reduced to its distinct minutes first:
+    a group holds at most the minutes of one fold, however many rows the symbol has.
+    """
+    tagged = df.withColumn("_minute", floor_div("open_time", MS_PER_MINUTE))
+    if minutes <= 0:
+        return df
+    first = tagged.groupBy(*keys, "_minute").agg(F.min(F.struct("open_time", "row_id")).alias("_first"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in first.select(*keys, "_minute").schema.fields)
+
+    def accept(pdf: pd.DataFrame) -> pd.DataFrame:
+        times = np.sort(pdf["_minute"].to_numpy())
+        kept, i = [], 0
+        while i < len(times):
+            kept.append(times[i])
+            i = int(np.searchsorted(times, times[i] + minutes))
+        out = pdf.iloc[: len(kept)][[*keys]].copy()
+        out["_minute"] = kept
+        return out
+
+    accepted = first.select(*keys, "_minute").groupBy(*keys).applyInPandas(accept, schema)
+    ids = first.join(accepted, [*keys, "_minute"]).select(*keys, "_minute", F.col("_first.row_id").alias("row_id"))
+    return tagged.join(ids, [*keys, "_minute", "row_id"], "left_semi").drop("_minute")
+
+
+def zscore(df: DataFrame, columns: dict[str, str], bucket: list[str]) -> DataFrame:
+    """Adds z-scores within the bucket; 0 for one row or no spread. Aggregates joined back, so a hot bucket splits."""
+    aggs = []
+    for source, out in columns.items():
+        aggs += [F.avg(source).alias(f"_m_{out}"), F.stddev_pop(source).alias(f"_s_{out}")]
+    joined = df.join(df.groupBy(*bucket).agg(*aggs), bucket)
+    cols = {
+        out: F.when(F.col(f"_s_{out}") > 1e-12, (F.col(source) - F.col(f"_m_{out}")) / F.col(f"_s_{out}")).otherwise(0.0)
+        for source, out in columns.items()
+    }
+    return joined.withColumns(cols).select(*df.columns, *cols)
+
+
+def pct_rank(df: DataFrame, source: str, out: str, bucket: list[str]) -> DataFrame:
+    """(average 0-based position of equal values) / (rows - 1) within the bucket."""
+    ranks = quantiles.value_ranks(df, bucket, source)
+    share = (F.col("first") + F.col("last")) / 2 / F.greatest(F.col("size") - 1, F.lit(1))
+    return df.join(ranks.select(*bucket, source, share.alias(out)), [*bucket, source])
+
+
+def blend(df: DataFrame, bucket: list[str], weights: dict[str, float] = BLEND, out: str = "blended_score") -> DataFrame:
+    """Weighted sum of the z-scores of several columns within the bucket."""
+    scored = zscore(df, {c: f"_z_{c}" for c in weights}, bucket)
+    total = sum((F.col(f"_z_{c}") * w for c, w in weights.items()), F.lit(0.0))
+    return scored.withColumn(out, total).select(*df.columns, out)
+
+
+def pool(df: DataFrame, score_edge: bool = True, symbol: bool = True) -> DataFrame:
+    """Candidates open for re-selection: pre-filter rows over the threshold with either filter on or off; in a
+    table without pre-filter rows the raw signals; without those the selected rows."""
+    pre = F.coalesce(F.col("candidate_serialization_stage") == PRE_FILTER_STAGE, F.lit(False))
+    facts = df.agg(F.max(pre).alias("_has_pre"), F.max(F.col("raw_signal") == 1).alias("_has_raw"))
+    inside = F.col("selected_by_threshold") == 1
+    if score_edge:
+        inside = inside & (F.col("selected_by_score_edge") == 1)
+    if symbol:
+        inside = inside & (F.col("selected_by_symbol_filter") == 1)
+    chosen = (F.col("predicted") == 1) | (F.col("selected_by_topk") == 1)
+    keep = F.when(F.col("_has_pre"), inside).when(F.col("_has_raw"), F.col("raw_signal") == 1).otherwise(chosen)
+    return df.crossJoin(F.broadcast(facts)).filter(keep).drop("_has_pre", "_has_raw")  # one row
+
+
+def baseline(df: DataFrame, first: str, second: str) -> DataFrame:
+    """Rows with the first flag if any row has it, else rows with the second."""
+    facts = df.agg(F.max(F.col(first) == 1).alias("_any"))
+    keep = F.when(F.col("_any"), F.col(first) == 1).otherwise(F.col(second) == 1)
+    return df.crossJoin(F.broadcast(facts)).filter(keep).drop("_any")  # one row
+
+
+def baseline_selected(df: DataFrame) -> DataFrame:
+    return baseline(df, "selected_by_topk", "predicted")
+
+
+def baseline_executed(df: DataFrame) -> DataFrame:
+    return baseline(df, "predicted", "selected_by_topk")
+
+
+def best_per_day(df: DataFrame) -> DataFrame:
+    """One row per (day, symbol): the best trade score, the earlier row on ties."""
+    place = F.row_number().over(Window.partitionBy("trade_day", "symbol").orderBy(F.desc("trade_score"), "open_time", "row_id"))
+    return df.withColumn("_place", place).filter(F.col("_place") == 1).drop("_place")
+
+
+def share_cap(df: DataFrame, cap: float) -> DataFrame:
+    """At most max(1, floor(rows * cap)) rows per symbol, in time order."""
+    limit = df.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * cap)).alias("_limit"))
+    ranked = prefix.ordered(df, ["symbol"], ["open_time", "row_id"], rank="_place")
+    return ranked.crossJoin(F.broadcast(limit)).filter(F.col("_place") <= F.col("_limit")).drop("_place", "_limit")  # one row
+
+
+def score_scale(df: DataFrame, score: str) -> DataFrame:
+    """One row: the largest of spread, scaled quartile range, a quarter of the median, and 1e-6."""
+    qs = quantiles.exact(df, [], score, {"q1": 0.25, "med": 0.5, "q3": 0.75})
+    sd = df.agg(F.stddev_pop(score).alias("sd"))
+    scale = F.greatest(
+        F.coalesce("sd", F.lit(0.0)), (F.col("q3") - F.col("q1")) / 1.349, F.abs("med") * 0.25, F.lit(1e-6)
+    )
+    return qs.crossJoin(F.broadcast(sd)).select(scale.alias("scale"))
+
+
+def exposure_penalty(df: DataFrame, score: str, strength: float, k: int, bucket: str = "open_time", per_symbol: int = 1) -> DataFrame:
+    """Top-k after subtracting strength * scale * (the symbol's share of earlier picks).
+
+    Earlier picks are those of the plain top-k run; the reference feeds its own penalised picks back one
+    bucket at a time, which has no parallel form.
+    """
+    picks = topk(df, k, [bucket], score_order(df, score), per_symbol)
+    taken = picks.groupBy(bucket, "symbol").agg(F.count(F.lit(1)).alias("_picks"))
+    cells = df.select(bucket, "symbol").distinct().join(taken, [bucket, "symbol"], "left")
+    cells = cells.withColumn("_picks", F.coalesce("_picks", F.lit(0)))
+    per_sym = prefix.ordered(cells, ["symbol"], [bucket], sums={"_own": F.col("_picks")})
+    per_all = prefix.ordered(
+        cells.groupBy(bucket).agg(F.sum("_picks").alias("_bucket_picks")), [], [bucket], sums={"_all": F.col("_bucket_picks")}
+    )
+    own, whole = F.col("_own") - F.col("_picks"), F.col("_all") - F.col("_bucket_picks")
+    shares = per_sym.join(per_all, bucket).select(
+        bucket, "symbol", F.when(whole > 0, own / whole).otherwise(0.0).alias("earlier_share")
+    )
+    joined = df.join(shares, [bucket, "symbol"]).crossJoin(F.broadcast(score_scale(df, score)))  # one row
+    joined = joined.withColumn("penalised_score", F.col(score) - strength * F.col("scale") * F.col("earlier_share")).drop("scale")
+    return topk(joined, k, [bucket], score_order(joined, "penalised_score"), per_symbol)
+
+
+def fill_sizes(df: DataFrame, rows: DataFrame, capital: float = 10_000.0) -> DataFrame:
+    """`rows` with a missing size set to the median selected size of the source and fold, else of the source,
+    else a tenth of the capital; `size_filled` tells which."""
+    selected = df.filter((F.col("selected_by_topk") == 1) & (F.col("position_size") > 0))
+    by_fold = quantiles.exact(selected, ["source", "fold_id"], "position_size", {"_fold_median": 0.5}).drop("rows")
+    by_source = quantiles.exact(selected, ["source"], "position_size", {"_source_median": 0.5}).drop("rows")
+    joined = rows.join(by_fold, ["source", "fold_id"], "left").join(by_source, "source", "left")
+    missing = F.coalesce(F.col("position_size") <= 0, F.lit(True))
+    filled = F.coalesce("_fold_median", "_source_median", F.lit(capital * 0.1))
+    return (
+        joined.withColumn("size_filled", missing.cast("int"))
+        .withColumn("position_size", F.when(missing, filled).otherwise(F.col("position_size")))
+        .drop("_fold_median", "_source_median")
+    )
+
+
+def annotate(df: DataFrame, score: str, buckets: dict[str, str]) -> DataFrame:
+    """Rank and candidate count per bucket kind, and the first stage that rejected the row."""
+    out = df
+    for kind, column in buckets.items():
+        out = rank_in_bucket(
+            out, [column], score_order(df, score), f"rank_within_{kind}_bucket", f"candidate_count_within_{kind}_bucket"
+        )
+    stage = (
+        F.when(F.col("selected_by_threshold") != 1, "threshold")
+        .when(F.col("selected_by_score_edge") != 1, "score_edge")
+        .when(F.col("selected_by_symbol_filter") != 1, "symbol_filter")
+        .when(F.col("selected_by_topk") != 1, "ranking")
+        .when(F.col("executed") != 1, "execution")
+        .otherwise("")
+    )
+    reason = F.when(stage == "ranking", F.concat(F.lit("rank_above_top_k_"), F.col("configured_top_k"))).otherwise(
+        F.when(stage == "", "").otherwise(F.concat(F.lit("rejected_by_"), stage))
+    )
+    return out.withColumn("rejection_stage", stage).withColumn("rejection_reason", reason)
+
+
+def position_size(capital: float = 10_000.0, fraction: float = 0.1, volume_fraction: float = 0.01) -> Column:
+    return F.least(F.lit(capital * fraction), F.col("quote_volume") * volume_fraction)

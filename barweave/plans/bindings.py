@@ -82,7 +82,7 @@ def with_tables(names: str, sql: str, *more: str) -> str:
         for part in [*NEEDS.get(name, []), name]:
             if CTE[part] not in chain:
                 chain.append(CTE[part])
-    return "WITH " + ",\n".join([*chain, *more]) + "\n" + sql
+    return "WITH RECURSIVE " + ",\n".join([*chain, *more]) + "\n" + sql
 
 
 def r(sql: str, digits: int = 6) -> str:
