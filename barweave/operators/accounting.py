@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.scalars import as_col, num, safe_ratio
 from . import prefix, quantiles
@@ -61,13 +62,21 @@ def sampled_auc(df: DataFrame, score: str, rows: int, order: list[str], label: s
     return auc(ranked.filter(keep), score, label)
 
 
+def _number(df: DataFrame, name: str) -> Column:
+    """The column as a finite double, 0 otherwise; text is parsed, numbers are taken as they are."""
+    if isinstance(df.schema[name].dataType, StringType):
+        return num(name)
+    v = F.col(name).cast("double")
+    return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), 0.0).otherwise(v)
+
+
 def gross_return(df: DataFrame) -> Column:
     """The dynamic exit return if present, else the trade return, else the forward return."""
-    if "dynamic_trade_return" in df.columns:
-        text = F.nullif(F.trim(F.col("dynamic_trade_return").cast("string")), F.lit(""))
-        rest = num("trade_return") if "trade_return" in df.columns else num("forward_return")
-        return F.when(text.isNotNull(), num("dynamic_trade_return")).otherwise(rest)
-    return num("trade_return") if "trade_return" in df.columns else num("forward_return")
+    rest = _number(df, "trade_return" if "trade_return" in df.columns else "forward_return")
+    if "dynamic_trade_return" not in df.columns:
+        return rest
+    given = F.nullif(F.trim(F.col("dynamic_trade_return").cast("string")), F.lit("")).isNotNull()
+    return F.when(given, _number(df, "dynamic_trade_return")).otherwise(rest)
 
 
 def with_returns(df: DataFrame, cost: float = COST, extra: float = 0.0, capital: float = CAPITAL) -> DataFrame:

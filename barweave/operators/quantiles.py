@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from . import prefix
 
 
-def value_ranks(df: DataFrame, keys: list[str], value: str, extra=None) -> DataFrame:
-    """One row per (key, value) with the 0-based rank range [first, last] its rows take, and the key's count."""
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(
-        F.count(F.lit(1)).alias("rows"), *(extra or [])
-    )
+def value_ranks(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """One row per (key, value) with the 0-based rank range [first, last] its rows take, and the key's count.
+
+    `weight` lets a row stand for that many equal rows (0 leaves it out).
+    """
+    size = F.sum(weight) if weight else F.count(F.lit(1))
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(size.alias("rows"))
+    if weight:
+        counted = counted.filter(F.col("rows") > 0)
     return (
         prefix.ordered(
             counted, keys, [F.col(value)], sums={"upto": F.col("rows")}, key_sums={"size": F.col("rows")}
@@ -23,9 +27,11 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, extra=None) -> DataF
     )
 
 
-def exact(df: DataFrame, keys: list[str], value: str, qs: dict[str, float], how: str = "linear") -> DataFrame:
+def exact(
+    df: DataFrame, keys: list[str], value: str, qs: dict[str, float], how: str = "linear", weight: str | None = None
+) -> DataFrame:
     """Quantiles per key: 'linear' interpolates between the two ranks, 'lower' takes the lower one."""
-    ranks = value_ranks(df, keys, value)
+    ranks = value_ranks(df, keys, value, weight)
 
     def at(position):
         inside = (F.col("first") <= position) & (position <= F.col("last"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import MS_PER_DAY, day_of, month_of
 from ..operators import bars as bar_ops
+from ..operators.accounting import with_returns
 from ..sources.candidates import PRE_FILTER_STAGE
 
 HOUR_MS = 3_600_000
@@ -71,8 +72,16 @@ CTE = {
          CAST(selected_by_threshold AND selected_by_score_edge AS INTEGER) AS raw_signal,
          CAST(predicted AS INTEGER) AS executed, position_size, trade_day, 2 AS configured_top_k
   FROM cand)""",
+    "ret": """ret AS (
+  SELECT *, trade_return AS gross, trade_return - 0.0015 AS net, position_size * (trade_return - 0.0015) AS profit,
+         CAST(selected_by_threshold AND selected_by_score_edge AS INTEGER) AS raw_signal, CAST(predicted AS INTEGER) AS executed
+  FROM cand)""",
+    "docs": """docs AS (
+  SELECT l.doc_id, least(n_chars / 20000, 1.0) AS p, sqrt(least(n_chars / 20000, 1.0)) AS p_root, quality AS label,
+         quality - 0.5 AS net, toxic / 2 AS predicted_return
+  FROM labels l JOIN documents d ON d.doc_id = l.doc_id)""",
 }
-NEEDS = {"bars": ["trades"], "art": ["cand"]}
+NEEDS = {"bars": ["trades"], "art": ["cand"], "ret": ["cand"]}
 
 
 def with_tables(names: str, sql: str, *more: str) -> str:
@@ -183,3 +192,20 @@ class Tables:
             F.col("predicted").cast("int").alias("executed"),
             "position_size", "trade_day", F.lit(2).alias("configured_top_k"),
         )
+
+    @cached_property
+    def returns(self) -> DataFrame:
+        """Candidates with gross, net, profit and 0/1 signal flags."""
+        c = with_returns(self.candidates)
+        raw = F.col("selected_by_threshold") & F.col("selected_by_score_edge")
+        return c.withColumn("raw_signal", raw.cast("int")).withColumn("executed", F.col("predicted").cast("int"))
+
+    @cached_property
+    def doc_scores(self) -> DataFrame:
+        """Labelled documents: length as a probability of quality."""
+        docs = self.read("documents").select("doc_id", "n_chars")
+        p = F.least(F.col("n_chars") / 20000, F.lit(1.0))
+        return self.read("labels").join(docs, "doc_id").select(
+            "doc_id", p.alias("p"), F.sqrt(p).alias("p_root"), F.col("quality").alias("label"),
+            (F.col("quality") - 0.5).alias("net"), (F.col("toxic") / 2).alias("predicted_return"),
+        )
