@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MS_PER_MINUTE, safe_ratio
@@ -151,13 +151,13 @@ def symbol_exposure(events: DataFrame) -> DataFrame:
     steps = steps.unionByName(closes)
     timeline = events.select("fold_id", "event_sequence", "equity").join(steps, "event_sequence", "left")
     bucketed = prefix.ranged(timeline, ["fold_id"], ["event_sequence"])
-    cells = bucketed.filter(F.col("symbol").isNotNull()).groupBy("fold_id", prefix.BUCKET, "symbol").agg(F.sum("step").alias("step"))
-    buckets = bucketed.select("fold_id", F.col(prefix.BUCKET).alias("_to")).distinct()
-    carried = (
-        cells.join(buckets, "fold_id").filter(F.col("_to") > F.col(prefix.BUCKET))
-        .groupBy("fold_id", "_to", "symbol").agg(F.sum("step").alias("step"))
-        .select("fold_id", F.col("_to").alias(prefix.BUCKET), F.lit(-1).cast("bigint").alias("event_sequence"),
-                F.lit(None).cast("double").alias("equity"), "symbol", "step")
+    cells = bucketed.filter(F.col("symbol").isNotNull()).groupBy("fold_id", "symbol", prefix.BUCKET).agg(F.sum("step").alias("step"))
+    buckets = bucketed.select("fold_id", prefix.BUCKET).distinct()
+    frame = cells.select("fold_id", "symbol").distinct().join(buckets, "fold_id")  # one row per symbol and bucket
+    before = Window.partitionBy("fold_id", "symbol").orderBy(prefix.BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    carried = frame.join(cells, ["fold_id", "symbol", prefix.BUCKET], "left").withColumn("step", F.sum("step").over(before))
+    carried = carried.filter(F.col("step").isNotNull()).select(
+        "fold_id", prefix.BUCKET, F.lit(-1).cast("bigint").alias("event_sequence"), F.lit(None).cast("double").alias("equity"), "symbol", "step"
     )
 
     def largest(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -165,12 +165,12 @@ def symbol_exposure(events: DataFrame) -> DataFrame:
         heap: list[tuple[float, str]] = []
         worst = 0.0
         for row in pdf.sort_values("event_sequence").itertuples(index=False):
-            if row.symbol is not None:
+            if isinstance(row.symbol, str):
                 held[row.symbol] = max(0.0, held.get(row.symbol, 0.0) + row.step)
                 heapq.heappush(heap, (-held[row.symbol], row.symbol))
             while heap and held[heap[0][1]] != -heap[0][0]:
                 heapq.heappop(heap)
-            if row.equity is not None and row.equity > 0 and heap:
+            if row.equity > 0 and heap:
                 worst = max(worst, -heap[0][0] / row.equity)
         return pd.DataFrame({"fold_id": [pdf["fold_id"].iloc[0]], "share": [worst]})
 

@@ -12,18 +12,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import as_col
-from ..session import checkpoint_ready
+from ..session import stored
 
 BUCKET = "_bucket"
 
 
 def ranged(df: DataFrame, keys: list[str], order: list, partitions: int | None = None) -> DataFrame:
     """Spread the rows over ordered buckets and freeze the bucket number."""
-    spark = df.sparkSession
-    checkpoint_ready(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [F.col(k) for k in keys] + [as_col(o) for o in order]
-    return df.repartitionByRange(n, *by).withColumn(BUCKET, F.spark_partition_id()).checkpoint()
+    return stored(df.repartitionByRange(n, *by).withColumn(BUCKET, F.spark_partition_id()))
 
 
 def scan(

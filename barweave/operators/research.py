@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_ratio
+from ..session import stored
 from . import accounting, prefix, quantiles, reports, select
 from .accounting import CAPITAL, COST
 
@@ -158,7 +159,7 @@ def matrix(df: DataFrame) -> DataFrame:
 def variants(df: DataFrame) -> DataFrame:
     """Rows of the twelve selection variants under `experiment`. Needs the artifact's flags, `trade_score`,
     `row_id` and the columns of the blended score. Trade-share caps act on the picks in time order."""
-    pool = select.pool(df)
+    pool = stored(select.pool(df))  # read by eight of the variants
     bucket = ["open_time"]
 
     def best(rows, score):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import registry
-from . import catalog_bars, catalog_basics, catalog_reports, catalog_select  # noqa: F401
+from . import catalog_bars, catalog_basics, catalog_reports, catalog_research, catalog_select  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

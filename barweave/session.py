@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -47,6 +47,12 @@ def checkpoint_ready(spark: SparkSession) -> None:
     sc.setCheckpointDir(folder)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The frame written once to reliable storage, for results that several later jobs read."""
+    checkpoint_ready(df.sparkSession)
+    return df.checkpoint()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below the checkpoint folder, which every executor can reach."""
     checkpoint_ready(spark)
