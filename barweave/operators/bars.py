@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MS_PER_MINUTE, floor_div, minute, month_of, to_ms  # noqa: F401
@@ -14,9 +14,21 @@ BAR_COLUMNS = [
 ]
 
 
+def trade_order(columns: list[str]) -> Column:
+    """One number to order trades by: time, or time and id packed into a wide decimal.
+
+    A struct would order just as well, but first and last prices could then not be kept in a hash
+    aggregate and every trade would be sorted first.
+    """
+    if len(columns) == 1:
+        return F.col(columns[0])
+    first, second = (F.col(c).cast("decimal(19,0)") for c in columns)
+    return (first * F.lit("1" + "0" * 19).cast("decimal(20,0)")).cast("decimal(38,0)") + second
+
+
 def from_trades(trades: DataFrame, bucket_ms: int = MS_PER_MINUTE, tie: list[str] | None = None) -> DataFrame:
     """One bar per symbol and bucket. Plain aggregates, so a hot symbol is combined before the shuffle."""
-    order = F.struct(*(tie or ["trade_time"]))
+    order = trade_order(tie or ["trade_time"])
     bucket = (F.col("trade_time") - F.pmod("trade_time", F.lit(bucket_ms))).alias("open_time")
     out = trades.groupBy("symbol", bucket).agg(
         F.min_by("price", order).alias("open"),

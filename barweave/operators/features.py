@@ -50,122 +50,155 @@ def series() -> Window:
     return Window.partitionBy(*SERIES).orderBy("open_time")
 
 
-def _ret(k: int, w=None) -> Column:
-    """Close over the close k rows back, minus 1; 0 without that row."""
-    back = F.lag("close", k).over(w or series())
-    return F.coalesce(clip(safe_ratio(F.col("close"), back) - 1, -1, 1), F.lit(0.0))
-
-
-def _spread(sd: Column) -> Column:
-    """Standard deviation with 1 in place of none or almost none."""
-    return F.when(sd.isNull() | (sd < TINY), F.lit(1.0)).otherwise(sd)
-
-
-def _mean(c: str, frame) -> Column:
-    return F.coalesce(F.avg(c).over(frame), F.lit(0.0))
-
-
-def _zscore(c: str, frame) -> Column:
-    return clip((F.col(c) - _mean(c, frame)) / _spread(F.stddev_pop(c).over(frame)), -20, 20)
+def _ret(back: str) -> Column:
+    """Close over an earlier close, minus 1; 0 without that row."""
+    return F.coalesce(clip(safe_ratio(F.col("close"), F.col(back)) - 1, -1, 1), F.lit(0.0))
 
 
 def _taker() -> Column:
     return clip(safe_ratio("taker_buy_base_volume", "volume"), 0, 1)
 
 
-def _change(c: str) -> Column:
-    return safe_ratio(F.col(c), F.lag(c).over(series()) + TINY) - 1
+def _stats(columns: dict[str, str], frame, tag: str = "") -> dict[str, Column]:
+    """Window columns _m<tag>_<name> and _s<tag>_<name>, each computed once: mean (0 without rows) and
+    population deviation (1 without rows or spread)."""
+    out = {}
+    for name, c in columns.items():
+        sd = F.stddev_pop(c).over(frame)
+        out[f"_m{tag}_{name}"] = F.coalesce(F.avg(c).over(frame), F.lit(0.0))
+        out[f"_s{tag}_{name}"] = F.coalesce(sd, F.lit(0.0))
+    return out
 
 
-def sliding_extreme(df: DataFrame, source: str, width: int, out: str, highest: bool) -> DataFrame:
-    """max or min of `source` over the last `width` rows of the series, in constant work per row.
+def _zscore(c: str, name: str, tag: str = "") -> Column:
+    sd = F.when(F.col(f"_s{tag}_{name}") < TINY, 1.0).otherwise(F.col(f"_s{tag}_{name}"))
+    return clip((F.col(c) - F.col(f"_m{tag}_{name}")) / sd, -20, 20)
 
-    Rows are cut into blocks of `width`; the window is the tail of one block and the head of the
-    next, so two running extremes and one lag replace a frame of `width` rows. Needs column `_row`.
+
+def _block_tails(df: DataFrame, width: int) -> DataFrame:
+    """First half of the sliding extremes: `_tail_high` and `_tail_low`.
+
+    The series is cut into blocks of `width` rows counted from its end. The tail of a row is the extreme
+    from the row to the end of its block, as a running extreme in descending order that starts over with
+    each block because the block number leads the compared struct. The columns hold the tail of the row
+    `width - 1` rows back, which in this order is a lead.
     """
-    pick, both = (F.max, F.greatest) if highest else (F.min, F.least)
-    block = F.floor((F.col("_row") - 1) / width)
-    df = df.withColumn("_block", block)
-    head = Window.partitionBy(*SERIES, "_block").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
-    tail = Window.partitionBy(*SERIES, "_block").orderBy(F.desc("_row")).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_tail", pick(source).over(tail)).withColumn("_head", pick(source).over(head))
-    carried = F.lag("_tail", width - 1).over(Window.partitionBy(*SERIES).orderBy("_row"))
-    whole = F.when(F.col("_row") <= width, F.col("_head")).otherwise(both(F.col("_head"), carried))
-    return df.withColumn(out, whole).drop("_block", "_tail", "_head")
+    down = Window.partitionBy(*SERIES).orderBy(F.desc("open_time"))
+    upto = down.rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("_block", F.floor((F.row_number().over(down) - 1) / width))
+    df = df.withColumns(
+        {
+            "_th": F.max(F.struct("_block", F.col("high").alias("v"))).over(upto),
+            "_tl": F.max(F.struct("_block", (-F.col("low")).alias("v"))).over(upto),
+        }
+    )
+    return df.withColumns(
+        {
+            "_tail_high": F.lead("_th.v", width - 1).over(down),
+            "_tail_low": -F.lead("_tl.v", width - 1).over(down),
+        }
+    ).drop("_th", "_tl")
+
+
+def _block_heads() -> dict[str, Column]:
+    """Second half: extremes from the start of the row's block (or, for the first rows, of the series)."""
+    upto = series().rowsBetween(Window.unboundedPreceding, 0)
+    block = -F.col("_block")
+    return {
+        "_head_high": F.max(F.struct(block.alias("b"), F.col("high").alias("v"))).over(upto),
+        "_head_low": F.max(F.struct(block.alias("b"), (-F.col("low")).alias("v"))).over(upto),
+        "_all_high": F.max("high").over(upto),
+        "_all_low": F.min("low").over(upto),
+    }
 
 
 def base(bars: DataFrame, day_rows: int = DAY) -> DataFrame:
-    """The bars with `_row` (1-based row of the series) and the 37 base features."""
+    """The bars with `_row` (1-based row of the series) and the 37 base features.
+
+    One shuffle by series and two sorts of it. Window values are columns of their own, so each is computed
+    once; the features are plain math over them. The day-long extremes take constant work per row: a window
+    of `day_rows` rows is the tail of one block and the head of the next.
+    """
     w = series()
     past = w.rowsBetween(-HOUR, -1)
     recent = w.rowsBetween(-(HOUR - 1), 0)
-    green = F.col("close") >= F.col("open")
-    span = F.greatest(F.lit(0.0), F.col("high") - F.col("low"))
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    green = F.col("close") >= F.col("open")
 
-    df = bars.withColumns(
+    df = _block_tails(bars.withColumn("_tb", _taker()), day_rows)
+    df = df.withColumns(
         {
             "_row": F.row_number().over(w),
-            "_tb": _taker(),
-            "_step": safe_ratio(F.col("close"), F.lag("close").over(w)) - 1,
-            "_dv": _change("volume"),
-            "_dn": _change("trades"),
+            **{f"_c{k}": F.lag("close", k).over(w) for k in (1, 3, 5, 10, 15, 30, 60)},
+            **{f"_l_{c}": F.lag(c).over(w) for c in ("volume", "trades", "_tb")},
+            **_stats({"v": "volume", "n": "trades", "q": "quote_volume", "tb": "_tb"}, past),
+            "_high_hour": F.max("high").over(recent),
+            "_low_hour": F.min("low").over(recent),
+            **_block_heads(),
         }
     )
     df = df.withColumns(
         {
-            **{f"ret_{k}m": _ret(k) for k in (1, 3, 5, 10, 15, 30, 60)},
-            "range_pct": clip(safe_ratio(F.col("high") - F.col("low"), F.col("close")), 0, 2),
-            "candle_return": clip(safe_ratio(F.col("close") - F.col("open"), F.col("open")), -1, 1),
-            "log_volume": log1p_pos("volume"),
-            "log_quote_volume": log1p_pos("quote_volume"),
-            "log_trades": log1p_pos("trades"),
-            "taker_buy_ratio": F.col("_tb"),
-            "volume_change": F.coalesce(clip("_dv", -10, 10), F.lit(0.0)),
-            "rolling_volatility_60m": F.when(
-                F.col("_row") > HOUR, clip(F.stddev_pop("_step").over(recent), 0, 1)
-            ).otherwise(0.0),
-            "rolling_volume_mean_60m": log1p_pos(_mean("volume", past)),
-            "rolling_volume_zscore_60m": _zscore("volume", past),
-            "relative_volume_previous_hour": clip(safe_ratio(F.col("volume"), _mean("volume", past) + TINY), 0, 50),
-            "rolling_trade_count_zscore_60m": _zscore("trades", past),
-            "taker_buy_ratio_change": F.coalesce(clip(F.col("_tb") - F.lag("_tb").over(w), -1, 1), F.lit(0.0)),
-            "taker_buy_imbalance": clip(2 * F.col("_tb") - 1, -1, 1),
-            "distance_from_recent_high_60m": clip(safe_ratio(F.col("close"), F.max("high").over(recent)) - 1, -1, 1),
-            "distance_from_recent_low_60m": clip(safe_ratio(F.col("close"), F.min("low").over(recent)) - 1, -1, 1),
-            "consecutive_green_candles": (
-                F.col("_row") - F.coalesce(F.max(F.when(~green, F.col("_row"))).over(upto), F.lit(0))
-            ).cast("double"),
-            "consecutive_red_candles": (
-                F.col("_row") - F.coalesce(F.max(F.when(green, F.col("_row"))).over(upto), F.lit(0))
-            ).cast("double"),
-            "volume_acceleration": F.coalesce(clip(F.col("_dv") - F.lag("_dv").over(w), -20, 20), F.lit(0.0)),
-            "trade_count_acceleration": F.coalesce(clip(F.col("_dn") - F.lag("_dn").over(w), -20, 20), F.lit(0.0)),
-            "candle_body_range_ratio": clip(safe_ratio(F.abs(F.col("close") - F.col("open")), span), 0, 1),
-            "upper_wick_pct": clip(
-                safe_ratio(F.greatest(F.lit(0.0), F.col("high") - F.greatest("open", "close")), span), 0, 1
-            ),
-            "lower_wick_pct": clip(
-                safe_ratio(F.greatest(F.lit(0.0), F.least("open", "close") - F.col("low")), span), 0, 1
-            ),
-            "rolling_quote_volume_mean_60m": log1p_pos(_mean("quote_volume", past)),
-            "rolling_quote_volume_zscore_60m": _zscore("quote_volume", past),
-            "relative_quote_volume_previous_hour": clip(
-                safe_ratio(F.col("quote_volume"), _mean("quote_volume", past) + TINY), 0, 50
-            ),
-            "taker_buy_ratio_mean_60m": clip(_mean("_tb", past), 0, 1),
-            "taker_buy_ratio_zscore_60m": _zscore("_tb", past),
+            "_step": safe_ratio(F.col("close"), F.col("_c1")) - 1,
+            "_dv": safe_ratio(F.col("volume"), F.col("_l_volume") + TINY) - 1,
+            "_dn": safe_ratio(F.col("trades"), F.col("_l_trades") + TINY) - 1,
         }
     )
-    df = sliding_extreme(df, "high", day_rows, "_high_day", highest=True)
-    df = sliding_extreme(df, "low", day_rows, "_low_day", highest=False)
     df = df.withColumns(
         {
-            "distance_from_high_24h": clip(safe_ratio(F.col("close"), F.col("_high_day")) - 1, -1, 1),
-            "distance_from_low_24h": clip(safe_ratio(F.col("close"), F.col("_low_day")) - 1, -1, 1),
+            "_vol": F.stddev_pop("_step").over(recent),
+            "_ldv": F.lag("_dv").over(w),
+            "_ldn": F.lag("_dn").over(w),
+            "_last_red": F.max(F.when(~green, F.col("_row"))).over(upto),
+            "_last_green": F.max(F.when(green, F.col("_row"))).over(upto),
         }
     )
-    return df.select(*bars.columns, "_row", *BASE)
+    zero = F.lit(0.0)
+    row, span = F.col("_row"), F.greatest(zero, F.col("high") - F.col("low"))
+    short = row <= day_rows
+    day_high = F.when(short, F.col("_all_high")).otherwise(F.greatest(F.col("_head_high.v"), F.col("_tail_high")))
+    day_low = F.when(short, F.col("_all_low")).otherwise(F.least(-F.col("_head_low.v"), F.col("_tail_low")))
+
+    def against(level) -> Column:
+        return clip(safe_ratio(F.col("close"), level) - 1, -1, 1)
+
+    def relative(c: str, name: str) -> Column:
+        return clip(safe_ratio(F.col(c), F.col(f"_m_{name}") + TINY), 0, 50)
+
+    features = {
+        **{f"ret_{k}m": _ret(f"_c{k}") for k in (1, 3, 5, 10, 15, 30, 60)},
+        "range_pct": clip(safe_ratio(F.col("high") - F.col("low"), F.col("close")), 0, 2),
+        "candle_return": clip(safe_ratio(F.col("close") - F.col("open"), F.col("open")), -1, 1),
+        "log_volume": log1p_pos("volume"),
+        "log_quote_volume": log1p_pos("quote_volume"),
+        "log_trades": log1p_pos("trades"),
+        "taker_buy_ratio": F.col("_tb"),
+        "volume_change": F.coalesce(clip("_dv", -10, 10), zero),
+        "rolling_volatility_60m": F.when(row > HOUR, clip("_vol", 0, 1)).otherwise(zero),
+        "rolling_volume_mean_60m": log1p_pos("_m_v"),
+        "rolling_volume_zscore_60m": _zscore("volume", "v"),
+        "relative_volume_previous_hour": relative("volume", "v"),
+        "rolling_trade_count_zscore_60m": _zscore("trades", "n"),
+        "taker_buy_ratio_change": F.coalesce(clip(F.col("_tb") - F.col("_l__tb"), -1, 1), zero),
+        "taker_buy_imbalance": clip(2 * F.col("_tb") - 1, -1, 1),
+        "distance_from_recent_high_60m": against(F.col("_high_hour")),
+        "distance_from_recent_low_60m": against(F.col("_low_hour")),
+        "consecutive_green_candles": (row - F.coalesce("_last_red", F.lit(0))).cast("double"),
+        "consecutive_red_candles": (row - F.coalesce("_last_green", F.lit(0))).cast("double"),
+        "volume_acceleration": F.coalesce(clip(F.col("_dv") - F.col("_ldv"), -20, 20), zero),
+        "trade_count_acceleration": F.coalesce(clip(F.col("_dn") - F.col("_ldn"), -20, 20), zero),
+        "candle_body_range_ratio": clip(safe_ratio(F.abs(F.col("close") - F.col("open")), span), 0, 1),
+        "upper_wick_pct": clip(safe_ratio(F.greatest(zero, F.col("high") - F.greatest("open", "close")), span), 0, 1),
+        "lower_wick_pct": clip(safe_ratio(F.greatest(zero, F.least("open", "close") - F.col("low")), span), 0, 1),
+        "distance_from_high_24h": against(day_high),
+        "distance_from_low_24h": against(day_low),
+        "rolling_quote_volume_mean_60m": log1p_pos("_m_q"),
+        "rolling_quote_volume_zscore_60m": _zscore("quote_volume", "q"),
+        "relative_quote_volume_previous_hour": relative("quote_volume", "q"),
+        "taker_buy_ratio_mean_60m": clip("_m_tb", 0, 1),
+        "taker_buy_ratio_zscore_60m": _zscore("_tb", "tb"),
+    }
+    return df.select(*bars.columns, "_row", *[features[name].alias(name) for name in BASE])
 
 
 def eligible(window: int) -> Column:
@@ -180,24 +213,23 @@ def with_eligibility(df: DataFrame, window: int) -> DataFrame:
 def leader_table(bars: DataFrame, leaders: dict[str, str] = DEFAULT_LEADERS) -> DataFrame:
     """One row per (month, open_time) with the measures of every leader that has a bar there."""
     w = series()
-    rows = bars.filter(F.col("symbol").isin(*leaders.values()))
-    rows = rows.withColumns(
+    lags = (1, 5, 15, 60, 240, 1440)
+    rows = bars.filter(F.col("symbol").isin(*leaders.values())).withColumns(
         {
             "_row": F.row_number().over(w),
-            "_step": safe_ratio(F.col("close"), F.lag("close").over(w)) - 1,
+            **{f"_c{k}": F.lag("close", k).over(w) for k in lags},
+            **_stats({"v": "volume"}, w.rowsBetween(-60, -1), "60"),
+            **_stats({"v": "volume"}, w.rowsBetween(-1440, -1), "1440"),
         }
     )
-
-    def volatility(k):
-        sd = F.stddev_pop("_step").over(w.rowsBetween(-(k - 1), 0))
-        return F.when(F.col("_row") > k, clip(sd, 0, 1)).otherwise(0.0)
-
+    rows = rows.withColumn("_step", safe_ratio(F.col("close"), F.col("_c1")) - 1)
+    rows = rows.withColumns({f"_vol{k}": F.stddev_pop("_step").over(w.rowsBetween(-(k - 1), 0)) for k in (60, 240)})
     rows = rows.select(
         *SERIES,
         "open_time",
-        *[_ret(k).alias(f"return_{k}m") for k in (5, 15, 60, 240, 1440)],
-        *[volatility(k).alias(f"volatility_{k}m") for k in (60, 240)],
-        *[_zscore("volume", w.rowsBetween(-k, -1)).alias(f"volume_zscore_{k}m") for k in (60, 1440)],
+        *[_ret(f"_c{k}").alias(f"return_{k}m") for k in lags[1:]],
+        *[F.when(F.col("_row") > k, clip(f"_vol{k}", 0, 1)).otherwise(0.0).alias(f"volatility_{k}m") for k in (60, 240)],
+        *[_zscore("volume", "v", str(k)).alias(f"volume_zscore_{k}m") for k in (60, 1440)],
     )
     aggs = []
     for alias, symbol in leaders.items():
@@ -245,6 +277,7 @@ def breadth_table(df: DataFrame, min_symbols: int = 5) -> DataFrame:
         F.sum("quote_volume").alias("_qv"),
     )
     past = Window.partitionBy("month").orderBy("open_time").rowsBetween(-HOUR, -1)  # minutes of one month
+    per_time = per_time.withColumns(_stats({"q": "_qv"}, past))
     enough = F.least("_n_5", "_n_15", "_n_60") >= min_symbols
     zero = F.lit(0.0)
 
@@ -257,7 +290,7 @@ def breadth_table(df: DataFrame, min_symbols: int = 5) -> DataFrame:
         *[gated(safe_ratio(F.col(f"_up_{k}"), F.col(f"_n_{k}"))).alias(f"market_breadth_up_{k}m") for k in (5, 15, 60)],
         *[gated(clip(f"_avg_{k}", -1, 1)).alias(f"market_average_return_{k}m") for k in (5, 15, 60)],
         gated(clip("_median", -1, 1)).alias("market_median_return_15m"),
-        gated(_zscore("_qv", past)).alias("market_quote_volume_zscore_60m"),
+        gated(_zscore("_qv", "q")).alias("market_quote_volume_zscore_60m"),
         F.when(enough, 0.0).otherwise(1.0).alias("market_breadth_missing"),
     )
 
