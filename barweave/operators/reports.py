@@ -145,7 +145,7 @@ def exposure(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     sums = per.groupBy(*by).agg(
         F.sum("trade_count").alias("_t"), F.sum("capital").alias("_c"), F.sum(gain).alias("_g"), F.sum("loss").alias("_l")
     )
-    joined = per.join(F.broadcast(sums), by) if by else per.crossJoin(F.broadcast(sums))  # one row per key
+    joined = per.join(sums, by) if by else per.crossJoin(F.broadcast(sums))  # one row without keys
 
     def share(value, total):
         return value / F.when(F.col(total) == 0, F.lit(1.0)).otherwise(F.col(total))

@@ -37,7 +37,7 @@ def payoffs(validation: DataFrame, target: float, stop: float, min_rows: int = 1
 def ev_empirical(df: DataFrame, payoff: DataFrame, p: str, cost: float = COST, keys: list[str] | None = None) -> DataFrame:
     """Adds expected_value and payoff_source from the payoffs of `payoffs` (one row, or one per fold)."""
     small = payoff.select(*(keys or []), "win_return", "loss_return", "payoff_source")
-    joined = df.join(F.broadcast(small), keys) if keys else df.crossJoin(F.broadcast(small))
+    joined = df.join(small, keys) if keys else df.crossJoin(F.broadcast(small))  # one row without keys
     value = F.col(p) * F.col("win_return") + (1 - F.col(p)) * F.col("loss_return") - cost
     return joined.withColumn("expected_value", value).drop("win_return", "loss_return")
 

@@ -239,7 +239,8 @@ def choose_tied(swept: DataFrame, keys: list[str], how: str, tolerance: float =
     best = ok.groupBy(*keys).agg(
         F.max_by(F.struct("threshold_index", "objective", "profit_top1", "trade_top1"), first).alias("_b")
     )
-    near = ok.join(best, keys).filter(
+    both = ok.join(best, keys) if keys else ok.crossJoin(F.broadcast(best))  # one row without keys
+    near = both.filter(
         (F.col("objective") >= F.col("_b.objective") - F.abs(F.col("_b.objective")) * tolerance)
         | (F.col("threshold_index") == F.col("_b.threshold_index"))
     )
