@@ -53,21 +53,23 @@ def from_trades(trades: DataFrame, start: float = START, fee_rate: float = 0.001
         minute["open_time"].alias("entry_timestamp"), minute["close_time"].alias("exit_timestamp"), pairs.alias("_e"),
     ).select("*", "_e.*").drop("_e")
     order = ["fold_id", "timestamp", "_side", "trade_id"]
-    bucketed = prefix.ranged(events, [], order)
-    numbered = prefix.scan(bucketed, [], order, rank="_n")
     gain = F.col("realized_pnl") - F.col("fee") - F.col("slippage") - F.col("latency_cost")
-    run = prefix.scan(
-        numbered, ["fold_id"], order,
+    run = prefix.ordered(
+        events, ["fold_id"], order[1:], rank="_n",
         sums={
             "_gain": gain,
             "total_open_exposure": F.col("_side") * F.col("position_notional"),
             "concurrent_position_count": F.col("_side"),
         },
     )
+    sizes = trades.groupBy("fold_id").agg((2 * F.count(F.lit(1))).alias("_events"))
+    earlier = Window.orderBy("fold_id").rowsBetween(Window.unboundedPreceding, -1)  # one row per fold
+    offsets = sizes.select("fold_id", F.coalesce(F.sum("_events").over(earlier), F.lit(0)).alias("_before"))
+    run = run.join(F.broadcast(offsets), "fold_id")
     equity = F.col("_gain") + start
     out = run.withColumns(
         {
-            "event_sequence": F.col("_n") - 1,
+            "event_sequence": F.col("_before") + F.col("_n") - 1,
             "equity": equity,
             "reserved_capital": F.col("total_open_exposure"),
             "cash_balance": equity - F.col("total_open_exposure"),
@@ -109,11 +111,11 @@ def drawdown(events: DataFrame, keys: list[str]) -> DataFrame:
     that reaches the peak again.
     """
     narrow = events.select(*keys, "event_sequence", "timestamp", "equity")
-    bucketed = prefix.ranged(narrow, keys, ["event_sequence"])
-    run = prefix.scan(bucketed, keys, ["event_sequence"], maxes={"peak": F.col("equity")})
-    at_peak = F.when(F.col("equity") >= F.col("peak"), F.col("event_sequence"))
-    run = prefix.scan(run, keys, ["event_sequence"], maxes={"_stretch": at_peak})
-    run = prefix.scan(run, keys, ["event_sequence"], previous={"_before": F.col("_stretch")}).drop(prefix.BUCKET)
+    top = F.struct("equity", "event_sequence")  # of equal peaks the last one
+    run = prefix.ordered(narrow, keys, ["event_sequence"], maxes={"_top": top}, maxes_before={"_top_before": top})
+    run = run.withColumns(
+        {"peak": F.col("_top.equity"), "_stretch": F.col("_top.event_sequence"), "_before": F.col("_top_before.event_sequence")}
+    )
     below = F.col("equity") < F.col("peak")
     gap = F.when(below & (F.col("peak") > 0), (F.col("peak") - F.col("equity")) / F.col("peak"))
     # Rows below the peak belong to the stretch; a row at the peak closes the stretch of the row before it.

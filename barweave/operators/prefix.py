@@ -34,13 +34,15 @@ def scan(
     total: str | None = None,
     previous: dict[str, Column] | None = None,
     key_sums: dict[str, Column] | None = None,
+    maxes_before: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Running row number, sums and maxima per key over a bucketed frame from `ranged`.
 
     `total` adds the row count of the key, `key_sums` adds whole sums of the key, `previous` adds
-    the value of the row before.
+    the value of the row before, `maxes_before` the maximum up to the row before.
     """
     sums, maxes, previous, key_sums = sums or {}, maxes or {}, previous or {}, key_sums or {}
+    past = maxes_before or {}
     order = [as_col(o) for o in order]
     inside = Window.partitionBy(BUCKET, *keys).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -49,6 +51,7 @@ def scan(
     aggs = [F.count(F.lit(1)).alias("_t_n")]
     aggs += [F.sum(e).alias(f"_t_s_{n}") for n, e in sums.items()]
     aggs += [F.max(e).alias(f"_t_m_{n}") for n, e in maxes.items()]
+    aggs += [F.max(e).alias(f"_t_b_{n}") for n, e in past.items()]
     aggs += [F.sum(e).alias(f"_t_k_{n}") for n, e in key_sums.items()]
     source = df
     if previous:
@@ -66,6 +69,7 @@ def scan(
         *[F.sum(f"_t_k_{n}").over(Window.partitionBy(*keys)).alias(f"_c_k_{n}") for n in key_sums],
         *[F.coalesce(F.sum(f"_t_s_{n}").over(before), F.lit(0)).alias(f"_c_s_{n}") for n in sums],
         *[F.max(f"_t_m_{n}").over(before).alias(f"_c_m_{n}") for n in maxes],
+        *[F.max(f"_t_b_{n}").over(before).alias(f"_c_b_{n}") for n in past],
         *([F.last("_t_last").over(before).alias("_c_last")] if previous else []),
     )
     if not keys:
@@ -75,6 +79,8 @@ def scan(
     cols.append(F.row_number().over(inside).alias("_l_n"))
     cols += [F.sum(e).over(upto).alias(f"_l_s_{n}") for n, e in sums.items()]
     cols += [F.max(e).over(upto).alias(f"_l_m_{n}") for n, e in maxes.items()]
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    cols += [F.max(e).over(earlier).alias(f"_l_b_{n}") for n, e in past.items()]
     if previous:
         cols.append(F.lag(last).over(inside).alias("_l_last"))
     local = df.select(*cols)
@@ -87,6 +93,7 @@ def scan(
     out += [F.col(f"_c_k_{n}").alias(n) for n in key_sums]
     out += [(F.coalesce(F.col(f"_l_s_{n}"), F.lit(0)) + F.col(f"_c_s_{n}")).alias(n) for n in sums]
     out += [F.greatest(f"_l_m_{n}", f"_c_m_{n}").alias(n) for n in maxes]
+    out += [F.greatest(f"_l_b_{n}", f"_c_b_{n}").alias(n) for n in past]
     if previous:
         seen = F.coalesce("_l_last", "_c_last")
         out += [seen[n].alias(n) for n in previous]

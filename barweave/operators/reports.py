@@ -74,16 +74,29 @@ def deciles(df: DataFrame, columns: list[str], keys: list[str] | None = None) ->
     ranked = prefix.ordered(rows, by, ["value", "open_time", "symbol", "row_id"], rank="_rank", total="_n")
     placed = ranked.withColumn("decile", F.ceil(F.col("_rank") * DECILES / F.col("_n")).cast("int"))
     group = [*by, "decile"]
-    out = placed.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.min("value").alias("score_min"),
-        F.max("value").alias("score_max"),
-        F.avg("gross").alias("avg_gross_return"),
-        F.avg("net").alias("avg_net_return"),
-        F.avg((F.col("net") > 0).cast("double")).alias("positive_return_rate"),
-        accounting.profit_factor().alias("profit_factor"),
+    # One pass over the rows: cells per symbol carry every sum and the top symbol.
+    cells = placed.groupBy(*group, "symbol").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("value").alias("lo"),
+        F.max("value").alias("hi"),
+        F.sum("gross").alias("gross"),
+        F.sum("net").alias("net"),
+        F.count_if(F.col("net") > 0).alias("won"),
+        accounting.gains().alias("gains"),
+        accounting.losses().alias("losses"),
+    )
+    n = F.sum("n")
+    return cells.groupBy(*group).agg(
+        n.alias("rows"),
+        F.min("lo").alias("score_min"),
+        F.max("hi").alias("score_max"),
+        (F.sum("gross") / n).alias("avg_gross_return"),
+        (F.sum("net") / n).alias("avg_net_return"),
+        (F.sum("won") / n).alias("positive_return_rate"),
+        accounting.factor(F.sum("gains"), F.sum("losses")).alias("profit_factor"),
+        F.max_by("symbol", F.struct("n", "symbol")).alias("top_symbol"),
+        (F.max("n") / n).alias("top_symbol_share"),
     )
-    return out.join(_top_share(placed, group, "symbol", "symbol"), group)
 
 
 def monotonicity(table: DataFrame, keys: list[str], place: str = "decile", value: str = "avg_net_return") -> DataFrame:
@@ -99,31 +112,57 @@ def ranking(df: DataFrame, columns: list[str]) -> DataFrame:
     ranked = prefix.ordered(
         rows, ["score_source"], [F.desc("value"), "open_time", "symbol", "row_id"], rank="_rank", total="_n"
     )
-    tops = [
-        F.when(F.col("_rank") <= F.ceil(F.col("_n") * p / 100), F.lit(f"top_{p}pct")) for p in TOP_SHARES
-    ]
-    decile = F.concat(F.lit("score_decile_"), F.lpad(F.ceil(F.col("_rank") * DECILES / F.col("_n")).cast("string"), 2, "0"))
-    chosen = [
-        F.when(F.col("raw_signal") == 1, F.lit("raw_candidates")),
-        F.when(F.col("executed") == 1, F.lit("executed")),
-    ]
+    # A row's buckets follow from how many top shares it is inside, its decile and its two flags, so rows are
+    # summed per symbol and per day on these first; only the small cells are handed out to the buckets.
+    inside = sum((F.when(F.col("_rank") <= F.ceil(F.col("_n") * p / 100), 1).otherwise(0) for p in TOP_SHARES), F.lit(0))
+    spot = ranked.withColumns(
+        {
+            "_tops": inside,
+            "_decile": F.ceil(F.col("_rank") * DECILES / F.col("_n")).cast("int"),
+            "_raw": F.col("raw_signal") == 1,
+            "_ex": F.col("executed") == 1,
+        }
+    )
+    cell = ["score_source", "_tops", "_decile", "_raw", "_ex"]
+    widest = len(TOP_SHARES)
+    tops = [F.when(F.col("_tops") >= widest - i, F.lit(f"top_{p}pct")) for i, p in enumerate(TOP_SHARES)]
+    decile = F.concat(F.lit("score_decile_"), F.lpad(F.col("_decile").cast("string"), 2, "0"))
+    chosen = [F.when(F.col("_raw"), F.lit("raw_candidates")), F.when(F.col("_ex"), F.lit("executed"))]
     buckets = F.explode(F.array_compact(F.array(*tops, decile, *chosen))).alias("bucket")
-    placed = ranked.select("score_source", *TRADE, "value", buckets)
     by = ["score_source", "bucket"]
-    out = placed.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.avg("label").alias("label_rate"),
-        F.avg("gross").alias("avg_trade_return"),
-        F.avg("net").alias("avg_net_return"),
-        accounting.profit_factor().alias("profit_factor"),
+
+    sums = ["n", "label", "gross", "net", "profit", "gains", "losses"]
+    per_symbol = spot.groupBy(*cell, "symbol").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(c).alias(c) for c in ("label", "gross", "net", "profit")],
+        accounting.gains().alias("gains"),
+        accounting.losses().alias("losses"),
+        F.min("value").alias("lo"),
+    )
+    per_symbol = per_symbol.select("score_source", buckets, "symbol", *sums, "lo").groupBy(*by, "symbol").agg(
+        *[F.sum(c).alias(c) for c in sums], F.min("lo").alias("lo")
+    )
+    n = F.sum("n")
+    out = per_symbol.groupBy(*by).agg(
+        n.alias("rows"),
+        (F.sum("label") / n).alias("label_rate"),
+        (F.sum("gross") / n).alias("avg_trade_return"),
+        (F.sum("net") / n).alias("avg_net_return"),
+        accounting.factor(F.sum("gains"), F.sum("losses")).alias("profit_factor"),
         F.sum("profit").alias("profit"),
-        F.min("value").alias("score_min"),
-        F.countDistinct("trade_day").alias("active_days"),
+        F.min("lo").alias("score_min"),
+        F.max_by("symbol", F.struct("n", "symbol")).alias("top_symbol"),
+        (F.max("n") / n).alias("top_symbol_share"),
     )
-    return (
-        out.join(_top_share(placed, by, "symbol", "symbol"), by)
-        .join(_top_share(placed, by, "month", "month"), by)
+    per_day = spot.groupBy(*cell, "month", "trade_day").agg(F.count(F.lit(1)).alias("n"))
+    per_day = per_day.select("score_source", buckets, "month", "trade_day", "n").groupBy(*by, "month", "trade_day").agg(F.sum("n").alias("n"))
+    per_month = per_day.groupBy(*by, "month").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("days"))
+    months = per_month.groupBy(*by).agg(
+        F.sum("days").alias("active_days"),
+        F.max_by("month", F.struct("n", "month")).alias("top_month"),
+        (F.max("n") / F.sum("n")).alias("top_month_share"),
     )
+    return out.join(months, by)
 
 
 def exposure(df: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -109,6 +109,12 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str, key: str) -> DataFrame:
+        """A table that lies in fewer files than there are cores, hashed over them; larger ones as they are."""
+        df = self.read(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if len(df.inputFiles()) >= cores else df.repartition(cores, key)
+
     @cached_property
     def trades(self) -> DataFrame:
         ts = F.col("ts").cast("timestamp")
@@ -128,7 +134,7 @@ class Tables:
 
     @cached_property
     def candidates(self) -> DataFrame:
-        items = self.read("lineitem")
+        items = self.spread("lineitem", "l_orderkey")
         orders = self.read("orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
         p = F.col("l_quantity") / 50
         ship = F.unix_millis(F.col("l_shipdate").cast("timestamp"))
