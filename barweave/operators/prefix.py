@@ -2,8 +2,9 @@
 
 Rows are range-partitioned on (keys, order) by Spark, so a key or value that holds a large part of
 all rows is spread over many buckets as long as the order columns tell its rows apart. The bucket
-number is frozen by a reliable checkpoint: both the bucket totals and the rows see the same buckets,
-also after a lost executor. The carry into each bucket is a window over the small totals table.
+number is frozen by writing the ordered rows to the shared checkpoint folder: both the bucket totals
+and the rows see the same buckets, also after a lost executor. The carry into each bucket is a window
+over the small totals table.
 """
 
 from __future__ import annotations

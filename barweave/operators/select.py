@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MS_PER_MINUTE, floor_div
+from ..session import stored
 from ..sources.candidates import PRE_FILTER_STAGE
 from . import prefix, quantiles
 
@@ -269,6 +270,7 @@ def exposure_penalty(df: DataFrame, score: str, strength: float, k: int, bucket:
     Earlier picks are those of the plain top-k run; the reference feeds its own penalised picks back one
     bucket at a time, which has no parallel form.
     """
+    df = stored(df)  # read by the first ranking, the shares, the scale and the second ranking
     picks = topk(df, k, [bucket], score_order(df, score), per_symbol)
     taken = picks.groupBy(bucket, "symbol").agg(F.count(F.lit(1)).alias("_picks"))
     cells = df.select(bucket, "symbol").distinct().join(taken, [bucket, "symbol"], "left")
