@@ -381,7 +381,7 @@ def candidate_sink(t):
     with_tables(
         "art",
         f"""SELECT symbol, count(*) AS rows, count(actual_exit_return) AS exits, count(ranker_score) AS ranker_scores,
-        {r("sum(quote_volume)", 1)} AS quote_volume FROM (SELECT *, NULL AS ranker_score FROM art) GROUP BY 1""",
+        {r("sum(quote_volume)", 3)} AS quote_volume FROM (SELECT *, NULL AS ranker_score FROM art) GROUP BY 1""",
     ),
 )
 def candidate_read_check(t):
@@ -391,7 +391,7 @@ def candidate_read_check(t):
         F.count(F.lit(1)).alias("rows"),
         F.count("actual_exit_return").alias("exits"),
         F.count("ranker_score").alias("ranker_scores"),
-        X.rnd(F.sum("quote_volume"), 1).alias("quote_volume"),
+        X.rnd(F.sum("quote_volume"), 3).alias("quote_volume"),
     )
 
 

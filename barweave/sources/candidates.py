@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..functions.scalars import candidate_id, fold_index, num, truthy  # noqa: F401
@@ -62,8 +61,6 @@ def write_candidates(df: DataFrame, path: str, limit: int | None = None) -> None
     """
     spark = df.sparkSession
     rows = to_schema(df)
-    total = Observation()
-    rows = rows.observe(total, F.count(F.lit(1)).alias("offered"))
     kept = rows.limit(limit) if limit else rows
     kept.write.mode("overwrite").parquet(f"{path}/rows")
     stored = spark.read.parquet(f"{path}/rows")
