@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import MS_PER_MINUTE, floor_div, minute, month_of, to_ms  # noqa: F401
+from ..functions.scalars import MS_PER_MINUTE, month_of
 
 SERIES = ["symbol", "month"]
 BAR_COLUMNS = [

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import day_of, rnd
-from ..operators import accounting, calibrate, features, labels, prefix, reports, select, splits, thresholds
+from ..operators import accounting, calibrate, features, labels, prefix, reports, select, thresholds
 from ..session import scratch
 from .bindings import r, with_tables
 from .catalog_bars import FEATURE_SQL, LEADER_CTE, LEADER_MAP, OUT_CTE, STEPS_CTE, TARGET, WINDOW, ret

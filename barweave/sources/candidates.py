@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import candidate_id, fold_index, num, truthy  # noqa: F401
+from ..functions.scalars import fold_index, truthy
 
 PRE_FILTER_STAGE = "pre_score_edge_pre_symbol_filter"
 
