@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import configure
-from . import decontaminate
+from ..session import configure, scratch
+from . import binary, decontaminate, pack
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +26,15 @@ def query(name: str, sql: str | None = None):
 @query("op1_decontaminate", decontaminate.SQL)
 def op1(spark, table):
     return decontaminate.report(table("documents"), table("benchmark"), ["doc_id"])
+
+
+@query("op2_token_binary")
+def op2(spark, table):
+    path = scratch(spark, "tokens")
+    binary.write(table("documents"), path)
+    return binary.read_digest(spark, path)
+
+
+@query("op5_pack")
+def op5(spark, table):
+    return pack.pack(table("documents"))
