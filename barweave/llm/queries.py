@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure, scratch
-from . import binary, decontaminate, pack
+from . import binary, decontaminate, pack, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +38,8 @@ def op2(spark, table):
 @query("op5_pack")
 def op5(spark, table):
     return pack.pack(table("documents"))
+
+
+@query("op3_quality")
+def op3(spark, table):
+    return quality.report(table("documents"), table("labels"))
