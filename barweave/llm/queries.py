@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure, scratch
-from . import binary, decontaminate, pack, quality
+from . import binary, decontaminate, language, pack, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +43,8 @@ def op5(spark, table):
 @query("op3_quality")
 def op3(spark, table):
     return quality.report(table("documents"), table("labels"))
+
+
+@query("op7_language")
+def op7(spark, table):
+    return language.report(table("documents"))
