@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure, scratch
-from . import binary, decontaminate, language, pack, quality
+from . import binary, decontaminate, language, pack, quality, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +48,8 @@ def op3(spark, table):
 @query("op7_language")
 def op7(spark, table):
     return language.report(table("documents"))
+
+
+@query("op6_substrings", substrings.SQL)
+def op6(spark, table):
+    return substrings.report(table("documents"))
