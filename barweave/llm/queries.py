@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure, scratch
-from . import binary, decontaminate, language, pack, quality, substrings
+from . import binary, decontaminate, jaccard, language, pack, quality, substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,8 @@ def op7(spark, table):
 @query("op6_substrings", substrings.SQL)
 def op6(spark, table):
     return substrings.report(table("documents"))
+
+
+@query("op10_jaccard_join", jaccard.SQL)
+def op10(spark, table):
+    return jaccard.report(table("documents"))
