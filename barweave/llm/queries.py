@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure, scratch
-from . import binary, decontaminate, jaccard, language, pack, quality, substrings
+from . import binary, decontaminate, jaccard, language, pack, quality, substrings, surrogates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,8 @@ def op6(spark, table):
 @query("op10_jaccard_join", jaccard.SQL)
 def op10(spark, table):
     return jaccard.report(table("documents"))
+
+
+@query("op8_surrogates")
+def op8(spark, table):
+    return surrogates.replaced(table("documents").select("doc_id", "text"))
