@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure, scratch
-from . import binary, decontaminate, jaccard, language, pack, quality, substrings, surrogates
+from . import backoff, binary, decontaminate, jaccard, language, pack, quality, substrings, surrogates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,3 +63,8 @@ def op10(spark, table):
 @query("op8_surrogates")
 def op8(spark, table):
     return surrogates.replaced(table("documents").select("doc_id", "text"))
+
+
+@query("op9_backoff_scores")
+def op9(spark, table):
+    return backoff.report(table("documents"))
