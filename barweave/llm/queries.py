@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure, scratch
-from . import backoff, binary, decontaminate, jaccard, language, pack, quality, substrings, surrogates
+from . import backoff, binary, decontaminate, fingerprints, jaccard, language, pack, quality, substrings, surrogates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,8 @@ def op8(spark, table):
 @query("op9_backoff_scores")
 def op9(spark, table):
     return backoff.report(table("documents"))
+
+
+@query("op4_fingerprints")
+def op4(spark, table):
+    return fingerprints.report(table("documents"))
