@@ -38,7 +38,9 @@ PIECE = 64
 #: Pieces a task remembers; beyond it only fewer copies are found before the shuffle.
 MEMORY = 1 << 20
 
-_PIECES = "node bigint, doc_id bigint, tag int, start int, edges int, path binary, repeats boolean, loops boolean"
+#: A piece travels as few bytes as it can: ``place`` holds the tag (23 bits), the first word (31), the number of edges (7), and whether the
+#: piece repeats an earlier one of its task and whether an edge is in it twice (1 each), so that places of a document ascend.
+_PIECES = "node bigint, doc_id bigint, place bigint, path binary"
 
 
 class _Seen:
@@ -49,7 +51,7 @@ class _Seen:
 
     def clear(self) -> None:
         self.key = np.zeros(0, dtype=np.uint64)
-        self.place = np.zeros((0, 3), dtype=np.int64)
+        self.place = np.zeros((0, 2), dtype=np.int64)
 
     def repeats(self, key: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Which pieces have an earlier equal one; the others are remembered."""
@@ -57,7 +59,7 @@ class _Seen:
             self.clear()
         n = len(self.key)
         key, place = np.concatenate([self.key, key]), np.concatenate([self.place, place])
-        order = np.lexsort((place[:, 2], place[:, 1], place[:, 0], key))
+        order = np.lexsort((place[:, 1], place[:, 0], key))
         first = np.ones(len(key), dtype=bool)
         first[1:] = key[order][1:] != key[order][:-1]
         lead = np.flatnonzero(first)[np.cumsum(first) - 1]
@@ -89,39 +91,37 @@ def pieces(batches: Iterator[pa.RecordBatch], window: int = WINDOW, inner: int =
             owner = np.searchsorted(w.first, at[first], side="right") - 1
             start = at[first] - w.first[owner]
             doc, tag = part.column("doc_id").take(pa.array(owner)), part.column("tag").take(pa.array(owner))
-            place = np.stack([doc.fill_null(-(2**63)).to_numpy(), tag.to_numpy(), start], axis=1)
-            again = seen.repeats(texts.span_hashes(edge, first, last), place)
+            place = (tag.to_numpy().astype(np.int64) << 40) | (start << 9)
+            again = seen.repeats(texts.span_hashes(edge, first, last), np.stack([doc.fill_null(-(2**63)).to_numpy(), place], axis=1))
             path = np.ascontiguousarray((edge >> np.uint64(32)).astype("<u4"))
             inside = np.sort((np.repeat(np.arange(len(first), dtype=np.uint64), last - first) << np.uint64(32)) | path)
             loops = np.zeros(len(first), dtype=bool)
             loops[(inside[1:][inside[1:] == inside[:-1]] >> np.uint64(32)).astype(np.int64)] = True
             whole = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((np.append(first, len(at)) * 4).astype(np.int32).tobytes()), pa.py_buffer(path.tobytes())])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(node[first].view(np.int64)), doc, tag, pa.array(start, pa.int32()), pa.array(last - first, pa.int32()),
-                    pa.compute.if_else(pa.array(again), pa.scalar(None, pa.binary()), whole), pa.array(again), pa.array(loops),
-                ],
-                ["node", "doc_id", "tag", "start", "edges", "path", "repeats", "loops"],
-            )
+            place |= ((last - first) << 2) | (again.astype(np.int64) << 1) | loops
+            path_or_null = pa.compute.if_else(pa.array(again), pa.scalar(None, pa.binary()), whole)
+            yield pa.RecordBatch.from_arrays([pa.array(node[first].view(np.int64)), doc, pa.array(place), path_or_null], ["node", "doc_id", "place", "path"])
 
 
 def repeated_spans(documents: DataFrame) -> DataFrame:
     """doc_id, tag and spans: for each document with words to remove, the (first word, words) that occur earlier."""
     node = Window.partitionBy("node")
-    place = F.struct("doc_id", "tag", "start")
-    pathed = F.when(~F.col("repeats"), F.xxhash64("path"))
+    bits = lambda at, n: F.shiftright("place", at).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
+    start, edges, repeats, loops = bits(9, 31), bits(2, 7), bits(1, 1) == 1, bits(0, 1) == 1
+    copy = F.struct("doc_id", "place")
+    pathed = F.when(~repeats, F.xxhash64("path"))
     found = documents.mapInArrow(pieces, _PIECES).select(
         "*", F.count(F.lit(1)).over(node).alias("n"), F.min(pathed).over(node).alias("low"), F.max(pathed).over(node).alias("high"),
-        F.min(F.when(~F.col("repeats"), place)).over(node).alias("earliest"), F.max("loops").over(node).alias("looped"),
+        F.min(F.when(~repeats, copy)).over(node).alias("earliest"), F.max(loops).over(node).alias("looped"),
     ).where("n > 1 OR looped")
-    whole = F.array(F.struct(F.lit(None).cast("binary").alias("edge"), F.col("start").alias("start"), (F.col("edges") + WINDOW - 1).alias("words")))
+    whole = F.array(F.struct(F.lit(None).cast("binary").alias("edge"), start.alias("start"), (edges + WINDOW - 1).alias("words")))
     opened = F.transform(
-        F.sequence(F.lit(0), F.col("edges") - 1),
-        lambda i: F.struct(F.substring("path", i * 4 + 1, F.lit(4)).alias("edge"), (F.col("start") + i).alias("start"), F.lit(WINDOW).alias("words")),
+        F.sequence(F.lit(0), edges - 1),
+        lambda i: F.struct(F.substring("path", i * 4 + 1, F.lit(4)).alias("edge"), (start + i).alias("start"), F.lit(WINDOW).alias("words")),
     )
     none = F.array().cast("array<struct<edge:binary,start:int,words:int>>")
-    spans = F.when(F.col("repeats"), whole).when((F.col("low") != F.col("high")) | F.col("looped"), opened).when(F.col("earliest").eqNullSafe(place), none).otherwise(whole)
-    edges = found.select("node", "doc_id", "tag", F.explode(spans).alias("s")).select("node", "doc_id", "tag", "s.edge", "s.start", "s.words")
+    spans = F.when(repeats, whole).when((F.col("low") != F.col("high")) | F.col("looped"), opened).when(F.col("earliest").eqNullSafe(copy), none).otherwise(whole)
+    edges = found.select("node", "doc_id", bits(40, 23).alias("tag"), F.explode(spans).alias("s")).select("node", "doc_id", "tag", "s.edge", "s.start", "s.words")
     first = Window.partitionBy("node", "edge").orderBy("doc_id", "tag", "start")
     again = edges.withColumn("k", F.rank().over(first)).where("edge IS NULL OR k > 1")
     return again.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "words")).alias("spans"))  # bounded by the document's length
@@ -155,7 +155,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _source(documents: DataFrame) -> DataFrame:
     # the join of `deduplicated` looks a document up by its id and the tag
     text = F.col("text").cast("string")
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.hash(text).alias("tag"), text.alias("text"))
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.pmod(F.hash(text), F.lit(1 << 23)).alias("tag"), text.alias("text"))
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
