@@ -137,7 +137,7 @@ def _drawn(key: str) -> Column:
         F.when(kind == "ip", F.concat_ws(".", octet(0, 240, 15), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254)))
         .when(kind == "card", F.concat(body, last))
         .when(kind == "domain", F.concat(_alike(F.substring_index(norm, ".", 1), stream), longer, F.lit(".example."), F.when(tld == "", "com").otherwise(tld)))
-        .when(kind == "email", F.concat(_alike(norm, stream), longer))
+        .when(kind == "email", F.concat(_alike(F.substring_index(norm, "@", 1), stream), longer))
         .when(kind == "secret", F.concat(_alike(norm, stream), longer))
         .when(kind == "access", F.concat(F.regexp_extract(norm, "^(AKIA|ASIA|sk|pk|ghp|gho|xoxb|xoxp)", 1), _alike(F.regexp_replace(norm, "^(AKIA|ASIA|sk|pk|ghp|gho|xoxb|xoxp)", ""), stream)))
         .when(kind == "iban", F.concat(F.substring(norm, 1, 2), _alike(F.expr("substring(norm, 3)"), stream)))
@@ -182,9 +182,8 @@ def _rendered() -> Column:
     rest = F.regexp_replace(entity, r"^\p{L}+\.? ", "")
     marks = F.regexp_extract_all(rest, F.lit("([ -])"), F.lit(1))
     joined = F.array_join(F.transform(s, lambda w, i: F.concat(w, F.coalesce(F.get(marks, i), F.lit("")))), "")
-    mailbox = F.substring_index(first, "@", 1)
     plain = (
-        F.when(kind == "email", F.concat(mailbox, F.lit("@"), F.get(s, F.lit(1))))
+        F.when(kind == "email", F.concat(first, F.lit("@"), F.get(s, F.lit(1))))
         .when(kind == "name", F.concat(title, joined))
         .when(kind == "phone", _laid_out(entity, F.regexp_replace(first, r"\+", ""), "[0-9]"))
         .when(kind.isin("card", "ssn"), _laid_out(entity, first, "[0-9]"))
@@ -219,7 +218,10 @@ def has_entity(text: Column) -> Column:
 
 def replaced(documents: DataFrame, key: str = KEY) -> DataFrame:
     """The documents with surrogates in their texts, and n_entities."""
-    text = F.col("text").cast("string")
+    names = [c for c in documents.columns if c != "n_entities"]
+    hidden = {c: f"c{i}" for i, c in enumerate(names)}  # own columns never meet those of the caller
+    documents = documents.select([F.col(f"`{c}`").alias(h) for c, h in hidden.items()])
+    text = F.col(hidden["text"]).cast("string")
     digest = F.md5(text.cast("binary"))
     found = documents.where(has_entity(text)).select(digest.alias("_text"), F.posexplode(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).alias("at", "entity"))
     mentions = stored(found.groupBy("_text", "at").agg(F.first("entity").alias("entity")))
@@ -229,8 +231,7 @@ def replaced(documents: DataFrame, key: str = KEY) -> DataFrame:
     whole = parts.join(table, ["kind", "norm"]).groupBy("entity", "entity_kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "surrogate"))), lambda x: x["surrogate"]).alias("surrogates"))
     replacement = stored(whole.select("entity", _rendered().alias("replacement")))
     per_text = mentions.join(replacement, "entity").groupBy("_text").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "replacement"))), lambda x: x["replacement"]).alias("_new"))
-    names = [c for c in documents.columns if c != "n_entities"]
-    own = lambda new: [(new if c == "text" else F.col(f"`{c}`")).alias(c) for c in names]
+    own = lambda new: [(new if c == "text" else F.col(h)).alias(c) for c, h in hidden.items()]
     pieces = F.split(text, PATTERN, -1)
     rebuilt = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("_new"), i), F.lit("")))), "")
     changed = documents.where(has_entity(text)).withColumn("_text", digest).join(per_text, "_text").select(*own(rebuilt), F.size("_new").cast("bigint").alias("n_entities"))
@@ -239,8 +240,14 @@ def replaced(documents: DataFrame, key: str = KEY) -> DataFrame:
 
 def anonymised(documents: DataFrame, key: str = KEY) -> DataFrame:
     """The documents with their own columns; a column n_chars follows the new text."""
-    out = replaced(documents, key)
-    if "n_chars" in documents.columns:
-        kind = documents.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out if "n_entities" in documents.columns else out.select(*[F.col(f"`{c}`") for c in documents.columns])
+    whole = documents.select("text", F.struct([F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    out = replaced(whole, key)
+    columns = []
+    for f in documents.schema.fields:
+        own = F.col("row").getField(f.name)
+        if f.name == "text":
+            own = F.col("text").cast(f.dataType)
+        elif f.name == "n_chars":
+            own = F.when(F.col("n_entities") > 0, F.length("text").cast(f.dataType)).otherwise(own)
+        columns.append(own.alias(f.name))
+    return out.select(columns)
