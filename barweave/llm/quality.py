@@ -185,7 +185,7 @@ def fit(rows: DataFrame, trees: int = TREES, depth: int = DEPTH, lasso: float =
 
 def _training(documents: DataFrame, labels: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     label = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("label")).where(F.col("label").isNotNull() & ~held_out("_id"))
-    rows = stats if stats is not None else with_statistics(documents.join(label.select("_id").distinct(), F.col("doc_id") == F.col("_id"), "left_semi"), ["doc_id"])
+    rows = stats if stats is not None else with_statistics(documents.select("doc_id", "text").join(label.select("_id").distinct(), F.col("doc_id") == F.col("_id"), "left_semi"), ["doc_id"])
     return rows.join(label, F.col("doc_id") == F.col("_id")).select("_stats", "label")
 
 
