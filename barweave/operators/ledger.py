@@ -8,12 +8,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import MS_PER_MINUTE, safe_ratio
+from ..functions.scalars import MS_PER_MINUTE, fold_index, safe_ratio
 from . import prefix
 
 OPEN, CLOSE, MARK = "position_open", "position_close", "mark_to_market"
 START = 10_000.0
 TOLERANCE = 1e-6
+DEFAULT_FOLD = "default"  # events without a fold
 
 # The ledger schema, version 1, in file order.
 EVENT_SCHEMA = """
@@ -63,7 +64,7 @@ def from_trades(trades: DataFrame, start: float = START, fee_rate: float = 0.001
         },
     )
     sizes = trades.groupBy("fold_id").agg((2 * F.count(F.lit(1))).alias("_events"))
-    earlier = Window.orderBy("fold_id").rowsBetween(Window.unboundedPreceding, -1)  # one row per fold
+    earlier = Window.orderBy(fold_index("fold_id"), "fold_id").rowsBetween(Window.unboundedPreceding, -1)  # one row per fold
     offsets = sizes.select("fold_id", F.coalesce(F.sum("_events").over(earlier), F.lit(0)).alias("_before"))
     run = run.join(F.broadcast(offsets), "fold_id")
     equity = F.col("_gain") + start
@@ -148,10 +149,10 @@ def symbol_exposure(events: DataFrame) -> DataFrame:
         "fold_id", "trade_id", F.col("symbol").alias("_symbol"), F.col("position_notional").alias("_notional"), F.col("event_sequence").alias("_opened")
     )
     closes = moves.filter(F.col("event_type") == CLOSE).join(opens, ["fold_id", "trade_id"])
-    closes = closes.filter(F.col("_opened") < F.col("event_sequence")).select("event_sequence", F.col("_symbol").alias("symbol"), (-F.col("_notional")).alias("step"))
-    steps = moves.filter(F.col("event_type") == OPEN).select("event_sequence", "symbol", F.col("position_notional").alias("step"))
+    closes = closes.filter(F.col("_opened") < F.col("event_sequence")).select("fold_id", "event_sequence", F.col("_symbol").alias("symbol"), (-F.col("_notional")).alias("step"))
+    steps = moves.filter(F.col("event_type") == OPEN).select("fold_id", "event_sequence", "symbol", F.col("position_notional").alias("step"))
     steps = steps.unionByName(closes)
-    timeline = events.select("fold_id", "event_sequence", "equity").join(steps, "event_sequence", "left")
+    timeline = events.select("fold_id", "event_sequence", "equity").join(steps, ["fold_id", "event_sequence"], "left")
     bucketed = prefix.ranged(timeline, ["fold_id"], ["event_sequence"])
     cells = bucketed.filter(F.col("symbol").isNotNull()).groupBy("fold_id", "symbol", prefix.BUCKET).agg(F.sum("step").alias("step"))
     buckets = bucketed.select("fold_id", prefix.BUCKET).distinct()
@@ -184,8 +185,11 @@ def symbol_exposure(events: DataFrame) -> DataFrame:
 def reconcile(events: DataFrame, reported: DataFrame | None = None) -> DataFrame:
     """Totals and drawdowns per fold with a status: fees and slippage must equal the reported ones.
 
-    `reported` has fold_id, reported_fees and reported_slippage; a missing value is not checked.
+    `reported` has fold_id, reported_fees and reported_slippage; a missing value is not checked. Events without a fold are filed
+    under `DEFAULT_FOLD`.
     """
+    named = F.coalesce(F.nullif(F.trim("fold_id"), F.lit("")), F.lit(DEFAULT_FOLD))
+    events = events.withColumn("fold_id", named)
     out = totals(events, ["fold_id"]).join(drawdown(events, ["fold_id"]), "fold_id").join(symbol_exposure(events), "fold_id")
     if reported is not None:
         out = out.join(reported, "fold_id", "left")
@@ -215,6 +219,7 @@ def by_fold(reconciled: DataFrame) -> DataFrame:
         F.when(F.bool_and(F.col("status") == "passed"), "passed").otherwise("failed").alias("status"),
         F.sum("event_count").alias("event_count"),
         F.count(F.lit(1)).alias("fold_count"),
+        F.when(F.bool_and(F.col("drawdown_precision") == "exact_mark_to_market"), "exact_mark_to_market").otherwise("exact_realized").alias("drawdown_precision"),
         *[F.max(c).alias(c) for c in worst],
     )
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import safe_ratio
+from ..functions.scalars import MS_PER_MINUTE, floor_div, safe_ratio
 from ..session import stored
 from . import accounting, prefix, quantiles, reports, select
 from .accounting import CAPITAL, COST
@@ -17,6 +17,20 @@ TOP_K = 2
 MIN_SELECTION_TRADES = 100
 MIN_SELECTION_FOLDS = 3
 MIN_REPLACEABLE_SHARE = 0.10
+VARIANTS = [
+    "baseline_executed_trades",
+    "baseline_selected_by_topk",
+    "score_replay_trade_score",
+    "cross_sectional_score_zscore",
+    "cross_sectional_score_rank",
+    "exposure_aware_trade_score_penalty",
+    "exposure_aware_trade_share_cap_35pct",
+    "calibration_plus_normalization",
+    "calibration_plus_concentration_control",
+    "score_edge_disabled",
+    "symbol_filter_disabled",
+    "score_edge_and_symbol_filter_disabled",
+]
 COST_SCENARIOS = {"baseline_cost": 0.0, "double_cost": COST, "triple_cost": 2 * COST}
 
 
@@ -89,7 +103,7 @@ def variant_metrics(
     return out.withColumn("portfolio_return", F.col("portfolio_profit") / (capital * max(1, folds)))
 
 
-def top_symbols(df: DataFrame, n: int = 8) -> list[str]:
+def top_symbols(df: DataFrame, n: int) -> list[str]:
     """The n symbols on top of the exposure order: n names on the driver."""
     ordered = reports.exposure(df).orderBy(*reports.exposure_order())
     return [row[0] for row in ordered.select("symbol").limit(n).collect()]
@@ -118,12 +132,12 @@ def leave_fold(folds: DataFrame, capital: float = CAPITAL) -> DataFrame:
         F.col("fold").alias("removed_fold"), F.col("portfolio_profit").alias("removed_profit"), F.col("portfolio_return").alias("removed_return")
     )
     total = folds.agg(F.sum(F.greatest(F.lit(0.0), F.col("portfolio_profit"))).alias("_gain"))
-    rest = a.join(F.broadcast(folds), F.col("fold") != F.col("removed_fold"))  # one row per fold
+    rest = a.join(F.broadcast(folds), F.col("fold") != F.col("removed_fold"), "left")  # one row per fold; a single fold leaves none
     out = rest.groupBy("removed_fold", "removed_profit", "removed_return").agg(
-        F.sum("portfolio_profit").alias("remaining_profit"),
-        (F.sum("portfolio_profit") / (capital * F.count(F.lit(1)))).alias("remaining_mean_return"),
-        F.percentile("portfolio_return", 0.5).alias("remaining_median_return"),
-        F.min("portfolio_return").alias("remaining_worst_return"),
+        F.coalesce(F.sum("portfolio_profit"), F.lit(0.0)).alias("remaining_profit"),
+        F.coalesce(F.sum("portfolio_profit") / (capital * F.count("fold")), F.lit(0.0)).alias("remaining_mean_return"),
+        F.coalesce(F.percentile("portfolio_return", 0.5), F.lit(0.0)).alias("remaining_median_return"),
+        F.coalesce(F.min("portfolio_return"), F.lit(0.0)).alias("remaining_worst_return"),
         F.count_if(F.col("trade_count") > 0).alias("remaining_active_folds"),
         F.count_if(F.col("portfolio_return") > 0).alias("remaining_profitable_folds"),
     )
@@ -219,9 +233,9 @@ def overlap(selected: DataFrame, baseline: DataFrame, keys: list[str] | None = N
 
 
 def configured_k(df: DataFrame) -> DataFrame:
-    """One row: the largest configured k, else the largest number of picks in a time bucket."""
+    """One row: the largest configured k, else the largest number of picks in a minute."""
     told = df.agg(F.max(F.when(F.col("configured_top_k") > 0, F.col("configured_top_k"))).alias("_told"))
-    seen = select.baseline_selected(df).groupBy("open_time").agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("_seen"))
+    seen = select.baseline_selected(df).groupBy(floor_div("open_time", MS_PER_MINUTE).alias("_minute")).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("_seen"))
     both = told.crossJoin(F.broadcast(seen))  # one row
     return both.select(F.coalesce(F.col("_told").cast("bigint"), F.col("_seen"), F.lit(0)).alias("top_k"))
 
@@ -258,6 +272,7 @@ def bucket_audit(df: DataFrame, scopes: dict[str, str]) -> DataFrame:
         {
             "bucket_share_at_or_below_top_k": safe_ratio(F.col("buckets_at_or_below_top_k"), F.col("bucket_count")),
             "candidate_share_at_or_below_top_k": safe_ratio(F.col("_small_rows"), F.col("candidate_rows")),
+            "profitable_nonselected_bucket_share": safe_ratio(F.col("buckets_with_profitable_nonselected"), F.col("bucket_count")),
             "selected_replaceable_share": safe_ratio(F.col("selected_in_replaceable_buckets"), F.col("selected_rows")),
         }
     ).drop("_small_rows")
@@ -295,14 +310,17 @@ def phase_matrix(folds: DataFrame, phases: DataFrame, keys: list[str]) -> DataFr
     return fold_summary(folds.join(F.broadcast(phases), "fold"), [*keys, "phase"])  # one row per fold
 
 
-def decision(experiments: DataFrame, phase_rows: DataFrame, audit: DataFrame, costs: DataFrame) -> DataFrame:
-    """One row: keep the baseline or promote a variant, with the reasons against.
+def decision(experiments: DataFrame, phase_rows: DataFrame, audit: DataFrame, costs: DataFrame, order: list[str] = VARIANTS) -> DataFrame:
+    """One row: keep the baseline or promote a variant, with the reasons against. Of equal returns the first in `order` is best.
 
     experiments(experiment, portfolio_return), phase_rows(phase, trade_count, active_folds),
     audit(scope, selected_replaceable_share), costs(experiment, cost_scenario, portfolio_return).
     """
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("experiment"))
+    # returns of equal picks differ in their last digits, by the order of the sum
+    first = F.struct(F.round("portfolio_return", 9), F.when(place > 0, -place).otherwise(-len(order) - 1), "experiment")
     best = experiments.agg(
-        F.max_by("experiment", F.struct("portfolio_return", "experiment")).alias("best_experiment"),
+        F.max_by("experiment", first).alias("best_experiment"),
         F.max("portfolio_return").alias("best_return"),
         F.max(F.when(F.col("experiment") == "baseline_executed_trades", F.col("portfolio_return"))).alias("baseline_return"),
     )

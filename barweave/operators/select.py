@@ -264,8 +264,10 @@ def score_scale(df: DataFrame, score: str) -> DataFrame:
     return qs.crossJoin(F.broadcast(sd)).select(scale.alias("scale"))
 
 
-def exposure_penalty(df: DataFrame, score: str, strength: float, k: int, bucket: str = "open_time", per_symbol: int = 1) -> DataFrame:
-    """Top-k after subtracting strength * scale * (the symbol's share of earlier picks).
+def exposure_penalty(
+    df: DataFrame, score: str, strength: float, k: int, bucket: str = "open_time", per_symbol: int = 1, scale_score: str = "trade_score"
+) -> DataFrame:
+    """Top-k after subtracting strength * scale * (the symbol's share of earlier picks); the scale is the spread of `scale_score`.
 
     Earlier picks are those of the plain top-k run; the reference feeds its own penalised picks back one
     bucket at a time, which has no parallel form.
@@ -283,7 +285,7 @@ def exposure_penalty(df: DataFrame, score: str, strength: float, k: int, bucket:
     shares = per_sym.join(per_all, bucket).select(
         bucket, "symbol", F.when(whole > 0, own / whole).otherwise(0.0).alias("earlier_share")
     )
-    joined = df.join(shares, [bucket, "symbol"]).crossJoin(F.broadcast(score_scale(df, score)))  # one row
+    joined = df.join(shares, [bucket, "symbol"]).crossJoin(F.broadcast(score_scale(df, scale_score)))  # one row
     joined = joined.withColumn("penalised_score", F.col(score) - strength * F.col("scale") * F.col("earlier_share")).drop("scale")
     return topk(joined, k, [bucket], score_order(joined, "penalised_score"), per_symbol)
 

@@ -253,22 +253,28 @@ def near_misses(t):
     return out.select("fold", "near_miss_count", rnd("best_avg_net").alias("best_avg_net"), "near_miss_threshold", "near_miss_trades")
 
 
-@query(
-    "t12_threshold_stability",
-    sweep_sql(
-        f"""SELECT CAST(fold AS INTEGER) AS fold, closest AS closest_threshold, n0 AS neighbor_min_trades, n1 AS neighbor_max_trades,
-        {r("((CASE WHEN own > 0 THEN greatest(0.0, least(1.0, a0 / own)) ELSE CAST(a0 >= own AS INTEGER) END) + (CASE WHEN n1 > 0 THEN greatest(0.0, 1 - (n1 - n0) / n1) ELSE 1.0 END) + greatest(0.0, 1 - (c1 - c0)) + ok) / 4")} AS stability
+STABILITY_CTES = (
+    GRID_CTE,
+    SWEEP_CTE,
+    JUDGED_CTE,
+    "near AS (SELECT * FROM judged QUALIFY row_number() OVER (PARTITION BY fold ORDER BY abs(threshold - (fold / 10 + 0.03)), i) = 1)",
+    """stab AS (SELECT CAST(fold AS INTEGER) AS fold, closest AS closest_threshold, n0 AS neighbor_min_trades, n1 AS neighbor_max_trades,
+        ((CASE WHEN own > 0 THEN greatest(0.0, least(1.0, a0 / own)) ELSE CAST(a0 >= own AS INTEGER) END) + (CASE WHEN n1 > 0 THEN greatest(0.0, 1 - (n1 - n0) / n1) ELSE 1.0 END) + greatest(0.0, 1 - (c1 - c0)) + ok) / 4 AS stability
         FROM (SELECT j.fold, max(a.threshold) AS closest, max(a.avg_net) AS own, min(j.trades) AS n0, max(j.trades) AS n1, min(j.avg_net) AS a0, min(j.trade_top1) AS c0, max(j.trade_top1) AS c1,
-          avg(CAST(j.flags = '' AS INTEGER)) AS ok FROM judged j JOIN near a ON a.fold = j.fold AND abs(a.i - j.i) <= 2 GROUP BY 1)""",
-        JUDGED_CTE,
-        "near AS (SELECT * FROM judged QUALIFY row_number() OVER (PARTITION BY fold ORDER BY abs(threshold - (fold / 10 + 0.03)), i) = 1)",
-    ),
+          avg(CAST(j.flags = '' AS INTEGER)) AS ok FROM judged j JOIN near a ON a.fold = j.fold AND abs(a.i - j.i) <= 2 GROUP BY 1))""",
 )
-def threshold_stability(t):
+
+
+def fold_stability(t) -> DataFrame:
     s = judged(t)
     picked = s.select("fold").distinct().withColumn("selected_threshold", F.col("fold") / 10 + 0.03)
-    out = thresholds.stability(s, picked, ["fold"])
-    return rounded(out, ["fold", "closest_threshold", "neighbor_min_trades", "neighbor_max_trades"], {"stability": 6})
+    return thresholds.stability(s, picked, ["fold"])
+
+
+query(
+    "t12_threshold_stability",
+    with_tables("ret", f"SELECT fold, closest_threshold, neighbor_min_trades, neighbor_max_trades, {r('stability')} AS stability FROM stab", *STABILITY_CTES),
+)(lambda t: rounded(fold_stability(t), ["fold", "closest_threshold", "neighbor_min_trades", "neighbor_max_trades"], {"stability": 6}))
 
 
 @query(

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import MS_PER_DAY, rnd
+from ..functions.scalars import MS_PER_DAY, MS_PER_MINUTE, floor_div, rnd
 from ..operators import accounting, features, labels, ledger, models, reports, research, select, splits
 from ..session import scratch, stored
 from ..sources import candidates as arts
 from ..streaming import streams
 from .bindings import r, with_tables
 from .catalog_bars import TARGET, WINDOW
-from .catalog_reports import EXPOSURE_CTE, finite, n_rows, portfolio_rows, portfolio_sql, drawdown_cte, factor_sql, rounded
+from .catalog_reports import EXPOSURE_CTE, STABILITY_CTES, finite, fold_stability, n_rows, portfolio_rows, portfolio_sql, drawdown_cte, factor_sql, rounded
 from .registry import query
 
 EX = "ex AS (SELECT * FROM ret WHERE predicted)"
@@ -111,7 +111,7 @@ def research_rows(t) -> DataFrame:
             "calibrated_predicted_return": F.col("expected_value"),
         }
     )
-    a = a.withColumn("fold", F.substring("fold_id", 6, 9).cast("int"))
+    a = a.withColumn("fold", F.substring("fold_id", 6, 9).cast("int")).withColumn("minute", floor_div("open_time", MS_PER_MINUTE))
     return accounting.with_returns(a.drop("actual_exit_return"))
 
 
@@ -136,14 +136,38 @@ def z(c: str) -> str:
     return f"(CASE WHEN stddev_pop({c}) {o} > 1e-12 THEN ({c} - avg({c}) {o}) / stddev_pop({c}) {o} ELSE 0.0 END)"
 
 
+def penalised_cte(name: str, pool: str, score: str, strength: float) -> str:
+    """Top 2 after the exposure penalty: the plain picks, their running shares before each bucket, and the ranking again."""
+    return f"""{pick_cte(f"{name}_plain", pool, score)},
+{name}_cells AS (SELECT x.open_time, x.symbol, coalesce(c, 0) AS c FROM (SELECT DISTINCT open_time, symbol FROM {pool}) x
+  LEFT JOIN (SELECT open_time, symbol, count(*) AS c FROM {name}_plain GROUP BY 1, 2) p ON p.open_time = x.open_time AND p.symbol = x.symbol),
+{name}_own AS (SELECT *, sum(c) OVER (PARTITION BY symbol ORDER BY open_time ROWS UNBOUNDED PRECEDING) - c AS before_own FROM {name}_cells),
+{name}_all AS (SELECT open_time, sum(sum(c)) OVER (ORDER BY open_time ROWS UNBOUNDED PRECEDING) - sum(c) AS before_all FROM {name}_cells GROUP BY 1),
+{name}_scale AS (SELECT greatest(stddev_pop(trade_score), (quantile_cont(trade_score, 0.75) - quantile_cont(trade_score, 0.25)) / 1.349, abs(quantile_cont(trade_score, 0.5)) * 0.25, 1e-6) AS scale FROM {pool}),
+{name}_adj AS (SELECT c.*, {score} - {strength} * scale * (CASE WHEN before_all > 0 THEN before_own / before_all ELSE 0.0 END) AS pen FROM {pool} c
+  JOIN {name}_own o ON o.open_time = c.open_time AND o.symbol = c.symbol JOIN {name}_all w ON w.open_time = c.open_time, {name}_scale),
+{pick_cte(name, f"{name}_adj", "pen")}"""
+
+
+def capped_cte(name: str, picks: str, share: float) -> str:
+    return f"""{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time, row_id) AS cap_rank, count(*) OVER () AS cap_rows FROM {picks})
+  WHERE cap_rank <= greatest(1, floor(cap_rows * {share})))"""
+
+
 VARIANT_CTES = (
     RROWS_CTE,
     pool_cte("p0", " AND selected_by_score_edge = 1 AND selected_by_symbol_filter = 1"),
     pool_cte("p1", " AND selected_by_symbol_filter = 1"),
     pool_cte("p2", " AND selected_by_score_edge = 1"),
     pool_cte("p3", ""),
+    f"pb AS (SELECT *, 0.35 * {z('calibrated_probability')} + 0.25 * {z('expected_value')} + 0.25 * {z('raw_predicted_return')} + 0.15 * {z('expected_value')} AS b FROM p0)",
     pick_cte("v_score", "p0", "trade_score"),
-    pick_cte("v_blend", f"(SELECT *, 0.35 * {z('calibrated_probability')} + 0.25 * {z('expected_value')} + 0.25 * {z('raw_predicted_return')} + 0.15 * {z('expected_value')} AS b FROM p0)", "b"),
+    pick_cte("v_blend", "pb", "b"),
+    penalised_cte("v_pen", "p0", "trade_score", 0.75),
+    penalised_cte("v_pen35", "p0", "trade_score", 0.35),
+    capped_cte("v_cap", "v_pen35", 0.35),
+    penalised_cte("v_penb", "pb", "b", 0.5),
+    capped_cte("v_capb", "v_penb", 0.35),
     pick_cte("v_edge", "p1", "trade_score"),
     pick_cte("v_sym", "p2", "trade_score"),
     pick_cte("v_none", "p3", "trade_score"),
@@ -157,7 +181,10 @@ VARIANTS_SQL = " UNION ALL ".join(
         "score_replay_trade_score": "v_score",
         "cross_sectional_score_zscore": "v_score",  # a z-score or rank inside the bucket keeps its order
         "cross_sectional_score_rank": "v_score",
+        "exposure_aware_trade_score_penalty": "v_pen",
+        "exposure_aware_trade_share_cap_35pct": "v_cap",
         "calibration_plus_normalization": "v_blend",
+        "calibration_plus_concentration_control": "v_capb",
         "score_edge_disabled": "v_edge",
         "symbol_filter_disabled": "v_sym",
         "score_edge_and_symbol_filter_disabled": "v_none",
@@ -166,46 +193,32 @@ VARIANTS_SQL = " UNION ALL ".join(
 PENALISED = ("exposure_aware_trade_score_penalty", "exposure_aware_trade_share_cap_35pct", "calibration_plus_concentration_control")
 
 
-@query(
-    "o05_selection_variants",
-    with_tables(
-        "art",
-        f"SELECT experiment, count(*) AS trades, count(DISTINCT open_time) AS buckets, {r('sum(profit)', 2)} AS profit, {r('avg(net)')} AS mean_net FROM ({VARIANTS_SQL}) GROUP BY 1",
-        *VARIANT_CTES,
-    ),
-)
-def selection_variants(t):
-    """The nine variants with a plain SQL form; the penalised ones are in o05_penalised_variants."""
-    rows = research.variants(research_rows(t)).filter(~F.col("experiment").isin(*PENALISED))
-    return rows.groupBy("experiment").agg(
-        n_rows("trades"), F.countDistinct("open_time").alias("buckets"), rnd(F.sum("profit"), 2).alias("profit"), rnd(F.avg("net")).alias("mean_net")
-    )
+VARIANT_SQL = f"SELECT experiment, count(*) AS trades, count(DISTINCT open_time) AS buckets, {r('sum(profit)', 2)} AS profit, {r('avg(net)')} AS mean_net FROM sim"
+SIMPLE_CTE = f"sim AS ({VARIANTS_SQL})"
+_STORED: dict[tuple[str, str], DataFrame] = {}
 
 
-@query("o05_penalised_variants")
-def penalised_variants(t):
-    rows = research.variants(research_rows(t)).filter(F.col("experiment").isin(*PENALISED))
-    return rows.groupBy("experiment").agg(
-        n_rows("trades"), F.countDistinct("open_time").alias("buckets"), rnd(F.sum("profit"), 2).alias("profit"), rnd(F.avg("net")).alias("mean_net")
-    )
+def all_variants(t) -> DataFrame:
+    """The picks of all twelve variants, written once for an application and a folder: every comparison reads the same table."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _STORED:
+        _STORED[key] = stored(research.variants(research_rows(t)).select("experiment", *VARIANT_COLUMNS))
+    return _STORED[key]
 
 
-SIMPLE = ("baseline_executed_trades", "baseline_selected_by_topk", "score_replay_trade_score", "score_edge_disabled")
-SIMPLE_CTE = "sim AS (" + " UNION ALL ".join(
-    f"SELECT '{n}' AS experiment, {ROWS} FROM {s}"
-    for n, s in zip(SIMPLE, ("rr WHERE predicted = 1", "rr WHERE selected_by_topk = 1", "v_score", "v_edge"))
-) + ")"
+VARIANT_COLUMNS = ["row_id", "source", "fold_id", "symbol", "month", "trade_day", "open_time", "trade_score", "fold", "gross", "net", "profit", "position_size", "label"]
 
 
-def simple_variants(t) -> DataFrame:
-    """Four of the variants, for the tables that compare experiments."""
-    df = research_rows(t)
+def variant_totals(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("experiment").agg(
+        n_rows("trades"), F.countDistinct("open_time").alias("buckets"), rnd(F.sum("profit"), 2).alias("profit"), rnd(F.avg("net")).alias("mean_net")
+    )
 
-    def best(rows):
-        return select.topk(rows, 2, ["open_time"], select.score_order(rows, "trade_score"), per_symbol=1).select(*df.columns)
 
-    parts = [select.baseline_executed(df), select.baseline_selected(df), best(select.pool(df)), best(select.pool(df, score_edge=False))]
-    return research.tagged(dict(zip(SIMPLE, parts)))
+query("o05_selection_variants", with_tables("art", f"{VARIANT_SQL} GROUP BY 1", *VARIANT_CTES, SIMPLE_CTE))(lambda t: variant_totals(all_variants(t)))
+query("o05_penalised_variants", with_tables("art", f"{VARIANT_SQL} WHERE experiment IN {PENALISED} GROUP BY 1", *VARIANT_CTES, SIMPLE_CTE))(
+    lambda t: variant_totals(all_variants(t).filter(F.col("experiment").isin(*PENALISED)))
+)
 
 
 SIM = ("art", *VARIANT_CTES, SIMPLE_CTE)
@@ -224,7 +237,7 @@ query(
 )(
     lambda t: rounded(
         research.vs_reference(
-            accounting.portfolio(simple_variants(t), ["experiment"]), accounting.portfolio(select.baseline_executed(research_rows(t)), [])
+            accounting.portfolio(all_variants(t), ["experiment"]), accounting.portfolio(select.baseline_executed(research_rows(t)), [])
         ),
         ["experiment", "trade_count", "trades_vs_saved"], {"profit_vs_saved": 2, "return_vs_saved": 6},
     )
@@ -237,19 +250,20 @@ query(
     ),
 )(
     lambda t: rounded(
-        research.overlap(simple_variants(t), select.baseline_executed(research_rows(t)), ["experiment"]),
+        research.overlap(all_variants(t), select.baseline_executed(research_rows(t)), ["experiment"]),
         ["experiment", "selected_trades", "overlap_trades"], {"overlap_share": 6, "baseline_retention": 6},
     )
 )
-SCOPES = {"execution_open_time": "open_time", "artifact_period_bucket": "period_bucket_id"}
-AUDIT_CTE = """bk AS (SELECT 'execution_open_time' AS scope, open_time AS bucket, count(*) AS n, count_if(selected_by_topk = 1)::BIGINT AS s, count_if(selected_by_topk = 0 AND net > 0)::BIGINT AS m FROM p0 GROUP BY 2
+SCOPES = {"execution_open_time": "minute", "artifact_decision_bucket": "decision_bucket_id", "artifact_period_bucket": "period_bucket_id"}
+AUDIT_CTE = """bk AS (SELECT 'execution_open_time' AS scope, open_time // 60000 AS bucket, count(*) AS n, count_if(selected_by_topk = 1)::BIGINT AS s, count_if(selected_by_topk = 0 AND net > 0)::BIGINT AS m FROM p0 GROUP BY 2
+  UNION ALL SELECT 'artifact_decision_bucket', decision_bucket_id, count(*), count_if(selected_by_topk = 1)::BIGINT, count_if(selected_by_topk = 0 AND net > 0)::BIGINT FROM p0 GROUP BY 2
   UNION ALL SELECT 'artifact_period_bucket', period_bucket_id, count(*), count_if(selected_by_topk = 1)::BIGINT, count_if(selected_by_topk = 0 AND net > 0)::BIGINT FROM p0 GROUP BY 2),
 weighted AS (SELECT scope, quantile_cont(n, 0.5) AS w50, quantile_cont(n, 0.9) AS w90 FROM (SELECT scope, n, unnest(range(s)) FROM bk) GROUP BY 1)"""
 query(
     "o08_bucket_audit",
     sim_sql(
         f"""SELECT b.scope, 2::BIGINT AS top_k, count(*) AS bucket_count, sum(n)::BIGINT AS candidate_rows, max(n) AS bucket_max, count_if(n <= 2)::BIGINT AS buckets_at_or_below_top_k,
-        sum(CASE WHEN n > 2 THEN s ELSE 0 END)::BIGINT AS selected_in_replaceable_buckets, sum(m)::BIGINT AS profitable_nonselected_rows, count_if(m > 0)::BIGINT AS buckets_with_profitable_nonselected,
+        sum(CASE WHEN n > 2 THEN s ELSE 0 END)::BIGINT AS selected_in_replaceable_buckets, sum(m)::BIGINT AS profitable_nonselected_rows, count_if(m > 0)::BIGINT AS buckets_with_profitable_nonselected, {r("count_if(m > 0) / count(*)")} AS profitable_nonselected_bucket_share,
         max(n) FILTER (WHERE s > 0) AS selected_bucket_max, {r("quantile_cont(n, 0.5)")} AS bucket_p50, {r("quantile_cont(n, 0.9)")} AS bucket_p90, {r("any_value(w50)")} AS selected_bucket_p50, {r("any_value(w90)")} AS selected_bucket_p90,
         {r("sum(CASE WHEN n > 2 THEN s ELSE 0 END) / (SELECT count(*) FROM rr WHERE selected_by_topk = 1)")} AS selected_replaceable_share FROM bk b JOIN weighted w ON w.scope = b.scope GROUP BY 1""",
         AUDIT_CTE,
@@ -259,12 +273,12 @@ query(
         research.bucket_audit(research_rows(t), SCOPES),
         ["scope", "top_k", "bucket_count", "candidate_rows", "bucket_max", "buckets_at_or_below_top_k", "selected_in_replaceable_buckets", "profitable_nonselected_rows",
          "buckets_with_profitable_nonselected", "selected_bucket_max"],
-        {c: 6 for c in ("bucket_p50", "bucket_p90", "selected_bucket_p50", "selected_bucket_p90", "selected_replaceable_share")},
+        {c: 6 for c in ("bucket_p50", "bucket_p90", "selected_bucket_p50", "selected_bucket_p90", "selected_replaceable_share", "profitable_nonselected_bucket_share")},
     )
 )
 query(
     "o09_configured_k",
-    with_tables("art", "SELECT max(n) AS top_k FROM (SELECT open_time, count(*) AS n FROM art WHERE selected_by_topk = 1 GROUP BY 1)"),
+    with_tables("art", "SELECT max(n) AS top_k FROM (SELECT open_time // 60000 AS minute, count(*) AS n FROM art WHERE selected_by_topk = 1 GROUP BY 1)"),
 )(lambda t: research.configured_k(t.artifact.withColumn("configured_top_k", F.lit(0))))
 
 FOLD_M_CTE = """fm AS (SELECT e.experiment, f.fold, coalesce(n, 0) AS n, coalesce(p, 0.0) AS p, coalesce(p, 0.0) / 10000.0 AS ret FROM (SELECT DISTINCT experiment FROM sim) e
@@ -272,7 +286,7 @@ FOLD_M_CTE = """fm AS (SELECT e.experiment, f.fold, coalesce(n, 0) AS n, coalesc
 
 
 def sim_folds(t) -> DataFrame:
-    return research.fold_metrics(simple_variants(t), 8, ["experiment"])
+    return research.fold_metrics(all_variants(t), 8, ["experiment"])
 
 
 query(
@@ -305,19 +319,19 @@ query("o12_phase_matrix", sim_sql(f"SELECT experiment, phase, {SUMMARY_COLS} FRO
         f"""SELECT best AS best_experiment, {r("best_ret")} AS best_return, {r("base_ret")} AS baseline_return, sel_n AS selection_max_trades, sel_a AS selection_max_active_folds, {r("share")} AS replaceable_share,
         {r("dbl")} AS double_cost_return, concat_ws(';', CASE WHEN best = 'baseline_executed_trades' THEN 'baseline_best' END, CASE WHEN sel_n < 100 OR sel_a < 3 THEN 'selection_underpowered' END,
           CASE WHEN share < 0.1 THEN 'candidate_reselection_sparse' END, CASE WHEN dbl < 0 THEN 'cost_stress_failed' END) AS reasons
-        FROM (SELECT arg_max(experiment, (rt, experiment)) AS best, max(rt) AS best_ret, max(rt) FILTER (WHERE experiment = 'baseline_executed_trades') AS base_ret, arg_max(dbl, (rt, experiment)) AS dbl
-              FROM (SELECT experiment, sum(profit) / 80000.0 AS rt, sum(position_size * (net - 0.0015)) / 80000.0 AS dbl FROM sim GROUP BY 1)),
+        FROM (SELECT arg_max(experiment, (round(rt, 9), -place)) AS best, max(rt) AS best_ret, max(rt) FILTER (WHERE experiment = 'baseline_executed_trades') AS base_ret, arg_max(dbl, (round(rt, 9), -place)) AS dbl
+              FROM (SELECT experiment, list_position({research.VARIANTS}, experiment) AS place, sum(profit) / 80000.0 AS rt, sum(position_size * (net - 0.0015)) / 80000.0 AS dbl FROM sim GROUP BY 1)),
              (SELECT max(n)::BIGINT AS sel_n, max(a)::BIGINT AS sel_a FROM (SELECT experiment, sum(n) AS n, count_if(n > 0) AS a FROM ph WHERE phase = 'selection' GROUP BY 1)),
              (SELECT sum(CASE WHEN n > 2 THEN s ELSE 0 END) / (SELECT count(*) FROM rr WHERE selected_by_topk = 1) AS share FROM bk WHERE scope = 'execution_open_time')""",
         AUDIT_CTE, FOLD_M_CTE, PHASE_CTE,
     ),
 )
 def decision(t):
-    sims = simple_variants(t)
+    sims = all_variants(t)
     rows = accounting.portfolio(sims, ["experiment"], folds=8)
     dear = sims.withColumn("net", F.col("net") - accounting.COST).withColumn("profit", F.col("position_size") * F.col("net"))
     costs = accounting.portfolio(dear, ["experiment"], folds=8).withColumn("cost_scenario", F.lit("double_cost"))
-    audit = research.bucket_audit(research_rows(t), {"execution_open_time": "open_time"})
+    audit = research.bucket_audit(research_rows(t), {"execution_open_time": "minute"})
     out = research.decision(rows, phase_rows(t, sim_folds(t)), audit, costs)
     return rounded(
         out, ["best_experiment", "selection_max_trades", "selection_max_active_folds", "reasons"],
@@ -332,7 +346,7 @@ COMPOSITE_SQL = {
     "double_cost_return": "((SELECT sum(position_size * (net - 0.0015)) FROM ex) / 70000.0 + 0.02) / 0.08",
     "return_without_key_symbol": "(((SELECT sum(profit) FROM ex) - (SELECT max(net_profit) FROM expo)) / 70000.0 + 0.02) / 0.08",
     "return_without_key_fold": "(((sum(p) - max(p)) / 60000.0) + 0.02) / 0.08", "top_symbol_concentration_penalty": "1 - (SELECT max(net_profit_share) FROM shares)",
-    "top_fold_concentration_penalty": "1 - max(greatest(0.0, p)) / sum(greatest(0.0, p))", "inactive_fold_penalty": "avg(CAST(n > 0 AS INTEGER))", "threshold_stability": "0.75",
+    "top_fold_concentration_penalty": "1 - max(greatest(0.0, p)) / sum(greatest(0.0, p))", "inactive_fold_penalty": "avg(CAST(n > 0 AS INTEGER))", "threshold_stability": "(SELECT avg(stability) FROM stab)",
 }
 COMP_CTE = "comp AS (" + " UNION ALL ".join(
     f"SELECT '{n}' AS component, greatest(0.0, least(1.0, {s})) AS score FROM fold_rows HAVING count(*) > 0" for n, s in COMPOSITE_SQL.items()
@@ -344,7 +358,7 @@ COMP_CTE = "comp AS (" + " UNION ALL ".join(
     with_tables(
         "ret",
         f"SELECT component, {r('score')} AS score FROM comp UNION ALL SELECT 'composite_robustness_score', {r('avg(score)')} FROM comp",
-        EX, FOLDS_CTE, EXPOSURE_CTE,
+        EX, FOLDS_CTE, EXPOSURE_CTE, *STABILITY_CTES,
         "dec AS (SELECT net, ceil(10 * row_number() OVER (ORDER BY trade_score, open_time, symbol, row_id) / count(*) OVER ()) AS d FROM ex)",
         COMP_CTE,
     ),
@@ -361,7 +375,8 @@ def composite_robustness(t):
     top = exposed.agg(F.max("net_profit_share").alias("top_symbol_share"))
     for part in (mono, stress, loso, lofo, top):
         facts = facts.crossJoin(F.broadcast(part))  # one row each
-    return rounded(research.composite(folds, facts.withColumn("stability", F.lit(0.75))), ["component"], {"score": 6})
+    facts = facts.crossJoin(F.broadcast(fold_stability(t).agg(F.avg("stability").alias("stability"))))  # one row
+    return rounded(research.composite(folds, facts), ["component"], {"score": 6})
 
 
 query(
@@ -374,7 +389,7 @@ query(
     lambda t: research.selected(
         select.fill_sizes(
             research_rows(t),
-            simple_variants(t).withColumn("position_size", F.when(~F.col("row_id").startswith("walkforward"), F.col("position_size"))),
+            all_variants(t).withColumn("position_size", F.when(~F.col("row_id").startswith("walkforward"), F.col("position_size"))),
         )
     ).select("experiment", "row_id", "symbol", rnd("position_size", 3).alias("position_size"), "size_filled")
 )
