@@ -55,13 +55,6 @@ def auc(df: DataFrame, score: str, label: str = "label", keys: list[str] | None
     return sums.select(*keys, p.cast("bigint").alias("positives"), n.cast("bigint").alias("negatives"), value.alias("auc"))
 
 
-def sampled_auc(df: DataFrame, score: str, rows: int, order: list[str], label: str = "label") -> DataFrame:
-    """AUC on `rows` rows spread evenly over the order; all rows when there are no more."""
-    ranked = prefix.ordered(df, [], order, rank="_rank", total="_size")
-    keep = (F.col("_size") <= rows) | even_stride(F.col("_rank"), F.col("_size"), F.lit(rows))
-    return auc(ranked.filter(keep), score, label)
-
-
 def _number(df: DataFrame, name: str) -> Column:
     """The column as a finite double, 0 otherwise; text is parsed, numbers are taken as they are."""
     if isinstance(df.schema[name].dataType, StringType):

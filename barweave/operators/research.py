@@ -109,6 +109,27 @@ def top_symbols(df: DataFrame, n: int) -> list[str]:
     return [row[0] for row in ordered.select("symbol").limit(n).collect()]
 
 
+def leave_each_symbol(df: DataFrame, folds: int = 1, capital: float = CAPITAL) -> DataFrame:
+    """What is left without each symbol in turn, for every symbol: the whole minus the symbol's part, from one row a (symbol, day)."""
+    cells = df.groupBy("symbol", "trade_day").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("profit").alias("p"), F.sum("net").alias("s"), F.count_if(F.col("net") > 0).alias("w")
+    )
+    alone = cells.groupBy("trade_day").agg(F.count(F.lit(1)).alias("k"), F.min("symbol").alias("symbol")).filter("k = 1")
+    alone = alone.groupBy("symbol").agg(F.count(F.lit(1)).alias("own_days"))
+    part = cells.groupBy("symbol").agg(*[F.sum(c).alias(c) for c in "npsw"])
+    whole = part.agg(*[F.sum(c).alias(f"all_{c}") for c in "npsw"], F.count(F.lit(1)).alias("symbols"))
+    days = df.select("trade_day").distinct().agg(F.count(F.lit(1)).alias("days"))
+    out = part.join(alone, "symbol", "left").crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(days))  # one row each
+    left = F.col("all_n") - F.col("n")
+    gain = F.col("all_p") - F.col("p")
+    return out.select(
+        F.col("symbol").alias("removed_symbol"), left.alias("trade_count"), gain.alias("portfolio_profit"), safe_ratio(F.col("all_s") - F.col("s"), left).alias("avg_net_return"),
+        safe_ratio(F.col("all_w") - F.col("w"), left).alias("win_rate"), (F.col("days") - F.coalesce("own_days", F.lit(0))).alias("active_days"),
+        (F.col("symbols") - 1).alias("active_symbols"), F.col("n").alias("removed_trades"), (gain / (capital * max(1, folds))).alias("portfolio_return"),
+        (-F.col("p") / (capital * max(1, folds))).alias("return_delta"),
+    )
+
+
 def leave_symbol(df: DataFrame, symbols: list[str], folds: int = 1) -> DataFrame:
     """Metrics without each symbol, and their distance from the whole."""
     variants = {"": (F.lit(True), 0.0)} | {s: (F.col("symbol") != s, 0.0) for s in symbols}

@@ -56,15 +56,13 @@ def months(df: DataFrame, start: int, end: int) -> DataFrame:
 
 
 def walk_forward_windows(
-    df: DataFrame, train: int, validation: int = 1, test: int = 1, start: int = 0, max_folds: int = 0
+    df: DataFrame, train: int, validation: int = 1, test: int = 1, start: int = 0
 ) -> DataFrame:
     """(fold, split, month_index) membership. Fold i trains from month start + i * test on; a month is in
     many folds. Folds whose test months do not all exist are not made."""
     whole = train + validation + test
     last = df.agg((F.max("month_index") + 1).alias("n"))
     count = F.floor((F.col("n") - start - whole) / test) + 1
-    if max_folds:
-        count = F.least(count, F.lit(max_folds))
     folds = last.select(F.explode(F.sequence(F.lit(1), F.greatest(count, F.lit(0)).cast("int"))).alias("fold"), count.alias("c"))
     folds = folds.filter(F.col("fold") <= F.col("c"))
     place = F.explode(F.sequence(F.lit(0), F.lit(whole - 1))).alias("_place")
@@ -76,9 +74,9 @@ def walk_forward_windows(
     )
 
 
-def walk_forward(df: DataFrame, train: int, validation: int = 1, test: int = 1, start: int = 0, max_folds: int = 0) -> DataFrame:
+def walk_forward(df: DataFrame, train: int, validation: int = 1, test: int = 1, start: int = 0) -> DataFrame:
     """Rows once per fold they belong to, with `fold` and `split`."""
-    windows = walk_forward_windows(df, train, validation, test, start, max_folds)
+    windows = walk_forward_windows(df, train, validation, test, start)
     return df.join(F.broadcast(windows), "month_index")  # folds x months of a fold
 
 

@@ -228,7 +228,7 @@ def minus_leader(t):
     return df.select("symbol", "open_time", *[rnd(c).alias(c) for c in G5])
 
 
-MIN_SYMBOLS = 4
+MIN_SYMBOLS = 5
 BREADTH_CTE = f"""rets AS (SELECT symbol, month, open_time, quote_volume, {ret(5)} AS r5, {ret(15)} AS r15, {ret(60)} AS r60,
   CASE WHEN rn > 5 THEN {ret(5)} END AS k5, CASE WHEN rn > 15 THEN {ret(15)} END AS k15, CASE WHEN rn > 60 THEN {ret(60)} END AS k60 FROM steps),
 per_time AS (SELECT month, open_time, count(k5) AS n5, count(k15) AS n15, count(k60) AS n60,

@@ -49,8 +49,26 @@ LOSO_SQL = f"""SELECT t.symbol AS removed_symbol, count(*) AS trade_count, {r("s
   FROM top8 t JOIN ex e ON e.symbol <> t.symbol JOIN d ON d.removed = t.symbol GROUP BY 1"""
 
 
-@query(
+query(
     "o01_leave_symbol_out",
+    with_tables(
+        "ret",
+        f"""SELECT removed AS removed_symbol, count(e.symbol) AS trade_count, {r("coalesce(sum(profit), 0.0)", 2)} AS portfolio_profit, {r("coalesce(avg(net), 0.0)")} AS avg_net_return,
+        {r("coalesce(avg(CAST(net > 0 AS INTEGER)), 0.0)")} AS win_rate, count(DISTINCT trade_day) AS active_days, count(DISTINCT e.symbol) AS active_symbols,
+        (SELECT count(*) FROM ex) - count(e.symbol) AS removed_trades, {r("(coalesce(sum(profit), 0.0) - (SELECT sum(profit) FROM ex)) / 10000.0")} AS return_delta
+        FROM (SELECT DISTINCT symbol AS removed FROM ex) x LEFT JOIN ex e ON e.symbol <> x.removed GROUP BY 1""",
+        EX,
+    ),
+)(
+    lambda t: rounded(
+        research.leave_each_symbol(executed(t)), ["removed_symbol", "trade_count", "active_days", "active_symbols", "removed_trades"],
+        {"portfolio_profit": 2, "avg_net_return": 6, "win_rate": 6, "return_delta": 6},
+    )
+)
+
+
+@query(
+    "o01_top_symbol_drawdowns",
     with_tables(
         "ret", LOSO_SQL, EX, EXPOSURE_CTE,
         "top8 AS (SELECT symbol FROM expo ORDER BY net_profit DESC, trade_count DESC, symbol LIMIT 8)",
@@ -58,9 +76,10 @@ LOSO_SQL = f"""SELECT t.symbol AS removed_symbol, count(*) AS trade_count, {r("s
         drawdown_cte("d", "pairs", "removed"),
     ),
 )
-def leave_symbol_out(t):
+def top_symbol_drawdowns(t):
+    """A report on the eight symbols with the largest profit; o01_leave_symbol_out has all symbols."""
     df = executed(t)
-    out = research.leave_symbol(df, research.top_symbols(df))
+    out = research.leave_symbol(df, research.top_symbols(df, 8))
     return rounded(
         out, ["removed_symbol", "trade_count", "active_days", "active_symbols", "removed_trades"],
         {"portfolio_profit": 2, "avg_net_return": 6, "win_rate": 6, "return_delta": 6, "max_drawdown": 6},
@@ -574,7 +593,7 @@ def logistic(t):
 @query("m04_boosted_trees")
 def boosted_trees(t):
     train, val, test = model_rows(t)
-    model = models.gbt(train, val, FEATURES, "classifier", "label", max_iter=5, depth=3)
+    model = models.gbt(train, val, FEATURES, "classifier", "label")
     return models.evaluate(model.score(test, "score"), "score", 0.5)
 
 
@@ -583,7 +602,7 @@ def ranker(t):
     train, val, test = model_rows(t)
     cuts = labels.grade_cuts(train, "net", 0.25, 0.5, 0.75)
     graded = [labels.relevance(d, cuts, "net").withColumn("grade", F.col("grade").cast("double")) for d in (train, val)]
-    scored = models.rank(*graded, FEATURES, "grade", max_iter=5, depth=3).score(test, "ranker_score")
+    scored = models.rank(*graded, FEATURES, "grade").score(test, "ranker_score")
     top = select.topk(scored.withColumn("row_id", F.col("symbol")), 1, ["open_time"], [F.desc("ranker_score"), F.col("symbol")])
     return top.agg(n_rows("picks"), rnd(F.avg("net")).alias("mean_net"), rnd(F.avg("label")).alias("precision"))
 
@@ -597,7 +616,7 @@ def batch_score(t):
 @query("m07_importance")
 def importance(t):
     train, val, _ = model_rows(t)
-    return models.gbt(train, val, FEATURES, "regressor", "trade_return", max_iter=5, depth=3).importance()
+    return models.gbt(train, val, FEATURES, "regressor", "trade_return").importance()
 
 
 @query("m08_ensemble")

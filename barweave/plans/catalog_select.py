@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import rnd
 from ..operators import features, scores, select, splits
+from ..sources import candidates as arts
 from ..sources import samples as sets
 from .bindings import r, with_tables
 from .catalog_bars import BREADTH_CTE, FEATURE_SQL, LEADER_CTE, LEADER_MAP, MIN_SYMBOLS, STEPS_CTE, clip, gate
@@ -649,23 +650,29 @@ def filled_sizes(t):
     return out.groupBy("fold_id", "size_filled").agg(n_rows(), rnd(F.avg("position_size"), 3).alias("mean_size"))
 
 
+K25_SCOPES = {"decision": "decision_bucket_id", "execution": "execution_bucket_id", "period": "period_bucket_id"}
+K25_ID = "CASE WHEN candidate_id IS NOT NULL THEN 'candidate:' || candidate_id WHEN stable_row_id IS NOT NULL THEN 'stable:' || stable_row_id ELSE source || ':' || fold_id || ':' || row_position END"
+K25_RANKS = ", ".join(
+    f"rank() OVER (PARTITION BY {c} ORDER BY hybrid_score DESC, symbol, row_id) AS rank_within_{k}_bucket, count(*) OVER (PARTITION BY {c}) AS candidate_count_within_{k}_bucket" for k, c in K25_SCOPES.items()
+)
+
+
 @query(
     "k25_annotations",
     with_tables(
         "art",
-        """SELECT stable_row_id, rank() OVER (PARTITION BY decision_bucket_id ORDER BY hybrid_score DESC, symbol, stable_row_id) AS rank_within_decision_bucket,
-        count(*) OVER (PARTITION BY decision_bucket_id) AS candidate_count_within_decision_bucket,
-        rank() OVER (PARTITION BY period_bucket_id ORDER BY hybrid_score DESC, symbol, stable_row_id) AS rank_within_period_bucket,
-        count(*) OVER (PARTITION BY period_bucket_id) AS candidate_count_within_period_bucket,
+        f"""SELECT row_id, {K25_RANKS},
         CASE WHEN selected_by_threshold = 0 THEN 'threshold' WHEN selected_by_score_edge = 0 THEN 'score_edge' WHEN selected_by_symbol_filter = 0 THEN 'symbol_filter'
-          WHEN selected_by_topk = 0 THEN 'ranking' WHEN executed = 0 THEN 'execution' ELSE '' END AS rejection_stage FROM art WHERE stable_row_id IS NOT NULL""",
+          WHEN selected_by_topk = 0 THEN 'ranking' WHEN executed = 0 THEN 'execution' ELSE '' END AS rejection_stage FROM (SELECT *, {K25_ID} AS row_id FROM art)""",
     ),
 )
 def annotations(t):
-    a = t.artifact.filter("stable_row_id IS NOT NULL").withColumn("row_id", F.col("stable_row_id"))
-    out = select.annotate(a, "hybrid_score", {"decision": "decision_bucket_id", "period": "period_bucket_id"})
-    kinds = [f"{x}_within_{k}_bucket" for k in ("decision", "period") for x in ("rank", "candidate_count")]
-    return out.select("stable_row_id", *kinds, "rejection_stage")
+    a = t.artifact.withColumn("row_id", arts.row_id(t.artifact))
+    flags = ["selected_by_threshold", "selected_by_score_edge", "selected_by_symbol_filter", "selected_by_topk", "executed", "configured_top_k"]
+    narrow = a.select("row_id", "symbol", "hybrid_score", *K25_SCOPES.values(), *[c for c in flags if c in a.columns])
+    out = select.annotate(narrow, "hybrid_score", K25_SCOPES)
+    kinds = [f"{x}_within_{k}_bucket" for k in K25_SCOPES for x in ("rank", "candidate_count")]
+    return out.select("row_id", *kinds, "rejection_stage")
 
 
 query("k26_position_size", with_tables("cand", f"SELECT row_id, {r('least(1000.0, quote_volume * 0.01)', 3)} AS size FROM cand"))(

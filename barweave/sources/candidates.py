@@ -54,19 +54,15 @@ def fingerprint(df: DataFrame) -> DataFrame:
     )
 
 
-def write_candidates(df: DataFrame, path: str, limit: int | None = None) -> None:
-    """Rows under `path/rows`, the manifest (version, counts, digest, coverage) under `path/manifest`.
-
-    A row limit is part of the artifact: it marks the coverage as not full.
-    """
+def write_candidates(df: DataFrame, path: str) -> None:
+    """Rows under `path/rows`, the manifest (version, counts, digest, coverage) under `path/manifest`."""
     spark = df.sparkSession
     rows = to_schema(df)
-    kept = rows.limit(limit) if limit else rows
-    kept.write.mode("overwrite").parquet(f"{path}/rows")
+    rows.write.mode("overwrite").parquet(f"{path}/rows")
     stored = spark.read.parquet(f"{path}/rows")
     manifest = fingerprint(stored).select(
         F.lit(SCHEMA_VERSION).alias("version"), F.lit(True).alias("complete"), "*",
-        F.lit(not limit).alias("full_candidate_coverage"),
+        F.lit(True).alias("full_candidate_coverage"),
     )
     manifest.write.mode("overwrite").json(f"{path}/manifest")
 

@@ -89,9 +89,9 @@ def test_candidate_round_trip_and_checks(spark, tmp_path):
     got.limit(1).write.mode("append").parquet(f"{path}/rows")
     with pytest.raises(ValueError, match="manifest"):
         arts.read_candidates(spark, path)
-    arts.write_candidates(df, path, limit=1)
+    arts.write_candidates(df, path)
     manifest = spark.read.json(f"{path}/manifest").first()
-    assert manifest["rows"] == 1 and manifest["full_candidate_coverage"] is False
+    assert manifest["rows"] == 2 and manifest["full_candidate_coverage"] is True
 
 
 def test_names_and_units(spark):

@@ -105,7 +105,7 @@ def test_gross_return_prefers_the_dynamic_exit(spark):
 
 def test_leave_symbol_out_matches_filtering(spark):
     df = trades(spark, 40).withColumn("predicted_return", F.lit(0.0))
-    names = research.top_symbols(df)
+    names = research.top_symbols(df, 8)
     got = {r.removed_symbol: r for r in research.leave_symbol(df, names).collect()}
     for name in names:
         want = accounting.portfolio(df.filter(F.col("symbol") != name), []).first()
