@@ -46,13 +46,18 @@ def ev_predicted(predicted_return, cost: float = COST) -> Column:
     return as_col(predicted_return) - cost
 
 
-def hybrid(mode: str, p, predicted_return, cost: float = COST, min_p: float = 0.0) -> Column:
-    """'probability_times_return' p*r - cost; 'expected_return' r - cost; below the probability gate -inf."""
+def hybrid(mode: str, p, predicted_return, cost: float = COST, min_p: float = 0.0, win=None, loss=None) -> Column:
+    """'probability_times_return' p*r - cost; 'expected_return' r - cost; 'conditional_payoff' p*win + (1-p)*loss - cost with the
+    win and loss returns of `payoffs`; below the probability gate -inf."""
     p, ret = as_col(p), as_col(predicted_return)
     if mode == "probability_times_return":
         value = p * ret - cost
     elif mode == "expected_return":
         value = ret - cost
+    elif mode == "conditional_payoff":
+        if win is None or loss is None:
+            raise ValueError("conditional_payoff needs the win and loss returns")
+        value = p * as_col(win) + (1 - p) * as_col(loss) - cost
     else:
         raise ValueError(f"unknown hybrid mode {mode}")
     return F.when(p >= min_p, value).otherwise(F.lit(float("-inf")))

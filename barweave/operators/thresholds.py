@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import safe_ratio
-from . import quantiles
+from ..functions.scalars import MS_PER_DAY, safe_ratio
+from . import accounting, prefix, quantiles
 
 # Quantiles and top counts that enter an adaptive grid, and the threshold of 'no trade'.
 GRID_QUANTILES = (0.50, 0.60, 0.70, 0.80, 0.85, 0.90, 0.925, 0.95, 0.975, 0.99, 0.995)
@@ -63,15 +63,45 @@ def values_of(grid_df: DataFrame) -> list[float]:
     return sorted(row[0] for row in grid_df.collect())
 
 
-def sweep(df: DataFrame, thresholds: list[float], score: str, keys: list[str]) -> DataFrame:
-    """Metrics of the rows at or above each threshold, per key. Needs the columns of `accounting.with_returns`."""
+def _tails(df: DataFrame, totals: DataFrame, score: str, keys: list[str]) -> DataFrame:
+    """Mean net return of the best hundredth and tenth (at least one row) of the rows at or above each threshold.
+
+    They are heads of one ranking, so a running sum looked up at two ranks a threshold is enough."""
+    ties = [c for c in ("open_time", "symbol", "row_id") if c in df.columns]
+    run = prefix.ordered(df.select(*keys, score, *ties, "net"), keys, [F.desc(score), *ties], rank="_rank", sums={"_sum": F.col("net")})
+    size = lambda share: F.greatest(F.lit(1), F.ceil(F.col("trades") * share)).cast("bigint")
+    heads = totals.select(*keys, "i", F.explode(F.array(F.struct(F.lit("p").alias("_tail"), size(0.01).alias("_rank")), F.struct(F.lit("d").alias("_tail"), size(0.1).alias("_rank")))).alias("_h"))
+    found = run.join(F.broadcast(heads.select(*keys, "i", "_h.*")), [*keys, "_rank"])  # two rows for each key and threshold
+    mean = F.col("_sum") / F.col("_rank")
+    return found.groupBy(*keys, "i").agg(
+        F.max(F.when(F.col("_tail") == "p", mean)).alias("top_1pct_net"), F.max(F.when(F.col("_tail") == "d", mean)).alias("top_decile_net")
+    )
+
+
+def sweep(
+    df: DataFrame, thresholds: list[float], score: str, keys: list[str],
+    tails: bool = False, short_history_days: float | None = None, drawdown_order: list | None = None,
+) -> DataFrame:
+    """Metrics of the rows at or above each threshold, per key. Needs the columns of `accounting.with_returns`.
+
+    A column expected_value gives avg_expected_value. `tails` adds top_1pct_net and top_decile_net, `short_history_days` the share of
+    rows whose symbol was first seen less than that before, `drawdown_order` the worst fall from the peak in that order.
+    """
     ts = sorted(set(thresholds))
     passed = sum((F.when(F.col(score) >= t, 1).otherwise(0) for t in ts), F.lit(0))
     rows = df.withColumn("_bin", passed)
     steps = F.explode(F.sequence(F.lit(1), F.col("_bin"))).alias("i")
     won = F.col("net") > 0
 
+    expected = F.col("expected_value") if "expected_value" in df.columns else F.lit(None).cast("double")
+    young = F.lit(0)
+    if short_history_days is not None:
+        first = df.groupBy("symbol").agg(F.min("open_time").alias("_first"))
+        rows = rows.join(first, "symbol")
+        young = (F.col("open_time") - F.col("_first") < short_history_days * MS_PER_DAY).cast("int")
     cells = rows.groupBy(*keys, "symbol", "_bin").agg(
+        F.sum(expected).alias("expected"),
+        F.sum(young).alias("young"),
         F.count(F.lit(1)).alias("trades"),
         F.count_if(F.col("label") == 1).alias("tp"),
         F.sum("profit").alias("profit"),
@@ -81,7 +111,7 @@ def sweep(df: DataFrame, thresholds: list[float], score: str, keys: list[str]) -
         F.sum(F.when(won, F.col(score)).otherwise(0.0)).alias("winner_score"),
         F.sum(F.when(won, 0.0).otherwise(F.col(score))).alias("loser_score"),
     )
-    sums = ["trades", "tp", "profit", "net", "cost_drag", "winners", "winner_score", "loser_score"]
+    sums = ["trades", "tp", "profit", "net", "cost_drag", "winners", "winner_score", "loser_score", "expected", "young"]
     open_cells = cells.filter("_bin > 0")
     per_symbol = open_cells.select(*keys, "symbol", steps, *sums).groupBy(*keys, "i", "symbol").agg(
         *[F.sum(c).alias(c) for c in sums]
@@ -89,12 +119,15 @@ def sweep(df: DataFrame, thresholds: list[float], score: str, keys: list[str]) -
     biggest = Window.partitionBy(*keys, "i").orderBy(F.desc("trades"), "symbol")  # one row per symbol
     per_symbol = per_symbol.withColumn("_place", F.row_number().over(biggest))
     gain = F.greatest(F.lit(0.0), F.col("profit"))
+    richest = Window.partitionBy(*keys, "i").orderBy(F.desc(gain), "symbol")  # one row per symbol
+    per_symbol = per_symbol.withColumn("_rich", F.row_number().over(richest))
     totals = per_symbol.groupBy(*keys, "i").agg(
         *[F.sum(c).alias(c) for c in sums],
         F.max("trades").alias("_top1"),
         F.sum(F.when(F.col("_place") <= 3, F.col("trades"))).alias("_top3"),
         F.max(gain).alias("_gain1"),
         F.sum(gain).alias("_gains"),
+        F.sum(F.when(F.col("_rich") <= 3, gain)).alias("_gain3"),
     )
     days = rows.filter("_bin > 0").groupBy(*keys, "trade_day", "_bin").agg(F.count(F.lit(1)).alias("n"))
     days = days.select(*keys, "trade_day", "n", steps).groupBy(*keys, "i", "trade_day").agg(F.sum("n").alias("n"))
@@ -103,8 +136,16 @@ def sweep(df: DataFrame, thresholds: list[float], score: str, keys: list[str]) -
     labels = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("threshold")) for i, t in enumerate(ts, 1)]))
     frame = positives.select(*keys, "_pos", "_rows", labels.alias("g")).select(*keys, "_pos", "_rows", "g.*")
     out = frame.join(totals, [*keys, "i"], "left").join(days, [*keys, "i"], "left")
-    zero = [*sums, "_top1", "_top3", "_gain1", "_gains", "active_days", "max_trades_in_day"]
-    out = out.fillna(0, zero)
+    zero = [*sums, "_top1", "_top3", "_gain1", "_gain3", "_gains", "active_days", "max_trades_in_day"]
+    more = []
+    if tails:
+        out = out.join(_tails(df, totals, score, keys), [*keys, "i"], "left")
+        more += ["top_1pct_net", "top_decile_net"]
+    if drawdown_order is not None:
+        each = rows.filter("_bin > 0").select(*keys, *[c for c in drawdown_order if c not in keys], "profit", steps)
+        out = out.join(accounting.drawdown(each, [*keys, "i"], drawdown_order).drop("max_drawdown_money"), [*keys, "i"], "left")
+        more.append("max_drawdown")
+    out = out.fillna(0, [*zero, *more])
     n, tp = F.col("trades"), F.col("tp")
     return out.select(
         *keys, F.col("i").alias("threshold_index"), "threshold", "trades", "tp",
@@ -121,6 +162,10 @@ def sweep(df: DataFrame, thresholds: list[float], score: str, keys: list[str]) -
         safe_ratio(F.col("_top3"), n).alias("trade_top3"),
         safe_ratio(F.col("_gain1"), F.col("_gains")).alias("profit_top1"),
         safe_ratio(n, F.col("_rows")).alias("signal_share"),
+        safe_ratio(F.col("_gain3"), F.col("_gains")).alias("profit_top3"),
+        safe_ratio(F.col("expected"), n).alias("avg_expected_value"),
+        safe_ratio(F.col("young"), n).alias("short_history_share"),
+        *more,
     )
 
 
@@ -181,8 +226,9 @@ def penalised(
 def flags(
     min_trades: int = 0, max_trades: int = 0, min_precision: float = 0.0, min_avg_net: float | None = None,
     min_score_gap: float | None = None, max_signal_share: float = 1.0, max_trade_top1: float = 1.0, max_profit_top1: float = 1.0,
+    max_profit_top3: float = 1.0, positive_top_1pct: bool = False, min_top_decile: float | None = None,
 ) -> Column:
-    """Array of the names of the failed admission checks."""
+    """Array of the names of the failed admission checks; the two on tail returns need a sweep with tails."""
     checks = {
         "rejected_under_min_trades": F.col("trades") < min_trades,
         "rejected_over_max_trades": (F.col("trades") > max_trades) if max_trades else None,
@@ -192,6 +238,9 @@ def flags(
         "rejected_over_signal_share": F.col("signal_share") > max_signal_share,
         "rejected_over_trade_concentration": F.col("trade_top1") > max_trade_top1,
         "rejected_over_top1_concentration": F.col("profit_top1") > max_profit_top1,
+        "rejected_over_top3_concentration": F.col("profit_top3") > max_profit_top3,
+        "rejected_negative_top_1pct": (F.col("top_1pct_net") < 0) if positive_top_1pct else None,
+        "rejected_under_min_top_decile_net_return": (F.col("top_decile_net") < min_top_decile) if min_top_decile is not None else None,
     }
     return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items() if c is not None]))
 

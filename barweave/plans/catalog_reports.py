@@ -56,16 +56,17 @@ GRID_CTE = "grid AS (SELECT CAST(i AS INTEGER) AS i, t AS threshold FROM (VALUES
     f"({i}, {t}::DOUBLE)" for i, t in enumerate(GRID, 1)
 ) + ") v(i, t))"
 SWEEP_CTE = """hits AS (SELECT g.i, g.threshold, r.* FROM ret r JOIN grid g ON r.probability >= g.threshold),
-per_sym AS (SELECT fold, i, symbol, count(*) AS n, sum(profit) AS p, row_number() OVER (PARTITION BY fold, i ORDER BY count(*) DESC, symbol) AS place FROM hits GROUP BY 1, 2, 3),
-conc AS (SELECT fold, i, max(n) AS top1, sum(n) FILTER (WHERE place <= 3) AS top3, max(greatest(0.0, p)) AS gain1, sum(greatest(0.0, p)) AS gains FROM per_sym GROUP BY 1, 2),
+per_sym AS (SELECT fold, i, symbol, count(*) AS n, sum(profit) AS p, row_number() OVER (PARTITION BY fold, i ORDER BY count(*) DESC, symbol) AS place,
+  row_number() OVER (PARTITION BY fold, i ORDER BY greatest(0.0, sum(profit)) DESC, symbol) AS rich FROM hits GROUP BY 1, 2, 3),
+conc AS (SELECT fold, i, max(n) AS top1, sum(n) FILTER (WHERE place <= 3) AS top3, max(greatest(0.0, p)) AS gain1, sum(greatest(0.0, p)) FILTER (WHERE rich <= 3) AS gain3, sum(greatest(0.0, p)) AS gains FROM per_sym GROUP BY 1, 2),
 per_day AS (SELECT fold, i, count(*) AS active_days, max(n)::BIGINT AS max_day FROM (SELECT fold, i, trade_day, count(*) AS n FROM hits GROUP BY 1, 2, 3) GROUP BY 1, 2),
-sums AS (SELECT fold, i, count(*) AS trades, sum(label)::BIGINT AS tp, sum(profit) AS profit, sum(net) AS net, sum((gross - net) * position_size) AS cost_drag,
+sums AS (SELECT fold, i, count(*) AS trades, sum(label)::BIGINT AS tp, sum(profit) AS profit, sum(net) AS net, sum((gross - net) * position_size) AS cost_drag, avg(expected_value) AS ev,
   coalesce(avg(probability) FILTER (WHERE net > 0), 0.0) - coalesce(avg(probability) FILTER (WHERE net <= 0), 0.0) AS score_gap FROM hits GROUP BY 1, 2),
 whole AS (SELECT fold, sum(label) AS pos, count(*) AS n FROM ret GROUP BY 1),
 sweep AS (SELECT w.fold, g.i, g.threshold, coalesce(trades, 0) AS trades, coalesce(tp, 0) AS tp, coalesce(tp / trades, 0.0) AS precision, coalesce(tp, 0) / pos AS recall,
   2 * coalesce(tp, 0) / (coalesce(trades, 0) + pos) AS f1, coalesce(profit, 0.0) AS profit, coalesce(profit / trades, 0.0) AS avg_profit, coalesce(net / trades, 0.0) AS avg_net,
   coalesce(cost_drag, 0.0) AS cost_drag, coalesce(score_gap, 0.0) AS score_gap, coalesce(active_days, 0) AS active_days, coalesce(max_day, 0) AS max_day,
-  coalesce(top1 / trades, 0.0) AS trade_top1, coalesce(top3 / trades, 0.0) AS trade_top3, coalesce(gain1 / gains, 0.0) AS profit_top1, coalesce(trades, 0) / n AS signal_share
+  coalesce(top1 / trades, 0.0) AS trade_top1, coalesce(top3 / trades, 0.0) AS trade_top3, coalesce(gain1 / gains, 0.0) AS profit_top1, coalesce(gain3 / gains, 0.0) AS profit_top3, coalesce(ev, 0.0) AS ev, coalesce(trades, 0) / n AS signal_share
   FROM whole w CROSS JOIN grid g LEFT JOIN sums s ON s.fold = w.fold AND s.i = g.i LEFT JOIN conc c ON c.fold = w.fold AND c.i = g.i LEFT JOIN per_day d ON d.fold = w.fold AND d.i = g.i)"""
 SWEEP = ("ret", GRID_CTE, SWEEP_CTE)
 
@@ -74,8 +75,11 @@ def sweep_sql(sql: str, *more: str) -> str:
     return with_tables("ret", sql, GRID_CTE, SWEEP_CTE, *more)
 
 
-def swept(t):
-    return thresholds.sweep(t.returns, GRID, "probability", ["fold"])
+YOUNG = 500  # days
+
+
+def swept(t, **more):
+    return thresholds.sweep(t.returns, GRID, "probability", ["fold"], **more)
 
 
 BASE_GRID = [0.5, 0.6, 0.7, 0.8, 0.9]
@@ -111,7 +115,7 @@ query(
     ).select(rnd("threshold", 5).alias("threshold"))
 )
 
-T3 = {"precision": 6, "recall": 6, "f1": 6, "profit": 2, "avg_profit": 4, "avg_net": 6, "cost_drag": 2, "score_gap": 6, "trade_top1": 6, "trade_top3": 6, "profit_top1": 6, "signal_share": 6}
+T3 = {"precision": 6, "recall": 6, "f1": 6, "profit": 2, "avg_profit": 4, "avg_net": 6, "cost_drag": 2, "score_gap": 6, "trade_top1": 6, "trade_top3": 6, "profit_top1": 6, "profit_top3": 6, "signal_share": 6}
 query(
     "t03_threshold_sweep",
     sweep_sql(
@@ -120,8 +124,8 @@ query(
     ),
 )(lambda t: rounded(swept(t), ["fold", "threshold", "trades", "tp", "active_days", "max_trades_in_day"], T3))
 
-OBJECTIVES = ("profit", "precision", "recall", "f1", "avg_profit", "profit_balanced")
-OBJ_SQL = {o: f"CASE WHEN trades > 0 THEN {r(o, 3)} END" for o in OBJECTIVES[:-1]}
+OBJECTIVES = ("profit", "precision", "recall", "f1", "avg_profit", "ev", "profit_balanced")
+OBJ_SQL = {o: f"CASE WHEN trades > 0 THEN {r(o, 3)} END" for o in OBJECTIVES[:-1]}  # ev is a column of the sweep
 OBJ_SQL["profit_balanced"] = f"CASE WHEN trades > 0 THEN {r('CASE WHEN profit > 0 THEN profit * least(1.0, trades / 1500) ELSE profit END', 3)} END"
 OBJ_SQL["profit_strict"] = f"CASE WHEN trades > 0 THEN {r('profit', 3)} ELSE 0.0 END"
 
@@ -138,15 +142,20 @@ query(
     sweep_sql(
         f"""SELECT CAST(fold AS INTEGER) AS fold, threshold, {r('''profit - 10 * greatest(0, trades - 2000) - 2000 * profit_top1 - 100 * trade_top1
         - 50 * greatest(0.0, coalesce(trades / nullif(active_days, 0), 0.0) - 4) - 25 * greatest(0, max_day - 6) - 5 * (profit_top1 + trade_top1)
-        - greatest(0.0, trade_top1 - 0.012) / (1.0 - 0.012)''', 2)} AS penalised FROM sweep"""
+        - greatest(0.0, trade_top1 - 0.012) / (1.0 - 0.012) - 3000 * profit_top3 - 700 * coalesce(dd, 0.0) - 900 * coalesce(young, 0.0)''', 2)} AS penalised
+        FROM sweep LEFT JOIN falls USING (fold, i) LEFT JOIN ages USING (fold, i)""",
+        """falls AS (SELECT fold, i, max((peak - equity) / peak) AS dd FROM (SELECT *, greatest(10000.0, max(equity) OVER (PARTITION BY fold, i ORDER BY open_time, symbol, row_id ROWS UNBOUNDED PRECEDING)) AS peak
+          FROM (SELECT fold, i, open_time, symbol, row_id, 10000.0 + sum(profit) OVER (PARTITION BY fold, i ORDER BY open_time, symbol, row_id ROWS UNBOUNDED PRECEDING) AS equity FROM hits)) GROUP BY 1, 2)""",
+        f"ages AS (SELECT fold, i, avg(CAST(open_time - since < {YOUNG * 86400000} AS INTEGER)) AS young FROM hits JOIN (SELECT symbol, min(open_time) AS since FROM ret GROUP BY 1) USING (symbol) GROUP BY 1, 2)",
     ),
 )(
-    lambda t: swept(t).select(
+    lambda t: swept(t, short_history_days=YOUNG, drawdown_order=accounting.ORDER).select(
         "fold", "threshold",
         rnd(
             thresholds.penalised(
                 F.col("profit"), trade_count=10, target_trades=2000, top1=2000, trade_top1=100, trade_top1_cap=0.012,
                 burst_day=50, target_per_day=4, burst_max=25, target_max_in_day=6, diversity=5,
+                top3=3000, drawdown=700, short_history=900,
             ),
             2,
         ).alias("penalised"),
@@ -161,13 +170,28 @@ query(
     )
 )
 
-FLAGS = {"min_trades": 700, "max_trades": 8000, "min_precision": 0.33, "min_avg_net": 0.0085, "min_score_gap": -0.002, "max_signal_share": 0.9, "max_trade_top1": 0.02, "max_profit_top1": 0.03}
+FLAGS = {"min_trades": 700, "max_trades": 8000, "min_precision": 0.33, "min_avg_net": 0.0085, "min_score_gap": -0.002, "max_signal_share": 0.9, "max_trade_top1": 0.02, "max_profit_top1": 0.03,
+         "max_profit_top3": 0.05, "positive_top_1pct": True, "min_top_decile": 0.0095}
 FLAG_SQL = """concat_ws(';', CASE WHEN trades < 700 THEN 'rejected_under_min_trades' END, CASE WHEN trades > 8000 THEN 'rejected_over_max_trades' END,
   CASE WHEN precision < 0.33 THEN 'rejected_under_min_precision' END, CASE WHEN avg_net < 0.0085 THEN 'rejected_under_min_avg_net_return' END,
   CASE WHEN score_gap < -0.002 THEN 'rejected_under_min_score_gap' END, CASE WHEN signal_share > 0.9 THEN 'rejected_over_signal_share' END,
-  CASE WHEN trade_top1 > 0.02 THEN 'rejected_over_trade_concentration' END, CASE WHEN profit_top1 > 0.03 THEN 'rejected_over_top1_concentration' END)"""
-query("t07_admission_flags", sweep_sql(f"SELECT CAST(fold AS INTEGER) AS fold, threshold, {FLAG_SQL} AS flags FROM sweep"))(
-    lambda t: swept(t).select("fold", "threshold", F.concat_ws(";", thresholds.flags(**FLAGS)).alias("flags"))
+  CASE WHEN trade_top1 > 0.02 THEN 'rejected_over_trade_concentration' END, CASE WHEN profit_top1 > 0.03 THEN 'rejected_over_top1_concentration' END,
+  CASE WHEN profit_top3 > 0.05 THEN 'rejected_over_top3_concentration' END, CASE WHEN coalesce(p1, 0.0) < 0 THEN 'rejected_negative_top_1pct' END,
+  CASE WHEN coalesce(d1, 0.0) < 0.0095 THEN 'rejected_under_min_top_decile_net_return' END)"""
+TAIL_CTES = (
+    "ordered AS (SELECT fold, row_number() OVER w AS rk, sum(net) OVER (w ROWS UNBOUNDED PRECEDING) AS s FROM ret WINDOW w AS (PARTITION BY fold ORDER BY probability DESC, open_time, symbol, row_id))",
+    "tails AS (SELECT x.fold, i, max(s / rk) FILTER (WHERE rk = greatest(1, ceil(trades * 0.01))) AS p1, max(s / rk) FILTER (WHERE rk = greatest(1, ceil(trades * 0.1))) AS d1 FROM sums x JOIN ordered o ON o.fold = x.fold GROUP BY 1, 2)",
+)
+query(
+    "t07_admission_flags",
+    sweep_sql(
+        f"SELECT CAST(fold AS INTEGER) AS fold, threshold, {FLAG_SQL} AS flags, {r('coalesce(p1, 0.0)')} AS top_1pct_net, {r('coalesce(d1, 0.0)')} AS top_decile_net FROM sweep LEFT JOIN tails USING (fold, i)",
+        *TAIL_CTES,
+    ),
+)(
+    lambda t: swept(t, tails=True).select(
+        "fold", "threshold", F.concat_ws(";", thresholds.flags(**FLAGS)).alias("flags"), rnd("top_1pct_net").alias("top_1pct_net"), rnd("top_decile_net").alias("top_decile_net")
+    )
 )
 
 JUDGED_CTE = """judged AS (SELECT *, concat_ws(';', CASE WHEN precision < 0.33 THEN 'p' END, CASE WHEN trade_top1 > 0.018 THEN 'c' END) AS flags,

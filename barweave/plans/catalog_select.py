@@ -231,15 +231,19 @@ query("v03_expected_value_predicted", with_tables("cand", f"SELECT row_id, {r('p
     with_tables(
         "cand",
         f"""SELECT row_id, {r("calibrated_probability * predicted_return - 0.0015")} AS product_score,
-        calibrated_probability >= 0.5 AS passed, CASE WHEN calibrated_probability >= 0.5 THEN {r("predicted_return - 0.0015")} END AS return_score FROM cand""",
+        calibrated_probability >= 0.5 AS passed, CASE WHEN calibrated_probability >= 0.5 THEN {r("predicted_return - 0.0015")} END AS return_score,
+        {r("calibrated_probability * win + (1 - calibrated_probability) * loss - 0.0015")} AS payoff_score
+        FROM cand, (SELECT avg(trade_return) FILTER (WHERE label = 1) AS win, avg(trade_return) FILTER (WHERE label = 0) AS loss FROM cand)""",
     ),
 )
 def hybrid_score(t):
     product = scores.hybrid("probability_times_return", "calibrated_probability", "predicted_return")
     gated = scores.hybrid("expected_return", "calibrated_probability", "predicted_return", min_p=0.5)
     passed = gated != float("-inf")
-    return t.candidates.select(
-        "row_id", rnd(product).alias("product_score"), passed.alias("passed"), F.when(passed, rnd(gated)).alias("return_score")
+    paid = scores.hybrid("conditional_payoff", "calibrated_probability", "predicted_return", win="win_return", loss="loss_return")
+    both = t.candidates.crossJoin(F.broadcast(scores.payoffs(t.candidates, 0.02, 0.02)))  # one row
+    return both.select(
+        "row_id", rnd(product).alias("product_score"), passed.alias("passed"), F.when(passed, rnd(gated)).alias("return_score"), rnd(paid).alias("payoff_score")
     )
 
 
