@@ -27,8 +27,10 @@ def trade_order(columns: list[str]) -> Column:
 
 
 def from_trades(trades: DataFrame, bucket_ms: int = MS_PER_MINUTE, tie: list[str] | None = None) -> DataFrame:
-    """One bar per symbol and bucket. Plain aggregates, so a hot symbol is combined before the shuffle."""
-    order = trade_order(tie or ["trade_time"])
+    """One bar per symbol and bucket. Plain aggregates, so a hot symbol is combined before the shuffle.
+
+    Trades of one time are ordered by `trade_id`, if the tape has it, unless `tie` says otherwise."""
+    order = trade_order(tie or (["trade_time", "trade_id"] if "trade_id" in trades.columns else ["trade_time"]))
     bucket = (F.col("trade_time") - F.pmod("trade_time", F.lit(bucket_ms))).alias("open_time")
     out = trades.groupBy("symbol", bucket).agg(
         F.min_by("price", order).alias("open"),

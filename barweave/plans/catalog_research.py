@@ -693,7 +693,7 @@ query(
     "st02_stream_cooldown",
     with_tables(
         "trades",
-        "SELECT symbol, minute FROM acc",
+        "SELECT symbol, minute FROM acc WHERE minute < ((SELECT max(trade_us) // 1000 FROM trades) - 600000) // 60000",
         "mins AS (SELECT DISTINCT symbol, trade_time // 60000 AS minute FROM trades)",
         """acc AS (SELECT symbol, min(minute) AS minute FROM mins GROUP BY 1 UNION ALL
           SELECT a.symbol, min(m.minute) FROM acc a JOIN mins m ON m.symbol = a.symbol AND m.minute >= a.minute + 90 GROUP BY a.symbol, a.minute)""",

@@ -19,6 +19,7 @@ def parse_tape(lines: DataFrame) -> DataFrame:
     fields = lines.select("symbol", F.split("value", ",").alias("f")).filter(F.size("f") >= 6)
     rows = fields.select(
         "symbol",
+        F.col("f")[0].try_cast("long").alias("trade_id"),
         F.col("f")[1].try_cast("double").alias("price"),
         F.col("f")[2].try_cast("double").alias("quantity"),
         F.col("f")[4].try_cast("long").alias("trade_time"),

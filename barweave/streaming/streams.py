@@ -33,30 +33,39 @@ def bars(trades: DataFrame, every: str = "1 minute", delay: str = "10 minutes",
     return out.select("symbol", start, *[c for c in out.columns if c not in ("symbol", "window")])
 
 
-def cooldown(entries: DataFrame, minutes: int) -> DataFrame:
-    """Accepted minutes per symbol of an entry stream (symbol, open_time in ms).
+def cooldown(entries: DataFrame, minutes: int, delay: str = "10 minutes") -> DataFrame:
+    """Accepted minutes per symbol of an entry stream (symbol, open_time in ms), sent when the watermark has passed them.
 
-    The state is the last accepted minute. A chunk is cut to its distinct minutes at once, so memory is
-    bounded by minutes, not by rows. Entries of earlier micro-batches are not taken back.
+    Entries wait in the state until then, so the answer does not depend on how the stream is cut into micro-batches; entries later
+    than `delay` are dropped. The state holds the last accepted minute and the distinct minutes still open, and is freed by a timer once
+    the cooldown has run out.
     """
-    tagged = entries.select("symbol", floor_div("open_time", MS_PER_MINUTE).alias("minute"))
+    timed = entries.select("symbol", floor_div("open_time", MS_PER_MINUTE).alias("minute"), F.timestamp_millis("open_time").alias("ts")).withWatermark("ts", delay)
 
     def accept(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
+        last, waiting = state.get if state.exists else (None, [])
+        seen = set(waiting)
         for chunk in chunks:
             seen.update(chunk["minute"].unique().tolist())
-        last = state.get[0] if state.exists else None
-        kept = []
-        for m in sorted(seen):
-            if last is None or m - last >= minutes:
+        now = state.getCurrentWatermarkMs()
+        kept, rest = [], []
+        for m in sorted(int(m) for m in seen):
+            if m >= now // MS_PER_MINUTE:
+                rest.append(m)
+            elif last is None or m - last >= minutes:
                 kept.append(m)
                 last = m
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({"symbol": [key[0]] * len(kept), "minute": kept})
-
-    return tagged.groupBy("symbol").applyInPandasWithState(
-        accept, "symbol string, minute bigint", "last bigint", "append", GroupStateTimeout.NoTimeout
+        until = rest[0] + 1 if rest else None if last is None else last + minutes
+        if until is None or (not rest and until * MS_PER_MINUTE <= now):
+            if state.exists:
+                state.remove()
+        else:
+            state.update((last, rest))
+            state.setTimeoutTimestamp(max(until * MS_PER_MINUTE, now + 1))
+        yield pd.DataFrame({"symbol": [key[0]] * len(kept), "minute": kept}).astype({"minute": "int64"})
+
+    return timed.groupBy("symbol").applyInPandasWithState(
+        accept, "symbol string, minute bigint", "last bigint, waiting array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

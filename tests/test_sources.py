@@ -141,11 +141,14 @@ def test_late_trades_are_dropped(spark, tmp_path):
 
 
 def test_cooldown_state_carries_over_batches(spark, tmp_path):
-    def entry(minute):
-        return ("A", minute * 60000)
+    first = 28_400_000
 
-    raw = files(spark, tmp_path, [[entry(0), entry(10)], [entry(12), entry(16)], [entry(30), entry(31)]], "symbol string, open_time bigint")
-    assert sorted(r.minute for r in run(streams.cooldown(raw, 15), tmp_path, "cool")) == [0, 16, 31]
+    def entry(minute, symbol="A"):
+        return (symbol, (first + minute) * 60000)
+
+    parts = [[entry(0), entry(10)], [entry(12), entry(16)], [entry(30), entry(31)], [entry(60, "B")]]  # the last one moves the watermark on
+    raw = files(spark, tmp_path, parts, "symbol string, open_time bigint")
+    assert sorted(r.minute - first for r in run(streams.cooldown(raw, 15), tmp_path, "cool")) == [0, 16, 31]
 
 
 def test_topk_over_batches(spark, tmp_path):
@@ -156,3 +159,25 @@ def test_topk_over_batches(spark, tmp_path):
     raw.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
     got = streams.closed_topk(spark, out, 2, ["bucket"], "trade_score", F.col("bucket") < 2).collect()
     assert sorted(r.row_id for r in got) == ["b", "c"]
+
+
+def test_cooldown_does_not_depend_on_micro_batches(spark, tmp_path):
+    import random
+
+    rng = random.Random(1)
+    start = 28_400_000  # minutes
+    entries = sorted(rng.randrange(300) for _ in range(80))
+    rows = [(s, (start + m) * 60_000 + rng.randrange(60_000)) for m in entries for s in ("A", "B")] + [("C", (start + 2000) * 60_000)]
+    want, last = [], None
+    for m in entries:
+        if last is None or m - last >= 15:
+            want.append(start + m)
+            last = m
+    schema = "symbol string, open_time bigint"
+    for name, size, jitter in (("one", 1000, 0), ("many", 13, 0), ("late", 9, 8)):
+        shuffled = sorted(rows, key=lambda r: r[1] + rng.uniform(0, jitter) * 60_000)  # within the delay
+        parts = [shuffled[i : i + size] for i in range(0, len(rows), size)]
+        (tmp_path / name).mkdir()
+        got = run(streams.cooldown(files(spark, tmp_path / name, parts, schema), 15), tmp_path, f"{name}-out")
+        assert sorted(r.minute for r in got if r.symbol == "A") == want, name
+        assert sorted(r.minute for r in got if r.symbol == "B") == want, name
