@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from . import texts
 
 WINDOW = 20
-INNER = 10
+INNER = 6
 #: Edges in a piece.
 PIECE = 64
 #: Pieces a task remembers; beyond it only fewer copies are found before the shuffle.
@@ -105,6 +105,7 @@ def pieces(batches: Iterator[pa.RecordBatch], window: int = WINDOW, inner: int =
 
 def repeated_spans(documents: DataFrame) -> DataFrame:
     """doc_id, tag and spans: for each document with words to remove, the (first word, words) that occur earlier."""
+    texts.small_batches(documents.sparkSession)
     node = Window.partitionBy("node")
     bits = lambda at, n: F.shiftright("place", at).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
     start, edges, repeats, loops = bits(9, 31), bits(2, 7), bits(1, 1) == 1, bits(0, 1) == 1
