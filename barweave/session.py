@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_ROOTS: set[tuple[str, str]] = set()
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """UTC time and adaptive execution; everything else stays as the cluster set it."""
@@ -26,6 +28,7 @@ def local(cpus: int = 8, shuffle: int = 8, memory: str = "12g") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
         .getOrCreate()
     )
 
@@ -56,6 +59,14 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the checkpoint folder, which every executor can reach."""
+    """A fresh folder below the checkpoint folder, which every executor can reach; it goes when the application ends."""
     checkpoint_ready(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/barweave/{name}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    root = f"{sc.getCheckpointDir()}/barweave"
+    if (sc.applicationId, root) not in _ROOTS:
+        path = sc._jvm.org.apache.hadoop.fs.Path(root)
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _ROOTS.add((sc.applicationId, root))
+    return f"{root}/{name}-{uuid.uuid4().hex}"
