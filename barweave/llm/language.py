@@ -30,6 +30,8 @@ FIT_DOCS = 2000
 CALIBRATE_DOCS = 500
 #: Share of the calibration texts of a language whose cross-entropy lies below the rejection limit.
 KEPT = 0.995
+#: Bytes of text scored at a time.
+RUN = 1 << 20
 _EDGE = 10
 
 
@@ -141,7 +143,7 @@ def count_grams(sample: DataFrame, order: int) -> pd.DataFrame:
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in texts.parts(batch):
+            for part in texts.parts(batch, size=RUN):
                 langs = part.column("lang").to_pylist()
                 w = texts.words(part.column("text"), _LETTER_WORDS, lower=True)
                 code = {x: i for i, x in enumerate(sorted(set(langs)))}
@@ -191,6 +193,8 @@ def kneser_ney(counts: pd.DataFrame, order: int) -> Models:
                 kinds[g[:-1]] = kinds.get(g[:-1], 0) + 1
             weight = {h: discount * kinds[h] / sums[h] for h in sums}
             now = {g: (n - discount) / sums[g[:-1]] + weight[g[:-1]] * (lower.get(g[1:], floor) if k > 1 else floor) for g, n in table.items()}
+            if k == 1:  # a character that the language has not
+                floors[-1] = weight.get("", 1.0) * floor
             for g, p in now.items():
                 probs[k - 1].setdefault(g, {})[column] = p
             if k > 1:
@@ -228,7 +232,7 @@ def _margin(total: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _scored(models: Models, names: list[str]):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in texts.parts(batch, "_text"):
+            for part in texts.parts(batch, "_text", RUN):
                 keep = part.columns[:-1]
                 total, chars = word_bits(models, part.column("_text"))
                 best, entropy, lead = _margin(total, chars)
@@ -249,7 +253,7 @@ def _calibrated(models: Models, sample: DataFrame) -> Models:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in texts.parts(batch):
+            for part in texts.parts(batch, size=RUN):
                 total, chars = word_bits(models, part.column("text"))
                 best, entropy, lead = _margin(total, chars)
                 right = [models.languages[i] == x for i, x in zip(best, part.column("lang").to_pylist())]
@@ -286,6 +290,7 @@ def fit(documents: DataFrame, order: int = ORDER, fit_docs: int = FIT_DOCS, cali
 
 def report(documents: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred and score of each document, with its cross-entropy and whether the winning model finds it odd (``rejected``)."""
+    texts.small_batches(documents.sparkSession)
     models = fit(documents)
     source = documents.select("doc_id", F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("_text"))
     if models is None:
