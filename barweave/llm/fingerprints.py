@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import texts
+
 GRID = 32
 SPAN = 24
 SKETCH = 32
@@ -181,6 +183,7 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def report(documents: DataFrame) -> DataFrame:
     """One row a document; see _REPORT."""
     spark = documents.sparkSession
+    texts.small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rank = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
     source = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), rank.alias("rank"), F.col("text").cast("string").alias("text"))

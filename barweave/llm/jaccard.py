@@ -1,6 +1,6 @@
 """Near-duplicate classes: an exact Jaccard join of word-shingle sets over an R-tree of count vectors.
 
-A document's set holds its distinct 5-word shingles. The shingles are hashed into ``GROUPS`` groups, and the counts of the groups
+A document's set holds its distinct 5-word shingles. The shingles are hashed into groups (``GROUPS``, or more for long texts), and the counts of the groups
 are the document's point. For two sets the sum of the coordinate minima bounds the overlap from above, so a pair can be
 dropped, or a pair of boxes with all their pairs, if that sum is under the overlap that the similarity asks for.
 
@@ -10,9 +10,10 @@ dropped, or a pair of boxes with all their pairs, if that sum is under the overl
    documents share do not gather them. A fan-out group needs two nodes; groups with equal members are searched once.
 3. Star round: each member is held against one member of its group. Point bound first, then the sets. Dense groups of
    near copies become one component here, with as many pairs as members.
-4. Search: in each group that still has more than one component, the points are packed into leaves by recursive halving on the
-   widest coordinate; boxes of leaves, then points, are bounded by their summed minima; pairs between components that survive are
-   verified on the sets. Groups over ``TILE`` members are searched as pairs of tiles, so a task's memory stays bounded.
+4. Search: in each group that still has more than one component, the points, folded to ``GROUPS`` coordinates, are packed into leaves by recursive halving on
+   the widest coordinate; boxes of leaves, then points, then long texts' points with all their coordinates, are bounded by their summed minima; pairs between components that survive are
+   verified on the sets. Groups over ``TILE`` members are searched as pairs of tiles, so a task's memory stays bounded. One group in
+   ``FIRST_GROUPS`` is searched first, all others after its links have joined components: no group is left out.
 5. Links become components by alternating large-star and small-star steps; component ids are the smallest document ids.
 
 Which shingles count as frequent is taken from all documents, but only changes how work is spread; the result is exact.
@@ -38,10 +39,15 @@ from .decontaminate import Lookup
 SHINGLE = 5
 GROUPS = 256
 LEAF = 16
+#: Bytes of text taken at a time.
+RUN = 1 << 21
 SMALL = 48
 TILE = 4096
-#: Frequent shingles kept in the order, and nodes whose ids are sent to every task; beyond the latter the ids are joined instead.
-FREQUENT = 1 << 17
+#: One group in so many is searched before the others.
+FIRST_GROUPS = 16
+#: A shingle found in one document of so many goes last in the order: at most so many times the shingles of an average document do.
+FREQUENT = 256
+#: Nodes whose ids are sent to every task; beyond that the ids are joined instead.
 SENT = 1 << 20
 
 
@@ -67,24 +73,49 @@ class Sets:
         #: one 64-bit name for each set
         self.names = texts.span_hashes(self.values, self.first[:-1], self.first[1:]).view(np.int64)
 
-    def points(self) -> np.ndarray:
-        cell = self.owner * GROUPS + (self.values & np.uint64(GROUPS - 1)).astype(np.int64)
-        return np.bincount(cell, minlength=len(self.sizes) * GROUPS).reshape(-1, GROUPS)
+    def points(self) -> list[bytes]:
+        """The count vector of each set, with a byte in front that tells its item size."""
+        groups = dimensions(self.sizes)
+        base = np.append(0, np.cumsum(groups))
+        cell = base[self.owner] + (self.values & (groups[self.owner] - 1).astype(np.uint64)).astype(np.int64)
+        counts = np.bincount(cell, minlength=int(base[-1]))
+        out = []
+        for i, j in zip(base[:-1].tolist(), base[1:].tolist()):
+            own = counts[i:j]
+            size = 1 if (top := own.max()) < 256 else 2 if top < 65536 else 4
+            out.append(bytes([size]) + own.astype(f"<u{size}").tobytes())
+        return out
 
 
-def packed(points: np.ndarray) -> list[bytes]:
-    """Each point in the narrowest whole numbers that hold it."""
-    top = points.max(axis=1, initial=0)
-    return [p.astype("u1" if t < 256 else "<u2" if t < 65536 else "<u4").tobytes() for p, t in zip(points, top)]
+def dimensions(sizes: np.ndarray) -> np.ndarray:
+    """Groups of a set's point: a power of two, at least GROUPS and a quarter of the size, so that a group holds four shingles or fewer on average."""
+    return np.maximum(GROUPS, 1 << np.ceil(np.log2(np.maximum(sizes, 1) / 4)).clip(0).astype(np.int64))
 
 
-def unpacked(column: pa.Array) -> np.ndarray:
+def point(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, dtype=f"<u{raw[0]}", offset=1).astype(np.int64)
+
+
+def folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """The point with fewer groups: a shingle's group is its hash modulo their number."""
+    return counts.reshape(-1, groups).sum(axis=0)
+
+
+def coarse(column: pa.Array) -> np.ndarray:
+    """The points with GROUPS coordinates each."""
     out = np.empty((len(column), GROUPS), dtype=np.int64)
-    for i, b in enumerate(column.to_pylist()):
-        out[i] = np.frombuffer(b, dtype={GROUPS: "u1", 2 * GROUPS: "<u2", 4 * GROUPS: "<u4"}[len(b)])
+    for i, raw in enumerate(column.to_pylist()):
+        out[i] = folded(point(raw), GROUPS)
     return out
 
 
+def reaches(a: bytes, b: bytes) -> bool:
+    """Whether the bound of two points at their own resolution reaches the overlap asked for."""
+    x, y = point(a), point(b)
+    groups = min(len(x), len(y))
+    return 9 * int(np.minimum(folded(x, groups), folded(y, groups)).sum()) >= 4 * int(x.sum() + y.sum())
+
+
 _SCAN = "doc_id bigint, key bigint, n bigint, node bigint, point binary, shingle bigint, found bigint"
 
 
@@ -94,10 +125,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     nothing = lambda n, kind: pa.nulls(n, kind)
     known: set[int] = set()
     for batch in batches:
-        for part in texts.parts(batch):
+        for part in texts.parts(batch, size=RUN):
             sets = Sets(part.column("text"))
             some = sets.sizes > 0
-            points = packed(sets.points())
+            points = sets.points()
             # a point goes with the first row of its node in this task
             fresh = []
             for node, has in zip(sets.names.tolist(), some.tolist()):
@@ -125,7 +156,7 @@ def _fan_out(frequent: np.ndarray, level: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, known = Lookup(frequent), set()
         for batch in batches:
-            for part in texts.parts(batch):
+            for part in texts.parts(batch, size=RUN):
                 sets = Sets(part.column(0))
                 levels = np.zeros(len(sets.values), dtype=np.int8)
                 at, place = lookup.find(sets.values)
@@ -157,11 +188,8 @@ def _fan_out(frequent: np.ndarray, level: np.ndarray):
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keeps the pairs whose summed coordinate minima reach the overlap asked for."""
     for batch in batches:
-        for i in range(0, batch.num_rows, 2048):
-            part = batch.slice(i, 2048)
-            a, b = unpacked(part.column("point_a")), unpacked(part.column("point_b"))
-            keep = 9 * np.minimum(a, b).sum(axis=1) >= 4 * (a.sum(axis=1) + b.sum(axis=1))
-            yield part.select(["a", "b"]).filter(pa.array(keep))
+        keep = [reaches(a, b) for a, b in zip(batch.column("point_a").to_pylist(), batch.column("point_b").to_pylist())]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def _leaves(points: np.ndarray) -> list[np.ndarray]:
@@ -221,7 +249,7 @@ def _search_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         base = np.flatnonzero(small)
         lag = 1
         if len(base):
-            points = unpacked(column.take(pa.array(base)))
+            points = coarse(column.take(pa.array(base)))
             where = np.full(len(unit), -1)
             where[base] = np.arange(len(base))
         while len(base):
@@ -235,12 +263,17 @@ def _search_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             lag += 1
         for s, e in zip(start.tolist(), stop.tolist()):
             if e - s > SMALL:
-                own = unpacked(column.slice(s, e - s))
+                own = coarse(column.slice(s, e - s))
                 for i, j in search(own):
                     keep = good(s + i, s + j)
                     found.append(np.stack([s + i[keep], s + j[keep]], axis=1))
         if found:
             both = np.concatenate(found)
+            fine = np.flatnonzero(dimensions(n[both]).min(axis=1) > GROUPS)
+            keep = np.ones(len(both), dtype=bool)
+            for k in fine.tolist():  # at full resolution
+                keep[k] = reaches(column[int(both[k, 0])].as_py(), column[int(both[k, 1])].as_py())
+            both = both[keep]
             a, b = np.minimum(node[both[:, 0]], node[both[:, 1]]), np.maximum(node[both[:, 0]], node[both[:, 1]])
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -258,7 +291,7 @@ def _search_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in texts.parts(batch):
+        for part in texts.parts(batch, size=RUN):
             sets = Sets(part.column("text"))
             raw = [sets.values[sets.first[d] : sets.first[d + 1]].tobytes() for d in range(part.num_rows)]
             same = pa.array(sets.names == part.column("node").to_numpy())  # a key may have other texts too
@@ -268,8 +301,8 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
-        for a, b in zip(batch.column("values_a").to_pylist(), batch.column("values_b").to_pylist()):
-            x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+        for a, b in zip(batch.column("values_a"), batch.column("values_b")):  # one pair of sets at a time
+            x, y = np.frombuffer(a.as_buffer(), dtype=np.uint64), np.frombuffer(b.as_buffer(), dtype=np.uint64)
             both = np.sort(np.concatenate([x, y]))
             overlap = int((both[1:] == both[:-1]).sum())
             keep.append(100 * overlap >= 80 * (len(x) + len(y) - overlap))
@@ -298,6 +331,7 @@ class Join:
     """The stages of the join over one table of documents."""
 
     def __init__(self, documents: DataFrame) -> None:
+        texts.small_batches(documents.sparkSession)
         text = F.col("text").cast("string")
         own = F.col("doc_id").cast("bigint")
         # the key finds a text again; a null id gets one from the text
@@ -306,7 +340,8 @@ class Join:
         self.rows = scanned.where("n IS NOT NULL").select("doc_id", "n", "node")
         #: one row a distinct set, with its smallest document
         self.nodes = stored(scanned.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("n").alias("n"), F.max("point").alias("point")))
-        often = scanned.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("found").alias("found")).orderBy(F.desc("found"), "shingle").limit(FREQUENT).collect()
+        often = scanned.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("found").alias("found"))
+        often = often.where(F.col("found") * FREQUENT >= self.rows.count()).collect()
         value = np.array([r.shingle for r in often], dtype=np.int64).view(np.uint64)
         order = np.argsort(value)
         level = np.log2(np.array([r.found for r in often], dtype=float) + 1).astype(np.int8) + 1
@@ -337,12 +372,9 @@ class Join:
         a = pairs.join(sets.withColumnsRenamed({"node": "a", "values": "values_a"}), "a")
         return stored(a.join(sets.withColumnsRenamed({"node": "b", "values": "values_b"}), "b").select("a", "b", "values_a", "values_b").mapInArrow(_verified, "a bigint, b bigint"))
 
-    def links(self) -> DataFrame:
-        members = self.members()
-        size = self.nodes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"))
-        star = members.where("node <> hub").select("node", "hub", "n").distinct().join(size, "hub").where("5 * least(n, hub_n) >= 4 * greatest(n, hub_n)")
-        first = self.verified(self.bounded(star.select(F.col("hub").alias("a"), F.col("node").alias("b"))))
-        part = components(first)
+    def searched(self, members: DataFrame, links: DataFrame) -> DataFrame:
+        """Pairs of different components whose bound reaches the overlap asked for, from the groups of ``members``."""
+        part = components(links)
         labelled = members.where("members > 2").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
         open_ = labelled.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
         left = labelled.join(open_, "shingle").select("shingle", "node", "component", "n", "members").join(self.nodes.select("node", "point"), "node")
@@ -351,8 +383,18 @@ class Join:
         spread = left.withColumn("tile", tile).withColumn("other", F.explode(F.when(F.col("members") > TILE, F.sequence(F.lit(0), (tiles - 1).cast("int"))).otherwise(F.array(F.lit(0)))))
         units = spread.select(F.xxhash64("shingle", F.least("tile", "other"), F.greatest("tile", "other")).alias("unit"), "node", "component", F.col("n").cast("bigint").alias("n"), "tile", "point")
         n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        found = units.repartition(n, "unit").sortWithinPartitions("unit", "n").mapInArrow(_search_groups, "a bigint, b bigint").distinct()
-        return first.unionByName(self.verified(found))
+        return units.repartition(n, "unit").sortWithinPartitions("unit", "n").mapInArrow(_search_groups, "a bigint, b bigint").distinct()
+
+    def links(self) -> DataFrame:
+        members = self.members()
+        size = self.nodes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"))
+        star = members.where("node <> hub").select("node", "hub", "n").distinct().join(size, "hub").where("5 * least(n, hub_n) >= 4 * greatest(n, hub_n)")
+        links = self.verified(self.bounded(star.select(F.col("hub").alias("a"), F.col("node").alias("b"))))
+        # similar sets meet in many groups: a part of the groups joins most of them, so that the rest finds few pairs a second time
+        some = F.pmod(F.xxhash64("shingle"), F.lit(FIRST_GROUPS)) == 0
+        for groups in (some, ~some):
+            links = links.unionByName(self.verified(self.searched(members.where(groups), links)))
+        return links
 
     def classes(self) -> DataFrame:
         """doc_id, n_shingles, component_id and the number of the node's links, one row a document."""

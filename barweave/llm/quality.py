@@ -101,6 +101,7 @@ def with_statistics(df: DataFrame, keep: list[str]) -> DataFrame:
                 first = np.arange(len(values) + 1) * len(STATS)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], texts.lists(values.ravel(), first, pa.float64())], [*part.schema.names[:-1], "_stats"])
 
+    texts.small_batches(df.sparkSession)
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("_text"))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]] + ["_stats array<double>"])
     return source.mapInArrow(count, schema)

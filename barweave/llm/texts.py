@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import SparkSession
 
 BLOCK = 1 << 21
 _BASE = 0x9E3779B97F4A7C15
@@ -160,6 +161,11 @@ def parts(batch: pa.RecordBatch, text: str = "text", size: int = 1 << 22) -> Ite
         i = j
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Arrow batches of this session follow the texts' size, not only the number of rows: a task then holds some MB at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def words(column: pa.Array, separators: np.ndarray = SPACES, lower: bool = False) -> Words:
     return Words(*utf8(column), separators, lower)
 
