@@ -227,8 +227,12 @@ def search(points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 yield np.minimum(i, js), np.maximum(i, js)
 
 
+def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return texts.mixed(a.astype(np.int64).view(np.uint64)) ^ b.astype(np.int64).view(np.uint64)
+
+
 def _search_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by unit; in each unit, surviving pairs of different components (and of different tiles, if the unit has two)."""
+    """Rows sorted by unit; in each unit, surviving pairs of different components (and of different tiles, if the unit has two) that were not tried before."""
     held: pa.Table | None = None
 
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -269,6 +273,10 @@ def _search_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     found.append(np.stack([s + i[keep], s + j[keep]], axis=1))
         if found:
             both = np.concatenate(found)
+            a, b = np.minimum(node[both[:, 0]], node[both[:, 1]]), np.maximum(node[both[:, 0]], node[both[:, 1]])
+            tried = rows.column("tried").combine_chunks()
+            own = np.repeat(node, tried.value_lengths().fill_null(0).to_numpy())
+            both = both[~np.isin(pair_key(a, b), pair_key(own, tried.flatten().to_numpy()))]
             fine = np.flatnonzero(dimensions(n[both]).min(axis=1) > GROUPS)
             keep = np.ones(len(both), dtype=bool)
             for k in fine.tolist():  # at full resolution
@@ -362,7 +370,6 @@ class Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs that link, from the whole sets of both."""
-        pairs = stored(pairs)
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         wanted = stored(self.nodes.select("node", "key").join(wanted, "node"))
         # ids are sent to every task only if they are few
@@ -372,16 +379,18 @@ class Join:
         a = pairs.join(sets.withColumnsRenamed({"node": "a", "values": "values_a"}), "a")
         return stored(a.join(sets.withColumnsRenamed({"node": "b", "values": "values_b"}), "b").select("a", "b", "values_a", "values_b").mapInArrow(_verified, "a bigint, b bigint"))
 
-    def searched(self, members: DataFrame, links: DataFrame) -> DataFrame:
-        """Pairs of different components whose bound reaches the overlap asked for, from the groups of ``members``."""
+    def searched(self, members: DataFrame, links: DataFrame, tried: DataFrame) -> DataFrame:
+        """Pairs of different components whose bound reaches the overlap asked for, from the groups of ``members``, but for those tried."""
         part = components(links)
         labelled = members.where("members > 2").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
         open_ = labelled.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
         left = labelled.join(open_, "shingle").select("shingle", "node", "component", "n", "members").join(self.nodes.select("node", "point"), "node")
+        before = tried.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("tried"))  # a node's partners that reach the bound
+        left = left.join(before, "node", "left")
         tiles = F.ceil(F.col("members") * 2 / TILE)
         tile = F.when(F.col("members") > TILE, F.pmod(F.xxhash64("node"), tiles)).otherwise(F.lit(0)).cast("int")
         spread = left.withColumn("tile", tile).withColumn("other", F.explode(F.when(F.col("members") > TILE, F.sequence(F.lit(0), (tiles - 1).cast("int"))).otherwise(F.array(F.lit(0)))))
-        units = spread.select(F.xxhash64("shingle", F.least("tile", "other"), F.greatest("tile", "other")).alias("unit"), "node", "component", F.col("n").cast("bigint").alias("n"), "tile", "point")
+        units = spread.select(F.xxhash64("shingle", F.least("tile", "other"), F.greatest("tile", "other")).alias("unit"), "node", "component", F.col("n").cast("bigint").alias("n"), "tile", "point", "tried")
         n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return units.repartition(n, "unit").sortWithinPartitions("unit", "n").mapInArrow(_search_groups, "a bigint, b bigint").distinct()
 
@@ -389,11 +398,13 @@ class Join:
         members = self.members()
         size = self.nodes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"))
         star = members.where("node <> hub").select("node", "hub", "n").distinct().join(size, "hub").where("5 * least(n, hub_n) >= 4 * greatest(n, hub_n)")
-        links = self.verified(self.bounded(star.select(F.col("hub").alias("a"), F.col("node").alias("b"))))
-        # similar sets meet in many groups: a part of the groups joins most of them, so that the rest finds few pairs a second time
+        tried = stored(self.bounded(star.select(F.col("hub").alias("a"), F.col("node").alias("b"))))
+        links = self.verified(tried)
+        # similar sets meet in many groups: a part of the groups joins most of them, and no pair is tried twice
         some = F.pmod(F.xxhash64("shingle"), F.lit(FIRST_GROUPS)) == 0
         for groups in (some, ~some):
-            links = links.unionByName(self.verified(self.searched(members.where(groups), links)))
+            found = stored(self.searched(members.where(groups), links, tried))
+            links, tried = links.unionByName(self.verified(found)), tried.unionByName(found)
         return links
 
     def classes(self) -> DataFrame:
