@@ -84,7 +84,7 @@ def fold_index(c, default: int = 0) -> Column:
     """Fold number out of '7', 'fold_7', 'walkforward_fold_3' or any text that ends in digits."""
     text = F.trim(as_col(c).cast("string"))
     direct = text.try_cast("double").cast("int")
-    tail = F.regexp_extract(text, r"(?i)(?:^|[^0-9])(?:fold[_\-\s]*)?(\d+)$", 1)
+    tail = F.regexp_extract(text, r"(\d+)$", 1)
     return F.coalesce(direct, F.nullif(tail, F.lit("")).try_cast("int"), F.lit(default))
 
 

@@ -378,7 +378,7 @@ def decision(experiments: DataFrame, phase_rows: DataFrame, audit: DataFrame, co
 
 
 def composite(folds: DataFrame, facts: DataFrame) -> DataFrame:
-    """Thirteen components clipped to [0, 1] and their mean, one row each.
+    """Thirteen components clipped to [0, 1] and their mean, one row each. Their offsets and spans are fixed values.
 
     `folds` has one row per fold; `facts` is one row with profit_factor, monotonicity, double_cost_return,
     return_without_symbol, return_without_fold, top_symbol_share and stability.

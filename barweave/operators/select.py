@@ -19,6 +19,7 @@ from . import prefix, quantiles
 
 # Order inside a bucket; row_id makes it total.
 SCORE_ORDER = ["trade_score", "hybrid_score"]
+# Weights of the blended score.
 BLEND = {
     "calibrated_probability": 0.35,
     "calibrated_predicted_return": 0.25,

@@ -402,8 +402,8 @@ def candidate_read_check(t):
       (CASE WHEN pre THEN 'pre_filter_candidate' ELSE 'post_selection_candidate' END) || (CASE WHEN full_rows THEN '' ELSE '_limited' END) END AS coverage_level,
     CASE WHEN NOT known THEN 'unsupported' WHEN full_rows THEN 'supported' ELSE 'unsupported_limited_rows' END AS true_topk_reselection,
     CASE WHEN known AND pre AND full_rows THEN 'supported' ELSE 'unsupported' END AS score_edge_ablation,
-    CASE WHEN NOT known THEN 'missing candidate manifest' WHEN NOT full_rows THEN 'candidate artifact was row-limited'
-      WHEN NOT pre THEN 'candidate artifact was serialized after threshold/score-edge/symbol filters' ELSE '' END AS reason FROM m""",
+    CASE WHEN NOT known THEN 'no manifest lies with the rows' WHEN NOT full_rows THEN 'the saved rows are not all candidates'
+      WHEN NOT pre THEN 'the filters had already run when the rows were saved' ELSE '' END AS reason FROM m""",
 )
 def capabilities(t):
     stage = F.when(F.col("o_custkey") % 2 == 0, arts.PRE_FILTER_STAGE).otherwise("post_selection")

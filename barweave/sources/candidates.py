@@ -101,6 +101,7 @@ def write_predictions(df: DataFrame, path: str, mode: str) -> None:
 
 def capabilities(manifests: DataFrame) -> DataFrame:
     """Coverage class of each manifest row and the analyses it allows."""
+    # The coverage levels and the words supported, unsupported and unsupported_limited_rows.
     known = F.col("has_manifest")
     full = F.coalesce("full_candidate_coverage", F.lit(False))
     stage = F.coalesce("candidate_serialization_stage", F.lit("post_selection"))
@@ -112,9 +113,9 @@ def capabilities(manifests: DataFrame) -> DataFrame:
     rows = F.when(~known, "unsupported").when(full, "supported").otherwise("unsupported_limited_rows")
     ablation = F.when(known & pre & full, "supported").otherwise("unsupported")
     reason = (
-        F.when(~known, "missing candidate manifest")
-        .when(~full, "candidate artifact was row-limited")
-        .when(~pre, "candidate artifact was serialized after threshold/score-edge/symbol filters")
+        F.when(~known, "no manifest lies with the rows")
+        .when(~full, "the saved rows are not all candidates")
+        .when(~pre, "the filters had already run when the rows were saved")
         .otherwise("")
     )
     return manifests.select(
