@@ -8,7 +8,6 @@ from pyspark.sql.types import StringType
 
 from ..functions.scalars import as_col, num, safe_ratio
 from . import prefix, quantiles
-from .splits import even_stride
 
 CAPITAL = 10_000.0
 COST = 0.0015  # fee and slippage of a round trip
