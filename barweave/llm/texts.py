@@ -8,6 +8,8 @@ probability about 2**-64.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,6 +151,17 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def tidy() -> None:
+    """Give memory that a worker no longer uses back to the machine: workers live on from one operator to the next."""
+    tokens = sys.modules.get(f"{__package__}.tokens")
+    if tokens:
+        tokens.forget_idle()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def parts(batch: pa.RecordBatch, text: str = "text", size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about ``size`` bytes of text, so that working memory follows the longest text, not the batch."""
     if not batch.num_rows:
@@ -159,6 +172,7 @@ def parts(batch: pa.RecordBatch, text: str = "text", size: int = 1 << 22) -> Ite
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + size, side="right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+    tidy()
 
 
 def small_batches(spark: SparkSession) -> None:

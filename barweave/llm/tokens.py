@@ -8,6 +8,7 @@ for new ones; a text with a piece that starts or ends in white space, or two spa
 from __future__ import annotations
 
 import os
+import time
 import zlib
 
 import numpy as np
@@ -15,7 +16,15 @@ import numpy as np
 #: Pieces remembered by a worker.
 MEMORY = 400_000
 VOCABULARY = "byte_bpe_50k.json"
+#: Seconds without a call after which a worker forgets its vocabularies.
+IDLE = 15
 _LOADED: dict[str, Encoder] = {}
+_LAST = 0.0
+
+
+def forget_idle() -> None:
+    if _LOADED and time.monotonic() - _LAST > IDLE:
+        _LOADED.clear()
 
 
 class Encoder:
@@ -49,6 +58,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
+        global _LAST
+        _LAST = time.monotonic()
         if len(self.first) + len(self.rest) > MEMORY:
             self.first, self.rest = {}, {}
         first, rest = self.first, self.rest
