@@ -11,8 +11,8 @@ one row a piece instead of one a word.
 * The source coordinates (document, first word, words) of the repeats are joined back to the documents, where the
   covered words go.
 
-An edge is identified by its node's 64 bits and 32 more of its own; unequal edges of 10**9 documents fall together with a probability of
-about one in a million.
+An edge is identified by the 64 bits of its own hash within its node: n different edges of one node give about n * n / 2**65 false equals
+(8 million: 2 in a million).
 
 Order: document id (nulls first), then the text's hash, then the word. Edge cases: a null or empty text has no words; texts under 20
 words keep all; rows equal in id and text are one document and get the same result; rows that share an id alone are documents of
@@ -93,11 +93,12 @@ def pieces(batches: Iterator[pa.RecordBatch], window: int = WINDOW, inner: int =
             doc, tag = part.column("doc_id").take(pa.array(owner)), part.column("tag").take(pa.array(owner))
             place = (tag.to_numpy().astype(np.int64) << 40) | (start << 9)
             again = seen.repeats(texts.span_hashes(edge, first, last), np.stack([doc.fill_null(-(2**63)).to_numpy(), place], axis=1))
-            path = np.ascontiguousarray((edge >> np.uint64(32)).astype("<u4"))
-            inside = np.sort((np.repeat(np.arange(len(first), dtype=np.uint64), last - first) << np.uint64(32)) | path)
+            path = np.ascontiguousarray(edge.astype("<u8"))
+            # half of an edge is enough here: a piece that only seems to have an edge twice is opened, and its whole edges are compared
+            inside = np.sort((np.repeat(np.arange(len(first), dtype=np.uint64), last - first) << np.uint64(32)) | (edge >> np.uint64(32)))
             loops = np.zeros(len(first), dtype=bool)
             loops[(inside[1:][inside[1:] == inside[:-1]] >> np.uint64(32)).astype(np.int64)] = True
-            whole = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((np.append(first, len(at)) * 4).astype(np.int32).tobytes()), pa.py_buffer(path.tobytes())])
+            whole = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((np.append(first, len(at)) * 8).astype(np.int32).tobytes()), pa.py_buffer(path.tobytes())])
             place |= ((last - first) << 2) | (again.astype(np.int64) << 1) | loops
             path_or_null = pa.compute.if_else(pa.array(again), pa.scalar(None, pa.binary()), whole)
             yield pa.RecordBatch.from_arrays([pa.array(node[first].view(np.int64)), doc, pa.array(place), path_or_null], ["node", "doc_id", "place", "path"])
@@ -118,7 +119,7 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     whole = F.array(F.struct(F.lit(None).cast("binary").alias("edge"), start.alias("start"), (edges + WINDOW - 1).alias("words")))
     opened = F.transform(
         F.sequence(F.lit(0), edges - 1),
-        lambda i: F.struct(F.substring("path", i * 4 + 1, F.lit(4)).alias("edge"), (start + i).alias("start"), F.lit(WINDOW).alias("words")),
+        lambda i: F.struct(F.substring("path", i * 8 + 1, F.lit(8)).alias("edge"), (start + i).alias("start"), F.lit(WINDOW).alias("words")),
     )
     none = F.array().cast("array<struct<edge:binary,start:int,words:int>>")
     spans = F.when(repeats, whole).when((F.col("low") != F.col("high")) | F.col("looped"), opened).when(F.col("earliest").eqNullSafe(copy), none).otherwise(whole)

@@ -3,8 +3,9 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
-from barweave.llm import substrings
+from barweave.llm import substrings, texts
 
 
 def brute(docs):
@@ -87,3 +88,20 @@ def test_pieces_are_remembered_within_bounds(monkeypatch):
     assert seen.repeats(np.array([5, 5, 6], dtype=np.uint64), np.array([[2, 0], [1, 9], [1, 0]])).tolist() == [True, False, False]
     assert seen.repeats(np.array([5, 6, 7, 8], dtype=np.uint64), np.array([[0, 0], [1, 0], [1, 0], [1, 0]])).tolist() == [False, False, False, False]
     assert seen.repeats(np.array([5], dtype=np.uint64), np.array([[9, 9]])).tolist() == [False]  # forgotten: it goes through the shuffle
+
+
+def test_windows_that_share_half_a_hash(make):
+    """Different windows of one node whose hashes agree in the upper 32 bits."""
+    phrase = " ".join(f"w{j}" for j in range(19))
+    w = texts.words(pa.array([f"{phrase} x{k}" for k in range(300_000)]))
+    at = np.flatnonzero(w.left() >= 20)
+    edge = texts.windows(w.hashes, 20)[at]
+    node = texts.sliding_min(texts.windows(w.hashes, substrings.INNER), 21 - substrings.INNER)[at]
+    order = np.argsort(edge)
+    i, j = order[:-1], order[1:]
+    pairs = np.flatnonzero((edge[i] >> np.uint64(32) == edge[j] >> np.uint64(32)) & (node[i] == node[j]))
+    assert len(pairs)
+    for k in pairs[:2]:
+        alike = [f"{phrase} x{i[k]}", f"{phrase} x{j[k]}"]
+        compare(make, list(enumerate(alike)))
+        compare(make, list(enumerate([*alike, f"{phrase} other", alike[0], alike[1] + " tail"])))
