@@ -36,9 +36,9 @@ ANY = ["Dr", "Prof", "Mx"]
 #: What each kind looks like, in the order in which they are tried. Repeats are bounded or cannot backtrack, so a long text cannot run away.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]{1,63}+(?:\.[\p{L}\p{N}-]{1,63}+){1,8}",
-    "secret": r"(?<=[=:\"'\s])(?<=(?i:token|password|passwd|secret|api_?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)[^\s\"']{5,256}[\p{L}\p{N}]",
-    "access": r"(?<![\p{L}\p{N}_])(?:AKIA|ASIA)[A-Z0-9]{16}(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,256}",
-    "hex": r"(?<![\p{L}\p{N}_])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}_])",
+    "secret": r"(?<=[=:\"'\s])(?<=(?i:token|password|passwd|secret|api_?key)[\"']?\s{0,3}[=:]\s{0,3}[\"']?)(?=[^\s\"']{5}[^\s\"'\p{L}\p{N}]*+[\p{L}\p{N}])(?:[^\s\"'\p{L}\p{N}]*+[\p{L}\p{N}]++)++",
+    "access": r"(?<![\p{L}\p{N}_])(?:AKIA|ASIA)[A-Z0-9]{16}(?![\p{L}\p{N}_])|(?<![\p{L}\p{N}_])(?:sk|pk|ghp|gho|xoxb|xoxp)[-_][A-Za-z0-9_-]{16,}+",
+    "hex": r"(?<![\p{L}\p{N}_])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?![\p{L}\p{N}_])",
     "iban": r"(?<![\p{L}\p{N}_])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}_])",
     "ip": r"(?<![\p{N}.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|\d?\d)(?!\d|\.\d)",
     "ssn": r"(?<![\p{L}\p{N}_-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}_-])",

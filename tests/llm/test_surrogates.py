@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -95,3 +96,16 @@ def test_documents(spark):
 def test_hint_covers_every_kind(spark):
     for t in TEXTS[:-1]:
         assert spark.range(1).select(surrogates.has_entity(F.lit(t))).first()[0]
+
+
+def test_long_values_go_whole(spark):
+    """Nothing of a long secret, key or hexadecimal run stays behind its first characters."""
+    rng = random.Random(3)
+    drawn = lambda n, of="abcdefghijkmnopqrstuvwxyzABCDEFGH23456789": "".join(rng.choice(of) for _ in range(n))
+    values = [drawn(800), ".".join(drawn(400) for _ in range(3)), drawn(100_000), "a." * 50_000 + "z", "xoxb-" + drawn(1000), "sk_" + drawn(300), drawn(129, "0123456789abcdef"), drawn(1000, "0123456789ABCDEF")]
+    texts = [f"token={v}. end" if i < 4 else f"see {v} end" for i, v in enumerate(values)] + ["password=" + drawn(1000, "0123456789abcdef")]
+    for before, (after, n) in zip(texts, anonymise(spark, texts)):
+        value = re.split(r"[ =]", before)[1].rstrip(".")
+        assert n == 1 and len(after) >= len(before) and after.endswith(before.partition(value)[2])
+        if "a.a." not in value:
+            assert not any(value[i : i + 12] in after for i in range(6, len(value) - 12, 6))
