@@ -1,4 +1,4 @@
-"""The ten corpus operators applied to the provided tables."""
+"""The corpus operators applied to the provided tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure, scratch
-from . import backoff, binary, decontaminate, fingerprints, jaccard, language, pack, quality, substrings, surrogates
+from . import backoff, binary, decontaminate, fingerprints, jaccard, language, pack, quality, reputation, substrings, surrogates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +73,8 @@ def op9(spark, table):
 @query("op4_fingerprints")
 def op4(spark, table):
     return fingerprints.report(table("documents"))
+
+
+@query("op11_host_reputation", reputation.SQL)
+def op11(spark, table):
+    return reputation.report(table("pages"))
