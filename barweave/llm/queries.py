@@ -7,15 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure, scratch
-from . import backoff, binary, decontaminate, fingerprints, jaccard, language, pack, quality, reputation, substrings, surrogates
+from . import audit, backoff, binary, decontaminate, fingerprints, jaccard, language, pack, quality, reputation, substrings, surrogates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+class Tables:
+    """The tables of a folder: called with a name it reads one, ``path`` says where it lies."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+
+    def path(self, name: str) -> str:
+        return f"{self.folder}/{name}.parquet"
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.path(name))
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
-        QUERIES[name] = lambda spark, sf_dir: fn(configure(spark), lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+        QUERIES[name] = lambda spark, sf_dir: fn(configure(spark), Tables(spark, sf_dir))
         if sql is not None:
             ORACLES[name] = sql
         return fn
@@ -78,3 +91,8 @@ def op4(spark, table):
 @query("op11_host_reputation", reputation.SQL)
 def op11(spark, table):
     return reputation.report(table("pages"))
+
+
+@query("op13_filter_audit", audit.SQL)
+def op13(spark, table):
+    return audit.report(spark, table.path("documents"), table("labels"))
