@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure, scratch
-from . import audit, backoff, binary, decontaminate, fingerprints, jaccard, language, pack, quality, reputation, substrings, surrogates
+from . import audit, backoff, binary, decontaminate, fingerprints, jaccard, language, pack, quality, reputation, substrings, surrogates, trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,6 +93,11 @@ def op11(spark, table):
     return reputation.report(table("pages"))
 
 
+@query("op12_prefix_trie", trie.SQL)
+def op12(spark, table):
+    return trie.report(table("conversations"))
+
+
 @query("op13_filter_audit", audit.SQL)
 def op13(spark, table):
     return audit.report(spark, table.path("documents"), table("labels"))

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .joins import spread_join
 
 #: Bad share above which a host is blocked, and the standard deviations below the posterior mean at which that is read.
 LIMIT, Z = 0.05, 1.64
@@ -33,7 +34,6 @@ JUNK, JUNK_SHARE = ("###", "***", "%%%", "$$$"), 20
 #: Public suffixes of two labels; every other suffix is the last label.
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "com.br", "co.in", "co.kr", "com.cn", "com.mx", "co.za")
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-HOT = 1000
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -67,18 +67,6 @@ def fitting_rule(host: Column, path: Column, rules: list[tuple[str, str, str]])
     return out
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFrame:
-    """Inner join to a frame with one row a key, whose column ``rows`` counts the key's rows on the left.
-
-    Keys with more than 1 / HOT of all rows are fewer than HOT: they are broadcast, so no task gets a hot key's rows.
-    """
-    total = right.agg(F.sum(rows)).first()[0] or 0
-    hot = right.filter(F.col(rows) * HOT > total)
-    cold = right.filter(F.col(rows) * HOT <= total)
-    few = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.drop(rows), key)
-    return left.join(F.broadcast(hot.drop(rows)), key).unionByName(few)
-
-
 def _shrunk(level: DataFrame) -> DataFrame:
     """Adds the posterior pseudo-counts ``a`` (bad) and ``b`` (good) to groups with columns n, bad and ``prior`` (their prior mean)."""
     v = F.col("prior") * (1 - F.col("prior"))
