@@ -193,15 +193,15 @@ def matrix(df: DataFrame) -> DataFrame:
 
 def variants(df: DataFrame) -> DataFrame:
     """Rows of the twelve selection variants under `experiment`. Needs the artifact's flags, `trade_score`,
-    `row_id` and the columns of the blended score. Trade-share caps act on the picks in time order."""
+    `row_id` and the columns of the blended score."""
     pool = stored(select.pool(df))  # read by eight of the variants
     bucket = ["open_time"]
 
     def best(rows, score):
         return select.topk(rows, TOP_K, bucket, select.score_order(rows, score), per_symbol=1)
 
-    def penalised(rows, score, strength):
-        return select.exposure_penalty(rows, score, strength, TOP_K)
+    def penalised(rows, score, strength, cap=0.0):
+        return select.exposure_penalty(rows, score, strength, TOP_K, cap=cap)
 
     blended = select.blend(pool, bucket)
     replays = {
@@ -209,9 +209,9 @@ def variants(df: DataFrame) -> DataFrame:
         "cross_sectional_score_zscore": best(select.zscore(pool, {"trade_score": "_s"}, bucket), "_s"),
         "cross_sectional_score_rank": best(select.pct_rank(pool, "trade_score", "_s", bucket), "_s"),
         "exposure_aware_trade_score_penalty": penalised(pool, "trade_score", 0.75),
-        "exposure_aware_trade_share_cap_35pct": select.share_cap(penalised(pool, "trade_score", 0.35), 0.35),
+        "exposure_aware_trade_share_cap_35pct": penalised(pool, "trade_score", 0.35, 0.35),
         "calibration_plus_normalization": best(blended, "blended_score"),
-        "calibration_plus_concentration_control": select.share_cap(penalised(blended, "blended_score", 0.50), 0.35),
+        "calibration_plus_concentration_control": penalised(blended, "blended_score", 0.50, 0.35),
         "score_edge_disabled": best(select.pool(df, score_edge=False), "trade_score"),
         "symbol_filter_disabled": best(select.pool(df, symbol=False), "trade_score"),
         "score_edge_and_symbol_filter_disabled": best(select.pool(df, False, False), "trade_score"),

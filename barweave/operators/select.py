@@ -7,6 +7,9 @@ statistics are aggregates joined back, not windows.
 
 from __future__ import annotations
 
+import itertools
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -265,30 +268,125 @@ def score_scale(df: DataFrame, score: str) -> DataFrame:
     return qs.crossJoin(F.broadcast(sd)).select(scale.alias("scale"))
 
 
+def _most_over(cap: float, warmup: int) -> int | None:
+    """How many symbols can be over the cap at once: each has more than cap * (total + 1) - 1 of the picks."""
+    least = cap * (warmup + 1) - 1
+    return int(warmup / least) if least > 0 else None
+
+
+def _contenders(df: DataFrame, k: int, bucket: str, score: str, order: list[Column], per_symbol: int, cap: float, warmup: int, reach: Column) -> DataFrame:
+    """Rows that can be picked whatever came before: a penalty takes at most `reach` from a score, and a cap passes over a known number of
+    symbols, so a row that lies further below the best row of the last symbol needed is out."""
+    if per_symbol and not cap:
+        mine = F.row_number().over(Window.partitionBy(bucket, "symbol").orderBy(*order))
+        df = df.withColumn("_mine", mine).filter(F.col("_mine") <= per_symbol).drop("_mine")
+    over = _most_over(cap, warmup) if cap else 0
+    if over is None:
+        return df
+    tops = df.groupBy(bucket, "symbol").agg(F.max(score).alias("_top"))
+    place = F.row_number().over(Window.partitionBy(bucket).orderBy(F.desc("_top")))
+    last = tops.withColumn("_place", place).filter(F.col("_place") <= k + over).groupBy(bucket).agg(F.min("_top").alias("_last"), F.count(F.lit(1)).alias("_have"))
+    joined = df.join(last, bucket)
+    return joined.filter((F.col("_have") < k + over) | (F.col(score) >= F.col("_last") - reach * 1.000001)).drop("_last", "_have")
+
+
+def _replay(columns: list[str], k: int, per_symbol: int, penalty: float, cap: float, warmup: int):
+    """Selection over one block of ordered buckets, from the picks before it: what a task does."""
+    ties = [3 + i for i, c in enumerate(columns) if c in SCORE_ORDER]
+
+    def run(key: tuple, rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        picks = dict(zip(before["symbol"].tolist(), before["picks"].tolist()))
+        total, out = sum(picks.values()), []
+        rows = rows.sort_values("_bucket", kind="stable")
+        for at, group in itertools.groupby(zip(*(rows[c].tolist() for c in ["_bucket", "symbol", "row_id", *columns])), key=lambda r: r[0]):
+            ranked = []
+            for row in group:
+                share = picks.get(row[1], 0) / total if total else 0.0
+                value = row[3] - penalty * share
+                ranked.append((-value, *(-row[i] for i in ties), row[1], row[2], share, row))
+            mine: dict = {}
+            done = 0
+            for row in sorted(ranked, key=lambda r: r[:-2]):
+                symbol = row[-1][1]
+                if per_symbol and mine.get(symbol, 0) >= per_symbol:
+                    continue
+                if cap and total >= warmup and (picks.get(symbol, 0) + 1) / (total + 1) > cap:
+                    continue
+                picks[symbol] = picks.get(symbol, 0) + 1
+                mine[symbol] = mine.get(symbol, 0) + 1
+                total, done = total + 1, done + 1
+                out.append((key[0], at, symbol, row[-1][2], *row[-1][3:], done, -row[0], row[-2]))
+                if done >= k:
+                    break
+        return pd.DataFrame(out, columns=["_block", "_bucket", "symbol", "row_id", *columns, "rank_in_bucket", "penalised_score", "earlier_share"])
+
+    return run
+
+
 def exposure_penalty(
-    df: DataFrame, score: str, strength: float, k: int, bucket: str = "open_time", per_symbol: int = 1, scale_score: str = "trade_score"
+    df: DataFrame, score: str, strength: float, k: int, bucket: str = "open_time", per_symbol: int = 1, scale_score: str = "trade_score", cap: float = 0.0, warmup: int = 50,
+    rounds: list[int] | None = None,
 ) -> DataFrame:
-    """Top-k after subtracting strength * scale * (the symbol's share of earlier picks); the scale is the spread of `scale_score`.
-
-    Earlier picks are those of the plain top-k run; the reference feeds its own penalised picks back one
-    bucket at a time, which has no parallel form.
+    """Top k of each bucket in time order after subtracting strength * scale * (the symbol's share of all picks so far); with a `cap`, a symbol
+    whose share would rise above it is passed over once there are `warmup` picks. The scale is the spread of `scale_score`.
+
+    Each bucket depends on the picks of all before it. Ordered buckets are dealt over blocks, and every block is replayed at once from assumed
+    picks before it; the picks found give the next assumption, and only blocks whose assumption changed are replayed again. Block n is
+    exact after n rounds at most, so the fixed point is the answer of the sequential rule; in practice a few rounds do (`rounds` takes the
+    number of blocks replayed in each). Only contenders are replayed: without a cap at most `per_symbol` rows a symbol and bucket, and rows too
+    far below the best never. One bucket's contenders come to one task: one row a symbol, if a symbol has one bar a minute.
+    Among rows equal in bucket, symbol, row_id and scores one stands for all; rows without a score or bucket are never picked.
     """
-    df = stored(df)  # read by the first ranking, the shares, the scale and the second ranking
-    picks = topk(df, k, [bucket], score_order(df, score), per_symbol)
-    taken = picks.groupBy(bucket, "symbol").agg(F.count(F.lit(1)).alias("_picks"))
-    cells = df.select(bucket, "symbol").distinct().join(taken, [bucket, "symbol"], "left")
-    cells = cells.withColumn("_picks", F.coalesce("_picks", F.lit(0)))
-    per_sym = prefix.ordered(cells, ["symbol"], [bucket], sums={"_own": F.col("_picks")})
-    per_all = prefix.ordered(
-        cells.groupBy(bucket).agg(F.sum("_picks").alias("_bucket_picks")), [], [bucket], sums={"_all": F.col("_bucket_picks")}
-    )
-    own, whole = F.col("_own") - F.col("_picks"), F.col("_all") - F.col("_bucket_picks")
-    shares = per_sym.join(per_all, bucket).select(
-        bucket, "symbol", F.when(whole > 0, own / whole).otherwise(0.0).alias("earlier_share")
-    )
-    joined = df.join(shares, [bucket, "symbol"]).crossJoin(F.broadcast(score_scale(df, scale_score)))  # one row
-    joined = joined.withColumn("penalised_score", F.col(score) - strength * F.col("scale") * F.col("earlier_share")).drop("scale")
-    return topk(joined, k, [bucket], score_order(joined, "penalised_score"), per_symbol)
+    spark = df.sparkSession
+    columns = list(dict.fromkeys([score, *(c for c in SCORE_ORDER if c in df.columns)]))
+    narrow = df.select(F.col(bucket).alias("_bucket"), "symbol", "row_id", *columns).filter(F.col("_bucket").isNotNull() & F.col(score).isNotNull()).fillna(float("-inf"), columns)
+    spread = score_scale(df, scale_score).first()
+    penalty = strength * (spread["scale"] if spread else 0.0)
+    order = [F.desc(c) for c in columns] + [F.col("symbol"), F.col("row_id")]
+    some = _contenders(narrow, k, "_bucket", score, order, per_symbol, cap, warmup, F.lit(abs(penalty)))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = stored(some.repartitionByRange(n, "_bucket").withColumn("_block", F.spark_partition_id()))
+
+    replay = _replay(columns, k, per_symbol, penalty, cap, warmup)
+    fields = {f.name: f.dataType.simpleString() for f in blocks.schema.fields}
+    names = ["_block", "_bucket", "symbol", "row_id", *columns]
+    kind = ", ".join(f"`{c}` {fields[c]}" for c in names) + ", rank_in_bucket int, penalised_score double, earlier_share double"
+    last: dict[int, int] = {}  # block -> round of its last replay: at most one entry a partition
+    todo = sorted(r._block for r in blocks.select("_block").distinct().collect())
+    assumed = stored(spark.createDataFrame([], "_block int, symbol string, picks bigint"))
+    found: list[DataFrame] = []
+    while todo:
+        if rounds is not None:
+            rounds.append(len(todo))
+        # An empty row for each block keeps a block without earlier picks in the cogroup.
+        state = assumed.filter(F.col("_block").isin(todo))
+        fresh = blocks.filter(F.col("_block").isin(todo)).groupBy("_block").cogroup(state.groupBy("_block")).applyInPandas(replay, kind)
+        found.append(stored(fresh))
+        last |= dict.fromkeys(todo, len(found) - 1)
+        picks = _last_replays(found, last)
+        counted = picks.groupBy("_block", "symbol").agg(F.count(F.lit(1)).alias("picks"))
+        sums = Window.partitionBy("symbol").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        # One row a symbol and block: the symbol's picks up to the block before.
+        grid = counted.select("symbol").distinct().withColumn("_block", F.explode(F.array(*[F.lit(b) for b in sorted(last)])))
+        before = grid.join(counted, ["_block", "symbol"], "left").withColumn("picks", F.coalesce("picks", F.lit(0)))
+        before = stored(before.withColumn("picks", F.coalesce(F.sum("picks").over(sums), F.lit(0))).filter("picks > 0"))
+        old = assumed.withColumnRenamed("picks", "_old")
+        changed = before.join(old, ["_block", "symbol"], "full").filter(~F.col("picks").eqNullSafe(F.col("_old"))).select("_block").distinct()
+        todo, assumed = sorted(r._block for r in changed.collect()), before
+    if not found:
+        return df.limit(0).withColumns({"rank_in_bucket": F.lit(0), "penalised_score": F.lit(0.0), "earlier_share": F.lit(0.0)})
+    picks = _last_replays(found, last).drop("_block").withColumnRenamed("_bucket", bucket)
+    keys = [bucket, "symbol", "row_id"]
+    chosen = picks.select(*keys, F.col(score).alias("_score"), "rank_in_bucket", "penalised_score", "earlier_share")
+    joined = df.join(chosen, keys).filter(F.col(score).eqNullSafe(F.col("_score"))).drop("_score")
+    one = F.row_number().over(Window.partitionBy(bucket, "rank_in_bucket").orderBy(*[F.col(f"`{c}`") for c in columns]))
+    return joined.withColumn("_one", one).filter("_one = 1").drop("_one")
+
+
+def _last_replays(found: list[DataFrame], last: dict[int, int]) -> DataFrame:
+    """The picks of each block from the round that replayed it last."""
+    parts = [part.filter(F.col("_block").isin([b for b, r in last.items() if r == i])) for i, part in enumerate(found) if i in last.values()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def fill_sizes(df: DataFrame, rows: DataFrame, capital: float = 10_000.0) -> DataFrame:

@@ -12,6 +12,7 @@ from ..sources import candidates as arts
 from ..streaming import streams
 from .bindings import r, with_tables
 from .catalog_bars import TARGET, WINDOW
+from .catalog_select import sequential_cte
 from .catalog_reports import EXPOSURE_CTE, STABILITY_CTES, finite, fold_stability, n_rows, portfolio_rows, portfolio_sql, drawdown_cte, factor_sql, rounded
 from .registry import query
 
@@ -155,22 +156,11 @@ def z(c: str) -> str:
     return f"(CASE WHEN stddev_pop({c}) {o} > 1e-12 THEN ({c} - avg({c}) {o}) / stddev_pop({c}) {o} ELSE 0.0 END)"
 
 
-def penalised_cte(name: str, pool: str, score: str, strength: float) -> str:
-    """Top 2 after the exposure penalty: the plain picks, their running shares before each bucket, and the ranking again."""
-    return f"""{pick_cte(f"{name}_plain", pool, score)},
-{name}_cells AS (SELECT x.open_time, x.symbol, coalesce(c, 0) AS c FROM (SELECT DISTINCT open_time, symbol FROM {pool}) x
-  LEFT JOIN (SELECT open_time, symbol, count(*) AS c FROM {name}_plain GROUP BY 1, 2) p ON p.open_time = x.open_time AND p.symbol = x.symbol),
-{name}_own AS (SELECT *, sum(c) OVER (PARTITION BY symbol ORDER BY open_time ROWS UNBOUNDED PRECEDING) - c AS before_own FROM {name}_cells),
-{name}_all AS (SELECT open_time, sum(sum(c)) OVER (ORDER BY open_time ROWS UNBOUNDED PRECEDING) - sum(c) AS before_all FROM {name}_cells GROUP BY 1),
-{name}_scale AS (SELECT greatest(stddev_pop(trade_score), (quantile_cont(trade_score, 0.75) - quantile_cont(trade_score, 0.25)) / 1.349, abs(quantile_cont(trade_score, 0.5)) * 0.25, 1e-6) AS scale FROM {pool}),
-{name}_adj AS (SELECT c.*, {score} - {strength} * scale * (CASE WHEN before_all > 0 THEN before_own / before_all ELSE 0.0 END) AS pen FROM {pool} c
-  JOIN {name}_own o ON o.open_time = c.open_time AND o.symbol = c.symbol JOIN {name}_all w ON w.open_time = c.open_time, {name}_scale),
-{pick_cte(name, f"{name}_adj", "pen")}"""
-
-
-def capped_cte(name: str, picks: str, share: float) -> str:
-    return f"""{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY open_time, row_id) AS cap_rank, count(*) OVER () AS cap_rows FROM {picks})
-  WHERE cap_rank <= greatest(1, floor(cap_rows * {share})))"""
+def penalised_cte(name: str, pool: str, score: str, strength: float, cap: float = 0.0) -> str:
+    """Top 2 under the exposure penalty, with the columns of the pool; of rows that agree in time, symbol, id and scores one is taken."""
+    return f"""{sequential_cte(name, pool, score, strength, 2, cap)},
+{name} AS (SELECT c.* FROM {name}_keys k JOIN {pool} c ON c.open_time = k.open_time AND c.symbol = k.c.s AND c.row_id = k.c.i AND -c.trade_score = k.c.t
+  QUALIFY row_number() OVER (PARTITION BY c.open_time, k.rank_in_bucket ORDER BY c.symbol) = 1)"""
 
 
 VARIANT_CTES = (
@@ -183,10 +173,8 @@ VARIANT_CTES = (
     pick_cte("v_score", "p0", "trade_score"),
     pick_cte("v_blend", "pb", "b"),
     penalised_cte("v_pen", "p0", "trade_score", 0.75),
-    penalised_cte("v_pen35", "p0", "trade_score", 0.35),
-    capped_cte("v_cap", "v_pen35", 0.35),
-    penalised_cte("v_penb", "pb", "b", 0.5),
-    capped_cte("v_capb", "v_penb", 0.35),
+    penalised_cte("v_cap", "p0", "trade_score", 0.35, 0.35),
+    penalised_cte("v_capb", "pb", "b", 0.5, 0.35),
     pick_cte("v_edge", "p1", "trade_score"),
     pick_cte("v_sym", "p2", "trade_score"),
     pick_cte("v_none", "p3", "trade_score"),

@@ -612,25 +612,30 @@ query(
     ),
 )(lambda t: select.share_cap(t.candidates.select("symbol", "row_id", "open_time"), 0.005).select("symbol", "row_id"))
 
-EXPOSURE_CTE = f"""picks AS (SELECT open_time, symbol, count(*) AS c FROM (SELECT *, row_number() OVER (PARTITION BY open_time ORDER BY {ORDER_SQL}) AS rk FROM mine WHERE mine <= 1)
-  WHERE rk <= 3 GROUP BY 1, 2),
-cells AS (SELECT x.open_time, x.symbol, coalesce(c, 0) AS c FROM (SELECT DISTINCT open_time, symbol FROM cand) x LEFT JOIN picks p ON p.open_time = x.open_time AND p.symbol = x.symbol),
-own AS (SELECT *, sum(c) OVER (PARTITION BY symbol ORDER BY open_time ROWS UNBOUNDED PRECEDING) - c AS before_own FROM cells),
-whole AS (SELECT open_time, sum(sum(c)) OVER (ORDER BY open_time ROWS UNBOUNDED PRECEDING) - sum(c) AS before_all FROM cells GROUP BY 1),
-scale AS (SELECT greatest(stddev_pop(trade_score), (quantile_cont(trade_score, 0.75) - quantile_cont(trade_score, 0.25)) / 1.349,
-  abs(quantile_cont(trade_score, 0.5)) * 0.25, 1e-6) AS scale FROM cand),
-adj AS (SELECT c.*, trade_score - 0.75 * scale * (CASE WHEN before_all > 0 THEN before_own / before_all ELSE 0.0 END) AS pen FROM cand c
-  JOIN own o ON o.open_time = c.open_time AND o.symbol = c.symbol JOIN whole w ON w.open_time = c.open_time, scale),
-adj1 AS (SELECT *, row_number() OVER (PARTITION BY open_time, symbol ORDER BY pen DESC, {ORDER_SQL}) AS m FROM adj)"""
+def sequential_cte(name: str, pool: str, score: str, strength: float, k: int, cap: float = 0.0, warmup: int = 50) -> str:
+    """Picks under the exposure penalty, one bucket after the other: a recursion that carries the picks of each symbol."""
+    over = f"AND NOT (total + len(acc) >= {warmup} AND (coalesce(picks[x[1].s], 0) + 1) / (total + len(acc) + 1) > {cap})" if cap else ""
+    return f"""{name}_scale AS (SELECT greatest(stddev_pop(trade_score), (quantile_cont(trade_score, 0.75) - quantile_cont(trade_score, 0.25)) / 1.349,
+  abs(quantile_cont(trade_score, 0.5)) * 0.25, 1e-6) * {strength} AS penalty FROM {pool}),
+{name}_b AS (SELECT row_number() OVER (ORDER BY open_time) AS b, * FROM
+  (SELECT open_time, list({{'v': {score}, 't': trade_score, 's': symbol, 'i': row_id}}) AS entries FROM {pool} GROUP BY 1)),
+{name}_run AS (SELECT 0::BIGINT AS b, 0::BIGINT AS open_time, MAP([]::VARCHAR[], []::BIGINT[]) AS picks, 0::BIGINT AS total,
+    []::STRUCT(a DOUBLE, t DOUBLE, s VARCHAR, i VARCHAR)[] AS chosen
+  UNION ALL SELECT b, open_time, map_concat(picks, map_from_entries(list_transform(chosen, lambda x: {{'k': x.s, 'v': coalesce(picks[x.s], 0) + 1}}))), total + len(chosen), chosen
+  FROM (SELECT b, open_time, picks, total, list_reduce(list_transform(list_sort(list_transform(entries, lambda x:
+        {{'a': -(x.v - penalty * (CASE WHEN total > 0 THEN coalesce(picks[x.s], 0) / total ELSE 0.0 END)), 't': -x.t, 's': x.s, 'i': x.i}})), lambda x: [x]),
+      lambda acc, x: CASE WHEN len(acc) < {k} AND NOT list_contains(list_transform(acc, lambda y: y.s), x[1].s) {over} THEN list_concat(acc, x) ELSE acc END,
+      []::STRUCT(a DOUBLE, t DOUBLE, s VARCHAR, i VARCHAR)[]) AS chosen
+    FROM (SELECT n.b, n.open_time, n.entries, r.picks, r.total, penalty FROM {name}_run r JOIN {name}_b n ON n.b = r.b + 1, {name}_scale))),
+{name}_keys AS (SELECT open_time, unnest(chosen) AS c, unnest(range(1, len(chosen) + 1)) AS rank_in_bucket FROM {name}_run)"""
 
 
 @query(
     "k23_exposure_penalty",
     with_tables(
         "cand",
-        f"""SELECT row_id, CAST(rk AS INTEGER) AS rank_in_bucket, {r("pen")} AS penalised_score FROM (SELECT row_id, pen, row_number() OVER (PARTITION BY open_time ORDER BY pen DESC, {ORDER_SQL}) AS rk
-        FROM adj1 WHERE m <= 1) WHERE rk <= 3""",
-        MINE, EXPOSURE_CTE,
+        f"""SELECT c.i AS row_id, CAST(rank_in_bucket AS INTEGER) AS rank_in_bucket, {r("-c.a")} AS penalised_score FROM pen_keys""",
+        sequential_cte("pen", "cand", "trade_score", 0.75, 3),
     ),
 )
 def exposure_penalty(t):
