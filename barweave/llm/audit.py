@@ -3,8 +3,8 @@
 The files of the documents arrive as micro-batches of one available-now stream. A task sets the bits of the filters that a text
 fails on its own (A to D) and a 128-bit digest of the text; labels are joined to these narrow rows. Filter E (some document with a
 smaller id has the same text) depends on what has come so far: a keyed state holds, for each distinct text, its smallest id and what that
-document counts as. When a smaller id arrives, the earlier document's count is taken back and counted again as failing E. The changes
-of a micro-batch are summed by part and failed filters and written to that batch's own folder, so a repeated batch replaces itself.
+document counts as; texts share a key by their digest, about ``TEXTS`` to a key, as each key costs a call. When a smaller id
+arrives, the earlier document's count is taken back and counted again as failing E. The changes of a micro-batch are summed by part and failed filters and written to that batch's own folder, so a repeated batch replaces itself.
 Since each document ends with one set of failed filters, those counts (at most 32 sets a part and label) give every order of the filters.
 
 Copies of one text may be any share of the rows: before the shuffle a task keeps only the smallest id of each text among its rows and
@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import hashlib
 import itertools
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,8 +39,11 @@ WORDS, DISTINCT, CAPITALS, MARKS = 100, 80, 10, "#$%&*|"
 BATCHES = 4
 E_BIT = 16
 COUNTERS = "part string, mask int, quality boolean, toxic boolean, n bigint"
-_NARROW = "doc_id bigint, part string, mask int, text_key binary"
-_COMBINED = "text_key binary, doc_id bigint, part string, code int, n bigint"
+#: Distinct texts that share a key of the state, at most about.
+TEXTS = 1000
+_NARROW = "doc_id bigint, part string, mask int, a bigint, b bigint"
+_COMBINED = "bucket bigint, a bigint, b bigint, doc_id bigint, part string, code int, n bigint"
+_FIELDS = ["a", "b", "doc_id", "part", "code"]
 
 
 def failed_alone(column: pa.Array) -> np.ndarray:
@@ -70,67 +72,64 @@ def _narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts(batch):
             data, offsets = utf8(part.column("text"))
             body = memoryview(np.ascontiguousarray(data))
-            keys = [hashlib.blake2b(body[a:b], digest_size=16).digest() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("part"), pa.array(failed_alone(part.column("text")), pa.int32()), pa.array(keys, pa.binary())],
-                ["doc_id", "part", "mask", "text_key"],
-            )
+            keys = b"".join(hashlib.blake2b(body[i:j], digest_size=16).digest() for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist()))
+            a, b = np.frombuffer(keys, dtype="<i8").reshape(-1, 2).T
+            columns = [part.column("doc_id"), part.column("part"), pa.array(failed_alone(part.column("text")), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "mask", "a", "b"])
 
 
-def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _firsts(rows: pd.DataFrame) -> np.ndarray:
+    """For each row the smallest id of its text."""
+    order = np.lexsort((rows["doc_id"].to_numpy(), rows["b"].to_numpy(), rows["a"].to_numpy()))
+    a, b = rows["a"].to_numpy()[order], rows["b"].to_numpy()[order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = rows["doc_id"].to_numpy()[order][new][np.cumsum(new) - 1]
+    return out
+
+
+def _combined(buckets: int):
     """Rows that may still be a text's first go on under its key; the others as sums under a key of this task."""
-    own = b"task" + str(TaskContext.get().partitionId()).encode()
-    for batch in batches:
-        keys, ids = batch.column("text_key").to_pylist(), batch.column("doc_id").to_pylist()
-        names, codes = batch.column("part").to_pylist(), batch.column("code").to_pylist()
-        least: dict[bytes, int] = {}
-        for key, doc_id in zip(keys, ids):
-            if doc_id is not None and doc_id <= least.get(key, doc_id):
-                least[key] = doc_id
-        out: Counter = Counter()
-        for key, doc_id, name, code in zip(keys, ids, names, codes):
-            if doc_id is None:
-                out[own, None, name, code] += 1
-            elif doc_id > least[key]:
-                out[own, None, name, code | E_BIT] += 1
-            else:
-                out[key, doc_id, name, code] += 1
-        columns = list(zip(*out)) or [[]] * 4
-        kinds = [pa.binary(), pa.int64(), pa.string(), pa.int32()]
-        yield pa.RecordBatch.from_arrays(
-            [*(pa.array(list(c), k) for c, k in zip(columns, kinds)), pa.array(list(out.values()), pa.int64())], ["text_key", "doc_id", "part", "code", "n"]
-        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = -1 - TaskContext.get().partitionId()
+        for batch in batches:
+            rows = batch.to_pandas()
+            known = rows[rows["doc_id"].notna()].astype({"doc_id": "int64"})
+            fails = known["doc_id"].to_numpy() > _firsts(known)
+            later = known[fails].assign(code=known["code"][fails] | E_BIT)
+            sums = pd.concat([rows[rows["doc_id"].isna()], later]).groupby(["part", "code"], as_index=False).size().rename(columns={"size": "n"})
+            first = known[~fails].groupby(_FIELDS, as_index=False, sort=False).size().rename(columns={"size": "n"})
+            first["bucket"] = first["a"] % buckets
+            out = pd.concat([first, sums.assign(bucket=own, a=0, b=0, doc_id=0)])
+            yield pa.RecordBatch.from_pandas(out[["bucket", *_FIELDS, "n"]].astype({"code": "int32", "n": "int64", "bucket": "int64"}), preserve_index=False)
+
+    return run
 
 
 def _changes(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Count changes that the new rows of one text make."""
-    out: Counter = Counter()
-    least, first = (None, Counter()) if not state.exists else (state.get[0], Counter(dict(zip(zip(state.get[1], state.get[2]), state.get[3]))))
-    before = least
-    touched = False
-    for chunk in chunks:
-        for doc_id, part, code, n in zip(chunk["doc_id"].tolist(), chunk["part"].tolist(), chunk["code"].tolist(), chunk["n"].tolist()):
-            if len(key[0]) != 16:
-                out[part, code] += n
-                continue
-            doc_id = int(doc_id)
-            if least is None or doc_id < least:
-                for (p, c), m in first.items():
-                    out[p, c] -= m
-                    out[p, c | E_BIT] += m
-                least, first = doc_id, Counter()
-            fails = doc_id > least
-            out[part, code | E_BIT if fails else code] += n
-            if not fails:
-                first[part, code] += n
-                touched = True
-    if touched or least != before:
-        state.update((least, [p for p, _ in first], [c for _, c in first], list(first.values())))
-    rows = [(p, c, n) for (p, c), n in out.items() if n]
-    yield pd.DataFrame({"part": [r[0] for r in rows], "code": [r[1] for r in rows], "n": [r[2] for r in rows]}).astype({"code": "int32", "n": "int64"})
-
-
-def changes(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """Count changes that new rows of a key's texts make."""
+    new = pd.concat(list(chunks))[[*_FIELDS, "n"]]
+    if key[0] < 0:
+        yield new[["part", "code", "n"]]
+        return
+    old = pa.ipc.open_stream(state.get[0]).read_pandas() if state.exists else new.iloc[:0]
+    rows = pd.concat([old, new], ignore_index=True)
+    was, fails = np.arange(len(rows)) < len(old), rows["doc_id"].to_numpy() > _firsts(rows)
+    back = rows[was & fails]  # no longer the first of their text
+    moved = [back.assign(n=-back["n"]), back.assign(code=back["code"] | E_BIT)]
+    come = rows[~was].assign(code=rows["code"].where(~fails, rows["code"] | E_BIT)[~was])
+    changes = pd.concat([*moved, come]).groupby(["part", "code"], as_index=False)["n"].sum()
+    first = rows[~fails].groupby(_FIELDS, as_index=False, sort=False)["n"].sum()
+    table, sink = pa.Table.from_pandas(first, preserve_index=False), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    state.update((sink.getvalue().to_pybytes(),))
+    yield changes[changes["n"] != 0].astype({"code": "int32", "n": "int64"})
+
+
+def changes(documents: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
     """The stream of count changes (part, code, n) of a stream of documents; the code holds failed filters and two label bits."""
     small_batches(documents.sparkSession)
     narrow = documents.select("doc_id", "text", F.coalesce("lang", F.lit("")).alias("part")).mapInArrow(_narrow, _NARROW)
@@ -138,18 +137,17 @@ def changes(documents: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_at"), F.lit(True).alias("_has"))
     known = known.agg((flag("quality") * 32 + flag("toxic") * 64).alias("_bits"))
     # Rows without an id have no label: they are spread by their text.
-    at, has = F.coalesce("doc_id", F.xxhash64("text_key", "mask")), F.col("doc_id").isNotNull()
+    at, has = F.coalesce("doc_id", F.xxhash64("a", "mask")), F.col("doc_id").isNotNull()
     labelled = narrow.withColumn("_at", at).withColumn("_has", has).join(known, ["_at", "_has"], "left")
     code = (F.col("mask") + F.coalesce("_bits", F.lit(0))).cast("int").alias("code")
-    combined = labelled.select("doc_id", "part", code, "text_key").mapInArrow(_combined, _COMBINED)
-    return combined.groupBy("text_key").applyInPandasWithState(
-        _changes, "part string, code int, n bigint", "least bigint, part array<string>, code array<int>, n array<bigint>", "append", GroupStateTimeout.NoTimeout
-    )
+    combined = labelled.select("a", "b", "doc_id", "part", code).mapInArrow(_combined(buckets), _COMBINED)
+    return combined.groupBy("bucket").applyInPandasWithState(_changes, "part string, code int, n bigint", "firsts binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def counted(spark: SparkSession, path: str, labels: DataFrame, batches: int = BATCHES) -> DataFrame:
     """Documents by part, failed filters and labels, after all files below ``path`` (Parquet) have gone through the stream."""
     table = spark.read.parquet(path)
+    buckets = 1 + max(table.count() // TEXTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     files = max(1, -(-len(table.inputFiles()) // batches))
     folder = scratch(spark, "audit")
     kind = "part string, code int, n bigint"
@@ -160,7 +158,7 @@ def counted(spark: SparkSession, path: str, labels: DataFrame, batches: int = BA
 
     path = path.rstrip("/")
     either = f"{path[:-1]}[{path[-1]}]"  # as a pattern: a stream takes a single file only so
-    stream = changes(spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(either), labels)
+    stream = changes(spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(either), labels, buckets)
     stream.writeStream.foreachBatch(add).option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     sums = spark.read.schema(kind).parquet(f"{folder}/counters").groupBy("part", "code").agg(F.sum("n").alias("n")).filter("n > 0")
     code = F.col("code")
