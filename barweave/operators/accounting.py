@@ -97,16 +97,15 @@ def profit_factor(c="profit") -> Column:
 
 def equity_curve(df: DataFrame, keys: list[str], order: list, profit: str = "profit", start: float = CAPITAL) -> DataFrame:
     """Adds equity after each row and the peak so far (at least the start)."""
-    bucketed = prefix.ranged(df, keys, order)
-    run = prefix.scan(bucketed, keys, order, sums={"_gain": F.col(profit)})
-    run = run.withColumn("equity", F.col("_gain") + start).drop("_gain")
-    run = prefix.scan(run, keys, order, maxes={"peak": F.col("equity")})
-    return run.withColumn("peak", F.greatest(F.col("peak"), F.lit(float(start)))).drop(prefix.BUCKET)
+    run = prefix.ordered(df, keys, order, sums={"_gain": F.col(profit)}, highs={"_high": "_gain"})
+    peak = F.greatest(F.col("_high") + start, F.lit(float(start)))
+    return run.withColumn("equity", F.col("_gain") + start).withColumn("peak", peak).drop("_gain", "_high")
 
 
 def drawdown(df: DataFrame, keys: list[str], order: list, profit: str = "profit", start: float = CAPITAL) -> DataFrame:
     """Per key: worst fall from the peak as a fraction of it, and in money (from an equity of 0)."""
-    curve = equity_curve(df, keys, order, profit, start)
+    narrow = dict.fromkeys([*keys, *(o for o in order if isinstance(o, str)), profit])
+    curve = equity_curve(df.select(*narrow) if all(isinstance(o, str) for o in order) else df, keys, order, profit, start)
     gap = F.col("peak") - F.col("equity")
     return curve.groupBy(*keys).agg(
         F.coalesce(F.max(F.when(F.col("peak") > 0, gap / F.col("peak"))), F.lit(0.0)).alias("max_drawdown"),

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,12 +132,23 @@ def drawdown(events: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _doubled(rows: DataFrame, over: Window, first: str, levels: int, move) -> DataFrame:
+    """Adds minima over 2, 4, 8 ... rows to column `first`0: level k is the lower of level k - 1 here and that 2 ** (k - 1) rows on."""
+    for k in range(1, levels):
+        rows = rows.withColumn(f"{first}{k}", F.least(f"{first}{k - 1}", move(f"{first}{k - 1}", 1 << (k - 1)).over(over)))
+    return rows
+
+
+def _levels(rows: DataFrame) -> int:
+    return max(1, (rows.agg(F.max("_n")).first()[0] or 0).bit_length())
+
+
 def symbol_exposure(events: DataFrame) -> DataFrame:
-    """Per fold: the largest exposure of one symbol over the equity of the moment.
+    """Per fold: the largest exposure of one symbol over the equity of the moment. A close counts only when its trade was opened.
 
-    Every ordered bucket starts from the exposures carried into it (a small table per bucket and symbol),
-    so buckets are independent tasks; inside one, a heap keeps the largest exposure. A close counts only
-    when its trade was opened.
+    A symbol's exposure is constant between its own events, so each of these stretches counts with its lowest positive equity. Rows are
+    in ordered buckets. Inside a bucket every row knows the minima of the 1, 2, 4 ... rows from it on and before it: two of them cover a
+    stretch within the bucket. A longer stretch is the end of one bucket, whole buckets (the same table over buckets) and the start of another.
     """
     moves = events.filter(F.col("event_type").isin(OPEN, CLOSE)).select(
         "fold_id", "trade_id", "symbol", "event_sequence", "event_type", "position_notional"
@@ -151,35 +159,52 @@ def symbol_exposure(events: DataFrame) -> DataFrame:
     closes = moves.filter(F.col("event_type") == CLOSE).join(opens, ["fold_id", "trade_id"])
     closes = closes.filter(F.col("_opened") < F.col("event_sequence")).select("fold_id", "event_sequence", F.col("_symbol").alias("symbol"), (-F.col("_notional")).alias("step"))
     steps = moves.filter(F.col("event_type") == OPEN).select("fold_id", "event_sequence", "symbol", F.col("position_notional").alias("step"))
-    steps = steps.unionByName(closes)
-    timeline = events.select("fold_id", "event_sequence", "equity").join(steps, ["fold_id", "event_sequence"], "left")
+    timeline = events.select("fold_id", "event_sequence", "equity").join(steps.unionByName(closes), ["fold_id", "event_sequence"], "left")
     bucketed = prefix.ranged(timeline, ["fold_id"], ["event_sequence"])
-    cells = bucketed.filter(F.col("symbol").isNotNull()).groupBy("fold_id", "symbol", prefix.BUCKET).agg(F.sum("step").alias("step"))
-    buckets = bucketed.select("fold_id", prefix.BUCKET).distinct()
-    frame = cells.select("fold_id", "symbol").distinct().join(buckets, "fold_id")  # one row per symbol and bucket
-    before = Window.partitionBy("fold_id", "symbol").orderBy(prefix.BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    carried = frame.join(cells, ["fold_id", "symbol", prefix.BUCKET], "left").withColumn("step", F.sum("step").over(before))
-    carried = carried.filter(F.col("step").isNotNull()).select(
-        "fold_id", prefix.BUCKET, F.lit(-1).cast("bigint").alias("event_sequence"), F.lit(None).cast("double").alias("equity"), "symbol", "step"
-    )
 
-    def largest(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: dict[str, float] = {}
-        heap: list[tuple[float, str]] = []
-        worst = 0.0
-        for row in pdf.sort_values("event_sequence").itertuples(index=False):
-            if isinstance(row.symbol, str):
-                held[row.symbol] = max(0.0, held.get(row.symbol, 0.0) + row.step)
-                heapq.heappush(heap, (-held[row.symbol], row.symbol))
-            while heap and held[heap[0][1]] != -heap[0][0]:
-                heapq.heappop(heap)
-            if row.equity > 0 and heap:
-                worst = max(worst, -heap[0][0] / row.equity)
-        return pd.DataFrame({"fold_id": [pdf["fold_id"].iloc[0]], "share": [worst]})
-
-    work = bucketed.select("fold_id", prefix.BUCKET, "event_sequence", "equity", "symbol", "step").unionByName(carried)
-    per_bucket = work.groupBy("fold_id", prefix.BUCKET).applyInPandas(largest, "fold_id string, share double")
-    return per_bucket.groupBy("fold_id").agg(F.max("share").alias("maximum_per_symbol_exposure"))
+    positive = F.when(F.col("equity") > 0, F.col("equity"))
+    inside = Window.partitionBy("fold_id", prefix.BUCKET).orderBy("event_sequence", "symbol", "step")
+    backwards = Window.partitionBy("fold_id", prefix.BUCKET).orderBy(F.desc("event_sequence"), F.desc("symbol"), F.desc("step"))
+    cells = bucketed.groupBy("fold_id", prefix.BUCKET).agg(F.min(positive).alias("_low"), F.count(F.lit(1)).alias("_n"))
+    levels = _levels(cells)
+    rows = bucketed.select(
+        "fold_id", prefix.BUCKET, "event_sequence", "symbol", "step", positive.alias("_on0"), F.lag(positive).over(inside).alias("_off0"), F.row_number().over(inside).alias("_at"),
+        F.min(positive).over(inside.rowsBetween(Window.unboundedPreceding, -1)).alias("_head"),
+    )
+    rows = _doubled(_doubled(rows, inside, "_on", levels, F.lead), inside, "_off", levels, F.lag)
+    rows = rows.withColumn("_tail", F.min("_on0").over(backwards.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.filter(F.col("symbol").isNotNull()).select(
+        "fold_id", prefix.BUCKET, "event_sequence", "symbol", "step", "_at", "_head", "_tail",
+        F.array(*[f"_on{k}" for k in range(levels)]).alias("_on"), F.array(*[f"_off{k}" for k in range(levels)]).alias("_off"),
+    )
+
+    line, back = Window.partitionBy("fold_id").orderBy(prefix.BUCKET), Window.partitionBy("fold_id").orderBy(F.desc(prefix.BUCKET))  # one row a bucket
+    over = _levels(cells.groupBy("fold_id").agg(F.count(F.lit(1)).alias("_n")))
+    spans = cells.select(
+        "fold_id", prefix.BUCKET, F.row_number().over(line).alias("_place"), F.lead("_low").over(line).alias("_next0"), F.lag("_low").over(line).alias("_last0"),
+        F.min("_low").over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("_rest"),
+    )
+    spans = _doubled(_doubled(spans, line, "_next", over, F.lead), line, "_last", over, F.lag)
+    spans = spans.select(
+        "fold_id", prefix.BUCKET, "_place", "_rest", F.array(*[f"_next{k}" for k in range(over)]).alias("_next"), F.array(*[f"_last{k}" for k in range(over)]).alias("_last")
+    )
+    stretches = prefix.ordered(
+        rows.join(spans, ["fold_id", prefix.BUCKET]).drop(prefix.BUCKET), ["fold_id", "symbol"], ["event_sequence", "step"], sums={"_held": F.col("step")},
+        previous={"_was_at": F.col("_at"), "_was_place": F.col("_place"), "_was_tail": F.col("_tail"), "_was_on": F.col("_on"), "_was_next": F.col("_next")},
+    )
+
+    def lowest(forward: str, backward: str, count: Column) -> Column:
+        level = F.length(F.bin(count))  # 2 ** (level - 1) <= count
+        return F.when(count > 0, F.least(F.try_element_at(forward, level), F.try_element_at(backward, level)))
+
+    within = lowest("_was_on", "_off", F.col("_at") - F.col("_was_at"))
+    across = F.least("_was_tail", lowest("_was_next", "_last", F.col("_place") - F.col("_was_place") - 1), F.col("_head"))
+    low = F.when(F.col("_place") == F.col("_was_place"), within).otherwise(across)
+    shares = stretches.filter(F.col("_was_at").isNotNull()).select("fold_id", (F.greatest(F.lit(0.0), F.col("_held") - F.col("step")) / low).alias("share"))
+    ends = stretches.groupBy("fold_id", "symbol").agg(F.max_by(F.struct("_held", F.least("_tail", "_rest").alias("low")), F.struct("event_sequence", "_at")).alias("end"))
+    ends = ends.select("fold_id", (F.greatest(F.lit(0.0), F.col("end._held")) / F.col("end.low")).alias("share"))
+    every = events.select("fold_id", F.lit(0.0).alias("share"))
+    return shares.unionByName(ends).unionByName(every).groupBy("fold_id").agg(F.coalesce(F.max("share"), F.lit(0.0)).alias("maximum_per_symbol_exposure"))
 
 
 def reconcile(events: DataFrame, reported: DataFrame | None = None) -> DataFrame:

@@ -36,14 +36,16 @@ def scan(
     previous: dict[str, Column] | None = None,
     key_sums: dict[str, Column] | None = None,
     maxes_before: dict[str, Column] | None = None,
+    highs: dict[str, str] | None = None,
 ) -> DataFrame:
     """Running row number, sums and maxima per key over a bucketed frame from `ranged`.
 
     `total` adds the row count of the key, `key_sums` adds whole sums of the key, `previous` adds
-    the value of the row before, `maxes_before` the maximum up to the row before.
+    the value of the row before, `maxes_before` the maximum up to the row before. `highs` adds the running maximum of one
+    of the running sums: a bucket is summed up by (sum, highest prefix), and these combine from bucket to bucket.
     """
     sums, maxes, previous, key_sums = sums or {}, maxes or {}, previous or {}, key_sums or {}
-    past = maxes_before or {}
+    past, highs = maxes_before or {}, highs or {}
     order = [as_col(o) for o in order]
     inside = Window.partitionBy(BUCKET, *keys).orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -54,14 +56,20 @@ def scan(
     aggs += [F.max(e).alias(f"_t_m_{n}") for n, e in maxes.items()]
     aggs += [F.max(e).alias(f"_t_b_{n}") for n, e in past.items()]
     aggs += [F.sum(e).alias(f"_t_k_{n}") for n, e in key_sums.items()]
+    aggs += [F.max(f"_l_h_{n}").alias(f"_t_h_{n}") for n in highs]
     source = df
+    if highs:
+        source = df.select("*", *[F.sum(sums[of]).over(upto).alias(f"_l_s_{of}") for of in dict.fromkeys(highs.values())])
+        source = source.select("*", *[F.max(f"_l_s_{of}").over(upto).alias(f"_l_h_{n}") for n, of in highs.items()])
     if previous:
-        source = df.withColumn("_pos", F.row_number().over(inside))
+        source = source.withColumn("_pos", F.row_number().over(inside))
         aggs.append(F.max_by(last, F.col("_pos")).alias("_t_last"))
     totals = source.groupBy(BUCKET, *keys).agg(*aggs)
 
     # At most one row per bucket and key, and a key spans at most `partitions` buckets.
     before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    for n, of in highs.items():
+        totals = totals.withColumn(f"_h_{n}", F.coalesce(F.sum(f"_t_s_{of}").over(before), F.lit(0)) + F.col(f"_t_h_{n}"))
     carry = totals.select(
         F.col(BUCKET),
         *keys,
@@ -71,6 +79,7 @@ def scan(
         *[F.coalesce(F.sum(f"_t_s_{n}").over(before), F.lit(0)).alias(f"_c_s_{n}") for n in sums],
         *[F.max(f"_t_m_{n}").over(before).alias(f"_c_m_{n}") for n in maxes],
         *[F.max(f"_t_b_{n}").over(before).alias(f"_c_b_{n}") for n in past],
+        *[F.max(f"_h_{n}").over(before).alias(f"_c_h_{n}") for n in highs],
         *([F.last("_t_last").over(before).alias("_c_last")] if previous else []),
     )
     if not keys:
@@ -85,6 +94,8 @@ def scan(
     if previous:
         cols.append(F.lag(last).over(inside).alias("_l_last"))
     local = df.select(*cols)
+    if highs:
+        local = local.select("*", *[F.max(f"_l_s_{of}").over(upto).alias(f"_l_h_{n}") for n, of in highs.items()])
 
     out = [F.col(c) for c in df.columns]
     if rank:
@@ -95,6 +106,7 @@ def scan(
     out += [(F.coalesce(F.col(f"_l_s_{n}"), F.lit(0)) + F.col(f"_c_s_{n}")).alias(n) for n in sums]
     out += [F.greatest(f"_l_m_{n}", f"_c_m_{n}").alias(n) for n in maxes]
     out += [F.greatest(f"_l_b_{n}", f"_c_b_{n}").alias(n) for n in past]
+    out += [F.greatest(F.col(f"_l_h_{n}") + F.col(f"_c_s_{of}"), F.col(f"_c_h_{n}")).alias(n) for n, of in highs.items()]
     if previous:
         seen = F.coalesce("_l_last", "_c_last")
         out += [seen[n].alias(n) for n in previous]

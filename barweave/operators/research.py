@@ -82,15 +82,13 @@ def variant_metrics(
             safe_ratio(F.max(f"_c{i}"), F.sum(f"_c{i}")).alias(f"top_symbol_trade_share_{i}"),
         ]
     symbols = per.agg(*aggs)
-    bucketed = prefix.ranged(wide, [], order)
-    run = prefix.scan(
-        bucketed, [], order, sums={f"_e{i}": F.coalesce(F.col(f"_p{i}"), F.lit(0.0)) for i in each}
-    ).withColumns({f"_e{i}": F.col(f"_e{i}") + capital for i in each})
-    run = prefix.scan(run, [], order, maxes={f"_k{i}": F.col(f"_e{i}") for i in each})
+    gains = {f"_e{i}": F.coalesce(F.col(f"_p{i}"), F.lit(0.0)) for i in each}
+    path = wide.select(*[o for o in order if isinstance(o, str)], *[f"_p{i}" for i in each]) if all(isinstance(o, str) for o in order) else wide
+    run = prefix.ordered(path, [], order, sums=gains, highs={f"_k{i}": f"_e{i}" for i in each})
     falls = []
     for i in each:
-        peak = F.greatest(F.col(f"_k{i}"), F.lit(float(capital)))
-        falls.append(F.max((peak - F.col(f"_e{i}")) / peak).alias(f"max_drawdown_{i}"))
+        peak = F.greatest(F.col(f"_k{i}"), F.lit(0.0)) + capital
+        falls.append(F.max((peak - F.col(f"_e{i}") - capital) / peak).alias(f"max_drawdown_{i}"))
     wide_row = rows.crossJoin(F.broadcast(days)).crossJoin(F.broadcast(symbols)).crossJoin(F.broadcast(run.agg(*falls)))
     measures = [
         "trade_count", "portfolio_profit", "avg_gross_return", "avg_net_return", "win_rate", "profit_factor", "active_days",
