@@ -1,12 +1,20 @@
-"""Exact quantiles without collecting a group: count per value, ordered prefix of the counts, pick the ranks."""
+"""Exact quantiles without collecting a group: count per value, ordered prefix of the counts, pick the ranks.
+
+`cuts` finds the rows at given ranks of a total order without sorting the table: a sketch bounds the value at each rank from both sides, rows
+below the bound are counted, and only the rows between the bounds are ordered.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from . import prefix
 
+#: Accuracy of the sketch: it is off by at most one rank in so many rows.
+SKETCH = 10_000
+
 
 def value_ranks(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
     """One row per (key, value) with the 0-based rank range [first, last] its rows take, and the key's count.
@@ -50,3 +58,49 @@ def exact(
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         out.append((lo * (1 - w) + hi * w if how == "linear" else lo).alias(name))
     return picked.select(*keys, F.col("size").alias("rows"), *out)
+
+
+def cuts(df: DataFrame, keys: list[str], value: str, ties: list[str], shares: list[tuple[float, bool]]) -> DataFrame:
+    """Per key: `rows`, and `at`, an array with the order (value, *ties) of the row at rank floor(share * rows), or ceil if the flag is set, for
+    each (share, flag), ascending; null where that rank is 0. Values must not be null. Rows that agree in the whole order are one place.
+
+    `df` is read four times and should be stored and narrow. If the sketch has not kept its promise somewhere, wider bounds are tried, in the
+    end none at all, so the answer is exact.
+    """
+    order = F.struct(value, *ties)
+    slack = 3 / SKETCH
+    while True:
+        ends = sorted({x for s, _ in shares for x in (s - slack, s + slack) if 0 < x < 1})
+        spot = {x: i + 1 for i, x in enumerate(ends)}
+        sketch = F.percentile_approx(value, F.array(*[F.lit(x) for x in ends]), F.lit(SKETCH)) if ends else F.array().cast("array<double>")
+
+        def bound(x: float, outside: float) -> Column:
+            return F.element_at("_ends", spot[x]) if x in spot else F.lit(outside)
+
+        windows = F.array(*[
+            F.struct(F.lit(i).alias("i"), bound(s - slack, float("-inf")).alias("lo"), bound(s + slack, float("inf")).alias("hi"), _rank(F.col("rows"), s, up).alias("rank"))
+            for i, (s, up) in enumerate(shares)
+        ])
+        near = stored(df.groupBy(*keys).agg(sketch.alias("_ends"), F.count(F.lit(1)).alias("rows")).select(*keys, "rows", windows.alias("_w")))
+        # One row a key; keys are scores, folds or other groups of a report.
+        held = df.join(F.broadcast(near.drop("rows")), keys) if keys else df.crossJoin(F.broadcast(near.drop("rows")))
+        slot = F.size(F.filter("_w", lambda w: w["lo"] <= F.col(value))).alias("_slot")
+        under = held.groupBy(*keys, slot).agg(F.count(F.lit(1)).alias("_n"))
+        hit = F.explode(F.filter("_w", lambda w: (w["lo"] <= F.col(value)) & (F.col(value) <= w["hi"]) & (w["rank"] > 0))).alias("w")
+        inside = held.select(*keys, value, *ties, hit).select(*keys, value, *ties, "w.i", "w.rank")
+        placed = prefix.ordered(inside, [*keys, "i"], [value, *ties], rank="_at")
+        wanted = near.select(*keys, "rows", F.explode("_w").alias("w")).select(*keys, "rows", "w.i", "w.rank")
+        below = wanted.join(under, keys) if keys else wanted.crossJoin(under)  # a slot for each share at most
+        below = below.groupBy(*keys, "i").agg(F.coalesce(F.sum(F.when(F.col("_slot") <= F.col("i"), F.col("_n"))), F.lit(0)).alias("_below"))
+        found = stored(placed.join(F.broadcast(below), [*keys, "i"]).filter(F.col("_at") == F.col("rank") - F.col("_below")).select(*keys, "i", order.alias("_o")))
+        if found.count() == wanted.filter("rank > 0").count():
+            break
+        slack = slack * 30 if slack < 0.02 else 1.0
+    whole = wanted.join(found, [*keys, "i"], "left").groupBy(*keys, "rows") if keys else wanted.join(found, "i", "left").groupBy("rows")
+    return whole.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "_o"))), lambda x: x["_o"]).alias("at"))  # a few shares
+
+
+def _rank(rows: Column, share: float, up: bool) -> Column:
+    # Shares are hundredths: whole numbers keep the product exact.
+    exact = rows * F.lit(round(share * 100)) / F.lit(100)
+    return (F.ceil(exact) if up else F.floor(exact)).cast("bigint")

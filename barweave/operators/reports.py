@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MS_PER_DAY, MS_PER_MINUTE, safe_ratio
+from ..session import stored
 from . import accounting, prefix, quantiles
 
 QUANTILES = {f"p{p:02d}": p / 100 for p in (1, 5, 10, 25, 50, 75, 90, 95, 99)}
@@ -61,18 +62,33 @@ def _top_share(rows: DataFrame, by: list[str], column: str, name: str) -> DataFr
     )
 
 
+TIES = ["open_time", "symbol", "row_id"]
+
+
+LOWER = [(d / DECILES, False) for d in range(1, DECILES)]
+
+
+def _placed(df: DataFrame, columns: list[str], name: str, keep: list[str], keys: list[str], order: Column, groups: dict[str, list[tuple[float, bool]]]) -> DataFrame:
+    """Long rows with a count for each group of shares: how many of them, from the lowest `order` of the row's key and column, the row lies within."""
+    rows = long_form(stored(df.select(*dict.fromkeys([*keep, *columns]))), columns, name, "value", keep).withColumn("_v", order)
+    shares = sorted({s for g in groups.values() for s in g})
+    at = quantiles.cuts(rows.select(*keys, name, "_v", *TIES), [*keys, name], "_v", TIES, shares).drop("rows")
+    mine = F.struct("_v", *TIES)
+    inside = {g: sum((F.coalesce(mine <= F.col("at")[shares.index(s)], F.lit(False)).cast("int") for s in own), F.lit(0)) for g, own in groups.items()}
+    return rows.join(F.broadcast(at), [*keys, name]).withColumns(inside).drop("at", "_v")  # one row a key and column
+
+
 TRADE = ["symbol", "month", "trade_day", "open_time", "row_id", "label", "gross", "net", "profit", "position_size"]
 
 
 def deciles(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
     """Per score and decile (1 is the lowest): rows, bounds, returns, factor and top symbol.
 
-    decile = ceil(10 * rank / n); ranks come from the ordered prefix, ties by time, symbol and row id.
+    decile = ceil(10 * rank / n), ties by time, symbol and row id: rows are placed by the nine rows at the ends of the deciles.
     """
     by = [*(keys or []), "score"]
-    rows = long_form(df, columns, "score", "value", [*(keys or []), "symbol", "open_time", "row_id", "gross", "net", "profit"])
-    ranked = prefix.ordered(rows, by, ["value", "open_time", "symbol", "row_id"], rank="_rank", total="_n")
-    placed = ranked.withColumn("decile", F.ceil(F.col("_rank") * DECILES / F.col("_n")).cast("int"))
+    placed = _placed(df, columns, "score", [*(keys or []), "symbol", "open_time", "row_id", "gross", "net", "profit"], keys or [], F.col("value"), {"_inside": LOWER})
+    placed = placed.withColumn("decile", F.lit(DECILES) - F.col("_inside"))
     group = [*by, "decile"]
     # One pass over the rows: cells per symbol carry every sum and the top symbol.
     cells = placed.groupBy(*group, "symbol").agg(
@@ -108,21 +124,12 @@ def monotonicity(table: DataFrame, keys: list[str], place: str = "decile", value
 
 def ranking(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per score source: top 1/5/10/25/100 %, deciles (01 is the best), raw candidates and executed rows."""
-    rows = long_form(df, columns, "score_source", "value", [*TRADE, "raw_signal", "executed"])
-    ranked = prefix.ordered(
-        rows, ["score_source"], [F.desc("value"), "open_time", "symbol", "row_id"], rank="_rank", total="_n"
-    )
+    keep = [*TRADE, "raw_signal", "executed"]
+    groups = {"_tops": [(p / 100, True) for p in TOP_SHARES], "_lower": LOWER}
+    ranked = _placed(df, columns, "score_source", keep, [], -F.col("value"), groups)
     # A row's buckets follow from how many top shares it is inside, its decile and its two flags, so rows are
     # summed per symbol and per day on these first; only the small cells are handed out to the buckets.
-    inside = sum((F.when(F.col("_rank") <= F.ceil(F.col("_n") * p / 100), 1).otherwise(0) for p in TOP_SHARES), F.lit(0))
-    spot = ranked.withColumns(
-        {
-            "_tops": inside,
-            "_decile": F.ceil(F.col("_rank") * DECILES / F.col("_n")).cast("int"),
-            "_raw": F.col("raw_signal") == 1,
-            "_ex": F.col("executed") == 1,
-        }
-    )
+    spot = ranked.withColumns({"_decile": F.lit(DECILES) - F.col("_lower"), "_raw": F.col("raw_signal") == 1, "_ex": F.col("executed") == 1})
     cell = ["score_source", "_tops", "_decile", "_raw", "_ex"]
     widest = len(TOP_SHARES)
     tops = [F.when(F.col("_tops") >= widest - i, F.lit(f"top_{p}pct")) for i, p in enumerate(TOP_SHARES)]
