@@ -270,37 +270,52 @@ def feature_stability(importance: DataFrame) -> DataFrame:
     )
 
 
-def baselines(df: DataFrame, bars: DataFrame | None = None, momentum: float = 0.0, spike: float = 2.0, share: int = 16) -> DataFrame:
-    """Simple rules on a feature frame with outcomes: no_trade, random, simple_momentum, volume_spike, and
-    equal-weight buy-and-hold from a price path. The cut-offs are ours."""
+#: Why a baseline has no figures.
+NO_PATH, NO_LOGISTIC, NO_CONTEXT = "continuous_price_path_unavailable", "logistic_metrics_unavailable", "baseline_context_missing"
+
+
+def baselines(
+    df: DataFrame, bars: DataFrame | None = None, momentum: float = 0.0, spike: float = 2.0, share: int = 16, leader: str | None = None, logistic: DataFrame | None = None
+) -> DataFrame:
+    """All baselines, each with `available` and `skipped_reason`: no_trade; random, simple_momentum and volume_spike on a feature frame with
+    outcomes; logistic_baseline from `logistic`, the trades (columns of `with_returns`) that a logistic model chose; buy-and-hold of the
+    leader and of all symbols alike from a price path. What is missing gives a row of zeros with the reason. The cut-offs are ours."""
     pick = F.conv(F.substring(F.md5(F.concat_ws("|", "symbol", F.col("open_time").cast("string"))), 1, 4), 16, 10).cast("int")
+    needs = {"random_trade": None, "simple_momentum": "ret_60m", "volume_spike": "relative_volume_previous_hour"}
     rules = {
         "random_trade": pick % share == 0,
         "simple_momentum": F.col("ret_60m") > momentum,
         "volume_spike": F.col("relative_volume_previous_hour") >= spike,
     }
+    rules = {n: c for n, c in rules.items() if needs[n] is None or needs[n] in df.columns}
+    kept = [c for c in TRADE if c in df.columns]
     named = F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))).alias("baseline_name")
-    rows = df.select(named, *[c for c in TRADE if c in df.columns])
+    rows = df.select(named, *kept)
+    if logistic is not None:
+        rows = rows.unionByName(logistic.select(F.lit("logistic_baseline").alias("baseline_name"), *kept))
     done = accounting.portfolio(rows, ["baseline_name"]).select(
         "baseline_name", F.col("trade_count").alias("trades"), "win_rate", F.col("avg_gross_return").alias("avg_trade_return"),
         "portfolio_profit", "profit_factor", "max_drawdown",
     )
-    idle = df.limit(1).select(
-        F.lit("no_trade").alias("baseline_name"), F.lit(0).cast("bigint").alias("trades"),
-        *[F.lit(0.0).alias(c) for c in ("win_rate", "avg_trade_return", "portfolio_profit", "profit_factor", "max_drawdown")],
-    )
-    out = done.unionByName(idle)
     if bars is not None:
         held = bars.groupBy("symbol").agg(
             (F.max_by("close", "open_time") / F.min_by("close", "open_time") - 1).alias("r")
         )
-        hold = held.agg(
-            F.lit("equal_weight_buy_and_hold").alias("baseline_name"), F.count(F.lit(1)).alias("trades"),
-            F.avg((F.col("r") > 0).cast("double")).alias("win_rate"), F.avg("r").alias("avg_trade_return"),
-            (F.avg("r") * accounting.CAPITAL).alias("portfolio_profit"), F.lit(0.0).alias("profit_factor"), F.lit(0.0).alias("max_drawdown"),
-        )
-        out = out.unionByName(hold)
-    return out
+        every = [(held, "equal_weight_buy_and_hold")] + ([(held.filter(F.col("symbol") == leader), "leader_buy_and_hold")] if leader else [])
+        for own, name in every:
+            hold = own.agg(
+                F.lit(name).alias("baseline_name"), F.count(F.lit(1)).alias("trades"),
+                F.avg((F.col("r") > 0).cast("double")).alias("win_rate"), F.avg("r").alias("avg_trade_return"),
+                (F.avg("r") * accounting.CAPITAL).alias("portfolio_profit"), F.lit(0.0).alias("profit_factor"), F.lit(0.0).alias("max_drawdown"),
+            )
+            done = done.unionByName(hold.filter("trades > 0"))
+    reasons = {"no_trade": "", "logistic_baseline": "" if logistic is not None else NO_LOGISTIC, "leader_buy_and_hold": NO_PATH, "equal_weight_buy_and_hold": NO_PATH}
+    reasons |= {n: "" if n in rules else NO_CONTEXT for n in needs}
+    listed = df.sparkSession.createDataFrame(list(reasons.items()), "baseline_name string, skipped_reason string")
+    measures = [c for c in done.columns if c != "baseline_name"]
+    out = listed.join(done, "baseline_name", "left").withColumn("available", ((F.col("skipped_reason") == "") | F.col("trades").isNotNull()).cast("int"))
+    out = out.withColumn("skipped_reason", F.when(F.col("available") == 1, "").otherwise(F.col("skipped_reason")))
+    return out.fillna(0, measures).select("baseline_name", "available", "skipped_reason", *measures)
 
 
 def candidate_utility(df: DataFrame, score: str, keys: list[str]) -> DataFrame:

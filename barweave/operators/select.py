@@ -219,22 +219,21 @@ def pool(df: DataFrame, score_edge: bool = True, symbol: bool = True) -> DataFra
     """Candidates open for re-selection: pre-filter rows over the threshold with either filter on or off; in a
     table without pre-filter rows the raw signals; without those the selected rows."""
     pre = F.coalesce(F.col("candidate_serialization_stage") == PRE_FILTER_STAGE, F.lit(False))
-    facts = df.agg(F.max(pre).alias("_has_pre"), F.max(F.col("raw_signal") == 1).alias("_has_raw"))
+    has_pre, has_raw = df.agg(F.max(pre), F.max(F.col("raw_signal") == 1)).first()  # two flags, so that a plain filter reaches the scan
     inside = F.col("selected_by_threshold") == 1
     if score_edge:
         inside = inside & (F.col("selected_by_score_edge") == 1)
     if symbol:
         inside = inside & (F.col("selected_by_symbol_filter") == 1)
-    chosen = (F.col("predicted") == 1) | (F.col("selected_by_topk") == 1)
-    keep = F.when(F.col("_has_pre"), inside).when(F.col("_has_raw"), F.col("raw_signal") == 1).otherwise(chosen)
-    return df.crossJoin(F.broadcast(facts)).filter(keep).drop("_has_pre", "_has_raw")  # one row
+    if has_pre:
+        return df.filter(inside)
+    return df.filter(F.col("raw_signal") == 1 if has_raw else (F.col("predicted") == 1) | (F.col("selected_by_topk") == 1))
 
 
 def baseline(df: DataFrame, first: str, second: str) -> DataFrame:
     """Rows with the first flag if any row has it, else rows with the second."""
-    facts = df.agg(F.max(F.col(first) == 1).alias("_any"))
-    keep = F.when(F.col("_any"), F.col(first) == 1).otherwise(F.col(second) == 1)
-    return df.crossJoin(F.broadcast(facts)).filter(keep).drop("_any")  # one row
+    has_first = not df.filter(F.col(first) == 1).isEmpty()
+    return df.filter(F.col(first if has_first else second) == 1)
 
 
 def baseline_selected(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import day_of, rnd
 from ..operators import accounting, calibrate, features, labels, prefix, reports, select, thresholds
 from ..session import scratch
-from .bindings import r, with_tables
+from .bindings import LEADERS, r, with_tables
 from .catalog_bars import FEATURE_SQL, LEADER_CTE, LEADER_MAP, OUT_CTE, STEPS_CTE, TARGET, WINDOW, ret
 from .registry import query
 
@@ -790,18 +790,26 @@ def feature_stability(t):
     "r11_baselines",
     with_tables(
         "bars",
-        f"""SELECT baseline_name, count(*) AS trades, {r("avg(CAST(net > 0 AS INTEGER))")} AS win_rate, {r("avg(gross)")} AS avg_trade_return, {r("sum(profit)", 2)} AS portfolio_profit FROM (
+        f"""SELECT baseline_name, CAST(reason = '' OR trades IS NOT NULL AS INTEGER) AS available, CASE WHEN trades IS NULL THEN reason ELSE '' END AS skipped_reason,
+        coalesce(trades, 0) AS trades, coalesce(win_rate, 0.0) AS win_rate, coalesce(avg_trade_return, 0.0) AS avg_trade_return, coalesce(portfolio_profit, 0.0) AS portfolio_profit
+        FROM (VALUES ('no_trade', ''), ('random_trade', ''), ('simple_momentum', ''), ('volume_spike', ''), ('logistic_baseline', ''),
+          ('leader_buy_and_hold', '{reports.NO_PATH}'), ('equal_weight_buy_and_hold', '{reports.NO_PATH}')) l(baseline_name, reason) LEFT JOIN (
+        SELECT baseline_name, count(*) AS trades, {r("avg(CAST(net > 0 AS INTEGER))")} AS win_rate, {r("avg(gross)")} AS avg_trade_return, {r("sum(profit)", 2)} AS portfolio_profit FROM (
           SELECT 'random_trade' AS baseline_name, * FROM bar_trades WHERE ('0x' || substr(md5(symbol || '|' || open_time), 1, 4))::INT % 16 = 0
-          UNION ALL SELECT 'simple_momentum', * FROM bar_trades WHERE ret60 > 0 UNION ALL SELECT 'volume_spike', * FROM bar_trades WHERE relv >= 2) GROUP BY 1
-        UNION ALL SELECT 'no_trade', 0, 0.0, 0.0, 0.0
-        UNION ALL SELECT 'equal_weight_buy_and_hold', count(*), {r("avg(CAST(h > 0 AS INTEGER))")}, {r("avg(h)")}, {r("avg(h) * 10000", 2)} FROM
-          (SELECT symbol, arg_max(close, open_time) / arg_min(close, open_time) - 1 AS h FROM bars GROUP BY 1)""",
+          UNION ALL SELECT 'simple_momentum', * FROM bar_trades WHERE ret60 > 0 UNION ALL SELECT 'volume_spike', * FROM bar_trades WHERE relv >= 2
+          UNION ALL SELECT 'logistic_baseline', * FROM bar_trades WHERE 1 / (1 + exp(-(0.3 * ln(1 + relv) - 4 * ret60))) >= 0.6) GROUP BY 1
+        UNION ALL SELECT name, count(*), {r("avg(CAST(h > 0 AS INTEGER))")}, {r("avg(h)")}, {r("avg(h) * 10000", 2)} FROM
+          (SELECT symbol, arg_max(close, open_time) / arg_min(close, open_time) - 1 AS h FROM bars GROUP BY 1)
+          JOIN (VALUES ('equal_weight_buy_and_hold'), ('leader_buy_and_hold')) k(name) ON name LIKE 'equal%' OR symbol = '{LEADERS[0]}' GROUP BY 1) USING (baseline_name)""",
         STEPS_CTE, LEADER_CTE, OUT_CTE, BAR_TRADES_CTE,
     ),
 )
 def baseline_rules(t):
-    out = reports.baselines(bar_trades(t), t.bars)
-    return rounded(out, ["baseline_name", "trades"], {"win_rate": 6, "avg_trade_return": 6, "portfolio_profit": 2})
+    """The logistic rule has stated weights here: the report takes the trades of any fitted model."""
+    rows = bar_trades(t)
+    score = 0.3 * F.log1p("relative_volume_previous_hour") - 4 * F.col("ret_60m")
+    out = reports.baselines(rows, t.bars, leader=LEADERS[0], logistic=rows.filter(1 / (1 + F.exp(-score)) >= 0.6))
+    return rounded(out, ["baseline_name", "available", "skipped_reason", "trades"], {"win_rate": 6, "avg_trade_return": 6, "portfolio_profit": 2})
 
 
 query(
