@@ -617,8 +617,7 @@ def sequential_cte(name: str, pool: str, score: str, strength: float, k: int, ca
     over = f"AND NOT (total + len(acc) >= {warmup} AND (coalesce(picks[x[1].s], 0) + 1) / (total + len(acc) + 1) > {cap})" if cap else ""
     return f"""{name}_scale AS (SELECT greatest(stddev_pop(trade_score), (quantile_cont(trade_score, 0.75) - quantile_cont(trade_score, 0.25)) / 1.349,
   abs(quantile_cont(trade_score, 0.5)) * 0.25, 1e-6) * {strength} AS penalty FROM {pool}),
-{name}_b AS (SELECT row_number() OVER (ORDER BY open_time) AS b, * FROM
-  (SELECT open_time, list({{'v': {score}, 't': trade_score, 's': symbol, 'i': row_id}}) AS entries FROM {pool} GROUP BY 1)),
+{name}_b AS MATERIALIZED (SELECT dense_rank() OVER (ORDER BY open_time) AS b, open_time, {score} AS v, trade_score AS t, symbol AS s, row_id AS i FROM {pool}),
 {name}_run AS (SELECT 0::BIGINT AS b, 0::BIGINT AS open_time, MAP([]::VARCHAR[], []::BIGINT[]) AS picks, 0::BIGINT AS total,
     []::STRUCT(a DOUBLE, t DOUBLE, s VARCHAR, i VARCHAR)[] AS chosen
   UNION ALL SELECT b, open_time, map_concat(picks, map_from_entries(list_transform(chosen, lambda x: {{'k': x.s, 'v': coalesce(picks[x.s], 0) + 1}}))), total + len(chosen), chosen
@@ -626,7 +625,8 @@ def sequential_cte(name: str, pool: str, score: str, strength: float, k: int, ca
         {{'a': -(x.v - penalty * (CASE WHEN total > 0 THEN coalesce(picks[x.s], 0) / total ELSE 0.0 END)), 't': -x.t, 's': x.s, 'i': x.i}})), lambda x: [x]),
       lambda acc, x: CASE WHEN len(acc) < {k} AND NOT list_contains(list_transform(acc, lambda y: y.s), x[1].s) {over} THEN list_concat(acc, x) ELSE acc END,
       []::STRUCT(a DOUBLE, t DOUBLE, s VARCHAR, i VARCHAR)[]) AS chosen
-    FROM (SELECT n.b, n.open_time, n.entries, r.picks, r.total, penalty FROM {name}_run r JOIN {name}_b n ON n.b = r.b + 1, {name}_scale))),
+    FROM (SELECT n.b, any_value(n.open_time) AS open_time, list({{'v': n.v, 't': n.t, 's': n.s, 'i': n.i}}) AS entries, any_value(r.picks) AS picks, any_value(r.total) AS total,
+        any_value(penalty) AS penalty FROM {name}_run r JOIN {name}_b n ON n.b = r.b + 1, {name}_scale GROUP BY n.b))),
 {name}_keys AS (SELECT open_time, unnest(chosen) AS c, unnest(range(1, len(chosen) + 1)) AS rank_in_bucket FROM {name}_run)"""
 
 
