@@ -3,6 +3,10 @@
 Every stage takes (spark, documents, folder of the tables) and works on all that the stage before has kept; its result is written as
 Parquet below spark.checkpoint.dir and read again as the next stage's documents. All stages but the last return the columns of
 documents.
+
+Null and empty texts are of one kind: the classifier scores them as empty, they are no near duplicates and not contaminated, and pack as their
+end id. Rows without an id, or that share one, pass as the operators say (near_duplicates keeps rows without an id). Empty tables give an empty
+result, and further columns of documents come through all stages but the last.
 """
 
 from __future__ import annotations
@@ -13,6 +17,10 @@ from barweave.llm import decontaminate, jaccard, pack, quality, surrogates
 from barweave.session import configure, stored
 
 
+#: Key of the surrogates; own data need a key of their own, kept secret.
+KEY = "key for the provided synthetic tables"
+
+
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -30,7 +38,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by surrogates."""
-    return surrogates.anonymised(docs)
+    return surrogates.anonymised(docs, KEY)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
