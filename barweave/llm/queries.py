@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import configure, scratch
 from . import audit, backoff, binary, decontaminate, fingerprints, jaccard, language, pack, quality, reputation, substrings, surrogates, trie
 
+#: Key of the surrogates of the query; own data need a key of their own, kept secret.
+KEY = "key for the provided synthetic tables"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -75,7 +77,7 @@ def op10(spark, table):
 
 @query("op8_surrogates")
 def op8(spark, table):
-    return surrogates.replaced(table("documents").select("doc_id", "text"))
+    return surrogates.replaced(table("documents").select("doc_id", "text"), KEY)
 
 
 @query("op9_backoff_scores")

@@ -8,7 +8,8 @@ domain; a name: each word), and each distinct component gets one surrogate in th
   numbers keep a valid (or invalid) check digit; network addresses go to the reserved block 240.0.0.0/4; domains to ``example.com``,
   ``.net`` or ``.org``; names follow the title's gender and their script;
 * equal components have equal surrogates whatever their layout or case (a phone number with and without dots, a name with and without a
-  first name behind titles of one gender), so references to one person stay references to one;
+  first name behind titles of one gender), so references to one person stay references to one; a word of a name found in a text is
+  also replaced where it stands in that text without a title (of two surrogates for one word, by that of its first titled mention);
 * surrogates are checked against each other and against the real components of their kind; the loser of a collision draws again
   with a longer surrogate, until all are distinct.
 
@@ -16,7 +17,7 @@ Tables of distinct components are joined by Spark; each text is cut at its entit
 expression. Only texts with entities are shuffled.
 
 Edge cases: null and empty texts, and texts without entities, stay as they are; repeated rows and null ids get the same text as their
-equals; n_entities of a null text is 0; other columns pass, but a column named n_entities is replaced.
+equals; n_entities counts what the expression finds, 0 for a null text; other columns pass, but a column named n_entities is replaced.
 """
 
 from __future__ import annotations
@@ -26,8 +27,6 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 
-KEY = "change me"
-
 #: Titles in front of a name.
 HE = ["Mr", "Herr", "Monsieur", "Señor", "Signor", "господин", "κύριος"]
 SHE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Signora", "госпожа", "κυρία"]
@@ -48,7 +47,7 @@ KINDS = {
 }
 PATTERN = "|".join(KINDS.values())
 #: A text without any of these has no entity; cheap to look for.
-HINT = r"[0-9@]|(?i:token|password|passwd|secret|api_?key)|" + "|".join(t + r"\.? \p{Lu}" for t in HE + SHE + ANY)
+HINT = r"[0-9@]|(?i:token|password|passwd|secret|api_?key)|AKIA|ASIA|(?:sk|pk|ghp|gho|xoxb|xoxp)[-_]|[a-f]{32}|[A-F]{32}|" + "|".join(t + r"\.? \p{Lu}" for t in HE + SHE + ANY)
 
 _SYLLABLES = {
     "latin": ["ba", "de", "fi", "go", "lu", "ma", "ne", "ri", "so", "ta", "ve", "jo", "ka", "li", "mo", "pe"],
@@ -193,7 +192,7 @@ def _rendered() -> Column:
     return F.when((kind == "email") & (entity == F.upper(entity)), F.upper(plain)).otherwise(plain)
 
 
-def assigned(components: DataFrame, key: str = KEY) -> DataFrame:
+def assigned(components: DataFrame, key: str) -> DataFrame:
     """kind, norm and surrogate of distinct components (kind, norm); surrogates of a kind are distinct and are no real component."""
     real = stored(components.select("kind", "norm").distinct())
     done: DataFrame | None = None
@@ -216,8 +215,8 @@ def has_entity(text: Column) -> Column:
     return F.coalesce(text.rlike(HINT) & text.rlike(PATTERN), F.lit(False))
 
 
-def replaced(documents: DataFrame, key: str = KEY) -> DataFrame:
-    """The documents with surrogates in their texts, and n_entities."""
+def replaced(documents: DataFrame, key: str) -> DataFrame:
+    """The documents with surrogates in their texts, and n_entities. The key is secret: who has it can test a guess."""
     names = [c for c in documents.columns if c != "n_entities"]
     hidden = {c: f"c{i}" for i, c in enumerate(names)}  # own columns never meet those of the caller
     documents = documents.select([F.col(f"`{c}`").alias(h) for c, h in hidden.items()])
@@ -231,14 +230,20 @@ def replaced(documents: DataFrame, key: str = KEY) -> DataFrame:
     whole = parts.join(table, ["kind", "norm"]).groupBy("entity", "entity_kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "surrogate"))), lambda x: x["surrogate"]).alias("surrogates"))
     replacement = stored(whole.select("entity", _rendered().alias("replacement")))
     per_text = mentions.join(replacement, "entity").groupBy("_text").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "replacement"))), lambda x: x["replacement"]).alias("_new"))
+    called = mentions.join(parts.filter(F.col("kind").startswith("name")), "entity").join(table, ["kind", "norm"])
+    called = called.groupBy("_text", "norm").agg(F.min_by("surrogate", F.struct("at", "i")).alias("surrogate"))
+    called = called.groupBy("_text").agg(F.map_from_entries(F.collect_list(F.struct("norm", "surrogate"))).alias("_called"))  # words of one text
+    per_text = per_text.join(called, "_text", "left")
     own = lambda new: [(new if c == "text" else F.col(h)).alias(c) for c, h in hidden.items()]
     pieces = F.split(text, PATTERN, -1)
-    rebuilt = F.array_join(F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.get(F.col("_new"), i), F.lit("")))), "")
+    words = lambda p: F.regexp_extract_all(p, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    named = lambda p: F.array_join(F.transform(words(p), lambda w: F.coalesce(F.try_element_at("_called", w), w)), "")
+    rebuilt = F.array_join(F.transform(pieces, lambda p, i: F.concat(F.when(F.col("_called").isNull(), p).otherwise(named(p)), F.coalesce(F.get(F.col("_new"), i), F.lit("")))), "")
     changed = documents.where(has_entity(text)).withColumn("_text", digest).join(per_text, "_text").select(*own(rebuilt), F.size("_new").cast("bigint").alias("n_entities"))
     return changed.unionByName(documents.where(~has_entity(text)).select(*own(text), F.lit(0).cast("bigint").alias("n_entities")))
 
 
-def anonymised(documents: DataFrame, key: str = KEY) -> DataFrame:
+def anonymised(documents: DataFrame, key: str) -> DataFrame:
     """The documents with their own columns; a column n_chars follows the new text."""
     whole = documents.select("text", F.struct([F.col(f"`{c}`") for c in documents.columns]).alias("row"))
     out = replaced(whole, key)

@@ -60,7 +60,7 @@ def test_distinct_and_consistent(spark):
 def test_odd_rows(spark, make, odd, clash):
     docs = [*odd, (30, "x@y.example"), (30, "x@y.example"), (None, "x@y.example"), (31, "1" * 200), (32, "a." * 20_000 + "@b"), (33, ("w" * 50 + "@") * 3000), (34, "9 " * 20_000)]
     df = clash(make(docs))
-    out = surrogates.replaced(df)
+    out = surrogates.replaced(df, "k")
     rows = out.collect()
     assert len(rows) == len(docs) and sorted(out.columns) == sorted(df.columns)
     same = {r.text for r in rows if r.doc_id in (30,)}
@@ -69,20 +69,20 @@ def test_odd_rows(spark, make, odd, clash):
     for r in rows:
         if r.doc_id in texts:
             assert r.text == texts[r.doc_id] and r.n_entities == 0
-    back = surrogates.anonymised(df)
+    back = surrogates.anonymised(df, "k")
     assert back.dtypes == df.dtypes
     assert all(r.n_chars == len(r.text) for r in back.collect() if r.text is not None)
-    assert surrogates.replaced(make(odd).limit(0)).count() == 0
+    assert surrogates.replaced(make(odd).limit(0), "k").count() == 0
 
 
 def test_no_python_in_the_plan(make, odd):
-    plan = surrogates.replaced(make([(1, "x@y.example")]))._jdf.queryExecution().toString()
+    plan = surrogates.replaced(make([(1, "x@y.example")]), "k")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
 def test_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    both = surrogates.replaced(docs).join(docs.withColumnRenamed("text", "before"), "doc_id").collect()
+    both = surrogates.replaced(docs, "k").join(docs.withColumnRenamed("text", "before"), "doc_id").collect()
     kinds = [r"[\w.]+@[\w.]+\w", r"\+\d \(\d{3}\) \d{3}-\d{4}", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}", r"\d{16}", r"AKIA[A-Z0-9]{16}", r"(?i)(?:password=|token = \")[0-9a-f]+"]
     seen = 0
     for r in both:
@@ -109,3 +109,25 @@ def test_long_values_go_whole(spark):
         assert n == 1 and len(after) >= len(before) and after.endswith(before.partition(value)[2])
         if "a.a." not in value:
             assert not any(value[i : i + 12] in after for i in range(6, len(value) - 12, 6))
+
+
+def test_keys_and_hexadecimal_without_a_digit(spark):
+    """Nothing else in the text tells that there is an entity."""
+    prefixes = ["sk", "pk", "ghp", "gho", "xoxb", "xoxp"]
+    texts = [f"see {p}ABCDEFGHIJKLMNOP here" for p in ("AKIA", "ASIA")] + [f"see {p}{s}abcdefghijklmnopqr here" for p in prefixes for s in "-_"] + [f"see {c * 36} here" for c in ("abcdef", "ABCDEF")]
+    for before, (after, n) in zip(texts, anonymise(spark, texts)):
+        assert n == 1 and after != before and after.startswith("see ") and after.endswith(" here") and before[8:-5] not in after
+
+
+def test_plain_mentions_follow_the_titled_one(spark):
+    texts = [
+        "Smith came late. Mr Smith said no. Then Smith left; blacksmith Smithson saw SMITH and smith.", "Mrs Ann Jones and Mr Jones: Jones, Ann-Jones.", "Smith is not named by title here. mail a@b.org",
+        "госпожа Петрова и Петрова",
+    ]
+    (first, n), (second, _), (third, _), (fourth, _) = anonymise(spark, texts)
+    new = re.search(r"Mr (\w+) said", first)[1]
+    assert n == 1 and first == f"{new} came late. Mr {new} said no. Then {new} left; blacksmith Smithson saw SMITH and smith." and new != "Smith"
+    ann, she, he, plain = re.fullmatch(r"Mrs (\w+) (\w+) and Mr (\w+): (\w+), \1-\4\.", second).groups()
+    assert plain == she != he and ann != "Ann"
+    assert third.startswith("Smith is not named") and "a@b.org" not in third
+    assert len(set(re.findall(r"П?[а-я]+|[А-Я][а-я]+", fourth))) == 3 and "Петрова" not in fourth
