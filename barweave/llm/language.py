@@ -132,10 +132,21 @@ def word_bits(models: Models, column: pa.Array) -> tuple[np.ndarray, np.ndarray]
 
 
 def _sample(documents: DataFrame, where: Column, most: int) -> DataFrame:
-    """At most ``most`` texts of each language, in the order of a hash of the text."""
+    """At most ``most`` different texts of each language, in the order of a hash of the text.
+
+    Only hashes are ranked: counts in 4,096 cells of the hash tell up to which cell a language needs them, so few rows of a language meet in a
+    task. Texts are fetched for the winners, at most ``most`` a language.
+    """
     labelled = documents.where(where & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    return labelled.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= most).drop("_n")
+    labelled = labelled.withColumn("_h", F.xxhash64("text"))
+    hashes = labelled.select("lang", "_h", F.shiftright("_h", 52).alias("_cell")).distinct()
+    cells = hashes.groupBy("lang", "_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("lang").orderBy("_cell")) - F.col("_n")
+    last = cells.withColumn("_before", before).where(F.col("_before") < most).groupBy("lang").agg(F.max("_cell").alias("_last"))
+    few = hashes.join(F.broadcast(last), "lang").where(F.col("_cell") <= F.col("_last"))  # a row a language
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("_h"))
+    winners = few.withColumn("_n", place).where(F.col("_n") <= most).select("lang", "_h")
+    return labelled.join(F.broadcast(winners), ["lang", "_h"]).groupBy("lang", "_h").agg(F.min("text").alias("text")).drop("_h")
 
 
 def count_grams(sample: DataFrame, order: int) -> pd.DataFrame:
