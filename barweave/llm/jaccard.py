@@ -395,6 +395,7 @@ class Join:
         return units.repartition(n, "unit").sortWithinPartitions("unit", "n").mapInArrow(_search_groups, "a bigint, b bigint").distinct()
 
     def links(self) -> DataFrame:
+        """Verified pairs that join all of each component; pairs within what is joined already are left out."""
         members = self.members()
         size = self.nodes.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"))
         star = members.where("node <> hub").select("node", "hub", "n").distinct().join(size, "hub").where("5 * least(n, hub_n) >= 4 * greatest(n, hub_n)")
@@ -408,15 +409,13 @@ class Join:
         return links
 
     def classes(self) -> DataFrame:
-        """doc_id, n_shingles, component_id and the number of the node's links, one row a document."""
-        links = self.links()
-        part = components(links)
-        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+        """doc_id, n_shingles and component_id, one row a document."""
+        part = components(self.links())
         named = self.nodes.select("node", "doc_id").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
         ids = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-        of = named.join(ids, "component").join(degree, "node", "left").select("node", "component_id", "n_links")
+        of = named.join(ids, "component").select("node", "component_id")
         return self.rows.join(of, "node", "left").select(
-            "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+            "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
         )
 
 
