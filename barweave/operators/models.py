@@ -121,7 +121,7 @@ def gbt(
 
 
 def rank(train: DataFrame, validation: DataFrame, features: list[str], relevance: str, **conf) -> Scored:
-    """Ranker: a regression on the relevance grade or net utility. Spark ML has no list-wise loss."""
+    """Ranker by regression on the relevance grade or net utility; `ranker.fit` has the losses within decision groups."""
     return gbt(train, validation, features, "regressor", relevance, **conf)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MS_PER_DAY, MS_PER_MINUTE, floor_div, rnd
-from ..operators import accounting, features, labels, ledger, models, reports, research, select, splits
+from ..operators import accounting, features, labels, ledger, models, ranker, reports, research, select, splits
 from ..session import scratch, stored
 from ..sources import candidates as arts
 from ..streaming import streams
@@ -586,15 +586,63 @@ def boosted_trees(t):
 
 
 @query("m05_ranker")
-def ranker(t):
+def rank_groups(t):
     train, val, test = model_rows(t)
     cuts = labels.grade_cuts(train, "net", 0.25, 0.5, 0.75)
-    graded = [labels.relevance(d, cuts, "net").withColumn("grade", F.col("grade").cast("double")) for d in (train, val)]
-    scored = models.rank(*graded, FEATURES, "grade").score(test, "ranker_score")
+    graded = [labels.relevance(d, cuts, "net") for d in (train, val)]
+    scored = ranker.fit(*graded, FEATURES, "grade", ["open_time"], rounds=10).score(test, "ranker_score")
     top = select.topk(scored.withColumn("row_id", F.col("symbol")), 1, ["open_time"], [F.desc("ranker_score"), F.col("symbol")])
     return top.agg(n_rows("picks"), rnd(F.avg("net")).alias("mean_net"), rnd(F.avg("label")).alias("precision"))
 
 
+GRADED_CTE = """graded AS (SELECT row_id, open_time, probability AS s, CASE WHEN net > 0.06 THEN 4 WHEN net > 0.03 THEN 3 WHEN net > 0 THEN 1 ELSE 0 END AS grade FROM ret)"""
+
+
+def graded_candidates(t) -> DataFrame:
+    grade = F.when(F.col("net") > 0.06, 4).when(F.col("net") > 0.03, 3).when(F.col("net") > 0, 1).otherwise(0)
+    return t.returns.select("row_id", "open_time", F.col("probability").alias("s"), grade.alias("grade"))
+
+
+def gradient_totals(t, objective: str) -> DataFrame:
+    df = ranker.gradients(graded_candidates(t), ["open_time"], "grade", "s", objective)
+    return df.groupBy("open_time", "grade").agg(n_rows(), rnd(F.sum("gradient")).alias("gradient"), rnd(F.sum("hessian")).alias("hessian"))
+
+
+query(
+    "m05_pairwise_gradients",
+    with_tables(
+        "ret",
+        f"""SELECT open_time, grade, count(*) AS rows, {r("sum(g)")} AS gradient, {r("sum(h)")} AS hessian FROM (
+          SELECT a.open_time, a.row_id, a.grade, sum(CASE WHEN a.grade > b.grade THEN -exp(b.s - a.s) ELSE exp(a.s - b.s) END) / any_value(n) AS g,
+            sum(CASE WHEN a.grade > b.grade THEN exp(b.s - a.s) ELSE exp(a.s - b.s) END) / any_value(n) AS h
+          FROM graded a JOIN graded b ON a.open_time = b.open_time AND a.grade <> b.grade JOIN pairs p ON p.open_time = a.open_time GROUP BY ALL) GROUP BY 1, 2""",
+        GRADED_CTE,
+        "pairs AS (SELECT a.open_time, count(*) AS n FROM graded a JOIN graded b ON a.open_time = b.open_time AND a.grade > b.grade GROUP BY 1)",
+    ),
+)(lambda t: gradient_totals(t, ranker.PAIRWISE))
+query(
+    "m05_listwise_gradients",
+    with_tables(
+        "ret",
+        f"""SELECT open_time, grade, count(*) AS rows, {r("sum(p - y)")} AS gradient, {r("sum(p * (1 - p))")} AS hessian FROM (
+          SELECT open_time, grade, exp(s) / sum(exp(s)) OVER g AS p, (2 ** grade - 1) / nullif(sum(2 ** grade - 1) OVER g, 0) AS y FROM graded WINDOW g AS (PARTITION BY open_time))
+        WHERE y IS NOT NULL GROUP BY 1, 2""",
+        GRADED_CTE,
+    ),
+)(lambda t: gradient_totals(t, ranker.LISTWISE))
+query(
+    "m05_ndcg",
+    with_tables(
+        "ret",
+        f"""SELECT open_time, {r("sum(CASE WHEN i <= 5 THEN gain / log2(i + 1) ELSE 0.0 END)")} AS dcg, {r("sum(CASE WHEN j <= 5 THEN gain / log2(j + 1) ELSE 0.0 END)")} AS ideal,
+          {r("sum(CASE WHEN i <= 5 THEN gain / log2(i + 1) ELSE 0.0 END) / nullif(sum(CASE WHEN j <= 5 THEN gain / log2(j + 1) ELSE 0.0 END), 0)")} AS ndcg FROM (
+          SELECT open_time, 2.0 ** grade - 1 AS gain, row_number() OVER (PARTITION BY open_time ORDER BY s DESC, row_id) AS i,
+            row_number() OVER (PARTITION BY open_time ORDER BY grade DESC, row_id) AS j FROM graded) GROUP BY 1""",
+        GRADED_CTE,
+    ),
+)(lambda t: rounded(ranker.ndcg(graded_candidates(t), ["open_time"], "s", "grade", 5, [F.col("row_id")]), ["open_time"], {"dcg": 6, "ideal": 6, "ndcg": 6}))
+
+
 @query("m06_batch_score")
 def batch_score(t):
     train, _, test = model_rows(t)
