@@ -80,7 +80,7 @@ def op8(spark, table):
     return surrogates.replaced(table("documents").select("doc_id", "text"), KEY)
 
 
-@query("op9_backoff_scores")
+@query("op9_backoff_scores", backoff.SQL)
 def op9(spark, table):
     return backoff.report(table("documents"))
 
