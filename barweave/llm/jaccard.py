@@ -41,6 +41,9 @@ GROUPS = 256
 LEAF = 16
 #: Bytes of text taken at a time.
 RUN = 1 << 21
+#: Nodes that a task remembers, and pairs that it holds before it hands them on.
+RECENT = 1 << 18
+HELD = 1 << 19
 SMALL = 48
 TILE = 4096
 #: One group in so many is searched before the others.
@@ -116,6 +119,20 @@ def reaches(a: bytes, b: bytes) -> bool:
     return 9 * int(np.minimum(folded(x, groups), folded(y, groups)).sum()) >= 4 * int(x.sum() + y.sum())
 
 
+class Recent:
+    """Nodes that came by lately, one for each remainder, so the memory is fixed; a node that was pushed out is new again."""
+
+    def __init__(self) -> None:
+        self.last = np.arange(RECENT) ^ 1  # no node of a place
+
+    def new(self, node: int) -> bool:
+        at = node & (RECENT - 1)
+        if self.last[at] == node:
+            return False
+        self.last[at] = node
+        return True
+
+
 _SCAN = "doc_id bigint, key bigint, n bigint, node bigint, point binary, shingle bigint, found bigint"
 
 
@@ -123,19 +140,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document, and one for each shingle that is frequent in a run of documents."""
     names = [c.split()[0] for c in _SCAN.split(", ")]
     nothing = lambda n, kind: pa.nulls(n, kind)
-    known: set[int] = set()
+    recent = Recent()
     for batch in batches:
         for part in texts.parts(batch, size=RUN):
             sets = Sets(part.column("text"))
             some = sets.sizes > 0
             points = sets.points()
             # a point goes with the first row of its node in this task
-            fresh = []
-            for node, has in zip(sets.names.tolist(), some.tolist()):
-                fresh.append(has and node not in known)
-                known.add(node)
-            if len(known) > 1 << 20:
-                known = set()
+            fresh = [has and recent.new(node) for node, has in zip(sets.names.tolist(), some.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"), part.column("key"), pa.array(sets.sizes, pa.int64()), pa.array(sets.names, mask=~some), pa.array([p if f else None for p, f in zip(points, fresh)], pa.binary()),
@@ -154,7 +166,7 @@ def _fan_out(frequent: np.ndarray, level: np.ndarray):
     """Rows (shingle, node, n): the shingles of which similar sets share one."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, known = Lookup(frequent), set()
+        lookup, recent = Lookup(frequent), Recent()
         for batch in batches:
             for part in texts.parts(batch, size=RUN):
                 sets = Sets(part.column(0))
@@ -165,16 +177,12 @@ def _fan_out(frequent: np.ndarray, level: np.ndarray):
                 loud[sets.owner[at]] = True
                 take = []
                 for d in np.flatnonzero(sets.sizes).tolist():
-                    node = int(sets.names[d])
-                    if node in known:
+                    if not recent.new(int(sets.names[d])):
                         continue
-                    known.add(node)
                     i, n = int(sets.first[d]), int(sets.sizes[d])
                     p = n + -4 * n // 5 + 1  # n - ceil(0.8 n) + 1
                     order = np.argsort(levels[i : i + n], kind="stable")[:p] if loud[d] else np.arange(p)
                     take.append(i + order)
-                if len(known) > 1 << 20:
-                    known = set()
                 if take:
                     take = np.concatenate(take)
                     owner = sets.owner[take]
@@ -248,7 +256,21 @@ def _search_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         def good(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return (part[i] != part[j]) & (~two_tiles[i] | (tile[i] != tile[j]))
 
-        found = []
+        tried = rows.column("tried").combine_chunks()
+        before = pair_key(np.repeat(node, tried.value_lengths().fill_null(0).to_numpy()), tried.flatten().to_numpy())
+
+        def untried(both: np.ndarray) -> pa.RecordBatch:
+            a, b = np.minimum(node[both[:, 0]], node[both[:, 1]]), np.maximum(node[both[:, 0]], node[both[:, 1]])
+            both = both[~np.isin(pair_key(a, b), before)]
+            fine = np.flatnonzero(dimensions(n[both]).min(axis=1) > GROUPS)
+            keep = np.ones(len(both), dtype=bool)
+            for k in fine.tolist():  # at full resolution
+                keep[k] = reaches(column[int(both[k, 0])].as_py(), column[int(both[k, 1])].as_py())
+            both = both[keep]
+            a, b = np.minimum(node[both[:, 0]], node[both[:, 1]]), np.maximum(node[both[:, 0]], node[both[:, 1]])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        found, size = [], 0
         column = rows.column("point").combine_chunks() if rows.num_rows else None
         base = np.flatnonzero(small)
         lag = 1
@@ -264,6 +286,10 @@ def _search_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 p = i[k : k + 4096]
                 keep = 9 * np.minimum(points[where[p]], points[where[p + lag]]).sum(axis=1) >= 4 * (n[p] + n[p + lag])
                 found.append(np.stack([p[keep], p[keep] + lag], axis=1))
+                size += len(found[-1])
+                if size > HELD:
+                    yield untried(np.concatenate(found))
+                    found, size = [], 0
             lag += 1
         for s, e in zip(start.tolist(), stop.tolist()):
             if e - s > SMALL:
@@ -271,19 +297,12 @@ def _search_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 for i, j in search(own):
                     keep = good(s + i, s + j)
                     found.append(np.stack([s + i[keep], s + j[keep]], axis=1))
-        if found:
-            both = np.concatenate(found)
-            a, b = np.minimum(node[both[:, 0]], node[both[:, 1]]), np.maximum(node[both[:, 0]], node[both[:, 1]])
-            tried = rows.column("tried").combine_chunks()
-            own = np.repeat(node, tried.value_lengths().fill_null(0).to_numpy())
-            both = both[~np.isin(pair_key(a, b), pair_key(own, tried.flatten().to_numpy()))]
-            fine = np.flatnonzero(dimensions(n[both]).min(axis=1) > GROUPS)
-            keep = np.ones(len(both), dtype=bool)
-            for k in fine.tolist():  # at full resolution
-                keep[k] = reaches(column[int(both[k, 0])].as_py(), column[int(both[k, 1])].as_py())
-            both = both[keep]
-            a, b = np.minimum(node[both[:, 0]], node[both[:, 1]]), np.maximum(node[both[:, 0]], node[both[:, 1]])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    size += len(found[-1])
+                    if size > HELD:
+                        yield untried(np.concatenate(found))
+                        found, size = [], 0
+        if size:
+            yield untried(np.concatenate(found))
 
     for batch in batches:
         table = pa.Table.from_batches([batch])

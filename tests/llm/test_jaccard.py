@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from barweave.llm import jaccard
@@ -170,3 +171,46 @@ def test_components(spark):
         x, y = find(a), find(b)
         up[max(x, y)] = min(x, y)
     assert all(got.get(x, x) == find(x) for x in up)
+
+
+def test_a_task_forgets_and_hands_on(monkeypatch):
+    """With room for two nodes and three pairs a task sends the same rows, some of them again."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(400)}" for _ in range(120)]
+    docs = []
+    for i in range(150):
+        own = list(base) if i % 2 else [f"v{rng.randrange(60)}" for _ in range(30)]
+        own[rng.randrange(len(own))] = f"x{rng.randrange(9)}"
+        docs += [" ".join(own)] * (1 + i % 3)
+    ids = pa.array(range(len(docs)), pa.int64())
+    sets = jaccard.Sets(pa.array(docs))
+    _, first = np.unique(sets.names, return_index=True)
+    units = np.sort(np.arange(len(first)) % 4 == 0)  # one unit of more than SMALL nodes, one of fewer
+    order = np.lexsort((sets.sizes[first], units))
+    first = first[order]
+    points = sets.points()
+    columns = {
+        "unit": pa.array(units.astype(np.int64)), "node": pa.array(sets.names[first]), "component": pa.array(np.arange(len(first))), "tile": pa.array(np.zeros(len(first), dtype=np.int32)),
+        "n": pa.array(sets.sizes[first].astype(np.int64)), "point": pa.array([points[i] for i in first], pa.binary()), "tried": pa.nulls(len(first), pa.list_(pa.int64())),
+    }
+    none = np.zeros(0, dtype=np.uint64)
+
+    def rows(batches):
+        return [tuple(r.values()) for b in batches for r in b.to_pylist()]
+
+    def sent():
+        scan = pa.RecordBatch.from_arrays([ids, ids, pa.array(docs)], ["doc_id", "key", "text"])
+        own = [b for b in jaccard._scan(iter([scan]))]
+        with_point = [(node, point) for b in own for node, point in zip(b.column("node").to_pylist(), b.column("point").to_pylist()) if point is not None]
+        fan = rows(jaccard._fan_out(none, none.astype(np.int8))(iter([pa.RecordBatch.from_arrays([pa.array(docs)], ["text"])])))
+        return with_point, fan, rows(jaccard._search_groups(iter([pa.RecordBatch.from_pydict(columns)])))
+
+    whole = sent()
+    assert len(whole[2]) > 500 and len(set(whole[2])) == len(whole[2])
+    monkeypatch.setattr(jaccard, "RECENT", 2)
+    monkeypatch.setattr(jaccard, "HELD", 3)
+    narrow = sent()
+    assert [set(x) for x in narrow] == [set(x) for x in whole]
+    assert len(narrow[0]) > len(whole[0]) and len(narrow[1]) > len(whole[1]) and len(narrow[2]) == len(whole[2])
+    recent = jaccard.Recent()
+    assert [recent.new(v) for v in (5, 5, -7, 0, 1, 0, 5)] == [True, False, True, True, True, False, True]
