@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MS_PER_DAY, MS_PER_MINUTE, safe_ratio
-from . import accounting, prefix, quantiles
+from . import accounting, cuts, prefix, quantiles
 
 QUANTILES = {f"p{p:02d}": p / 100 for p in (1, 5, 10, 25, 50, 75, 90, 95, 99)}
 TOP_SHARES = (1, 5, 10, 25, 100)
@@ -64,39 +64,33 @@ def _top_share(rows: DataFrame, by: list[str], column: str, name: str) -> DataFr
 TRADE = ["symbol", "month", "trade_day", "open_time", "row_id", "label", "gross", "net", "profit", "position_size"]
 
 
+ORDERED = ["open_time", "symbol", "row_id"]
+
+
 def deciles(df: DataFrame, columns: list[str], keys: list[str] | None = None) -> DataFrame:
     """Per score and decile (1 is the lowest): rows, bounds, returns, factor and top symbol.
 
-    decile = ceil(10 * rank / n); ranks come from the ordered prefix, ties by time, symbol and row id.
+    decile = ceil(10 * rank / n), ties by time, symbol and row id. Only the rows at the ends of the deciles are looked for.
     """
     by = [*(keys or []), "score"]
-    rows = long_form(df, columns, "score", "value", [*(keys or []), "symbol", "open_time", "row_id", "gross", "net", "profit"])
-    ranked = prefix.ordered(rows, by, ["value", "open_time", "symbol", "row_id"], rank="_rank", total="_n")
-    placed = ranked.withColumn("decile", F.ceil(F.col("_rank") * DECILES / F.col("_n")).cast("int"))
+    kept = [*(keys or []), *ORDERED, "gross", "net", "profit"]
+    base = cuts.frozen(df.select(*dict.fromkeys([*kept, *columns])))
+    rows = long_form(base, columns, "score", "value", [*kept, cuts.ID])
+    n = F.col("_n")
+    ends = cuts.places(cuts.sizes(rows, by), by, [F.floor(n * j / DECILES) for j in range(1, DECILES)])
+    cut = cuts.cut(rows, by, F.col("value"), ORDERED, ends, DECILES - 1)
+    placed = cut.withColumn("decile", cuts.below(ORDERED, 0, DECILES - 1) + 1)
     group = [*by, "decile"]
-    # One pass over the rows: cells per symbol carry every sum and the top symbol.
-    cells = placed.groupBy(*group, "symbol").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("value").alias("lo"),
-        F.max("value").alias("hi"),
-        F.sum("gross").alias("gross"),
-        F.sum("net").alias("net"),
-        F.count_if(F.col("net") > 0).alias("won"),
-        accounting.gains().alias("gains"),
-        accounting.losses().alias("losses"),
-    )
-    n = F.sum("n")
-    return cells.groupBy(*group).agg(
-        n.alias("rows"),
-        F.min("lo").alias("score_min"),
-        F.max("hi").alias("score_max"),
-        (F.sum("gross") / n).alias("avg_gross_return"),
-        (F.sum("net") / n).alias("avg_net_return"),
-        (F.sum("won") / n).alias("positive_return_rate"),
-        accounting.factor(F.sum("gains"), F.sum("losses")).alias("profit_factor"),
-        F.max_by("symbol", F.struct("n", "symbol")).alias("top_symbol"),
-        (F.max("n") / n).alias("top_symbol_share"),
+    sums = placed.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min("value").alias("score_min"),
+        F.max("value").alias("score_max"),
+        F.avg("gross").alias("avg_gross_return"),
+        F.avg("net").alias("avg_net_return"),
+        F.avg((F.col("net") > 0).cast("double")).alias("positive_return_rate"),
+        accounting.profit_factor().alias("profit_factor"),
     )
+    return sums.join(_top_share(placed, group, "symbol", "symbol"), group)
 
 
 def monotonicity(table: DataFrame, keys: list[str], place: str = "decile", value: str = "avg_net_return") -> DataFrame:
@@ -108,17 +102,20 @@ def monotonicity(table: DataFrame, keys: list[str], place: str = "decile", value
 
 def ranking(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per score source: top 1/5/10/25/100 %, deciles (01 is the best), raw candidates and executed rows."""
-    rows = long_form(df, columns, "score_source", "value", [*TRADE, "raw_signal", "executed"])
-    ranked = prefix.ordered(
-        rows, ["score_source"], [F.desc("value"), "open_time", "symbol", "row_id"], rank="_rank", total="_n"
-    )
+    kept = [*TRADE, "raw_signal", "executed"]
+    base = cuts.frozen(df.select(*dict.fromkeys([*kept, *columns])))
+    rows = long_form(base, columns, "score_source", "value", [*kept, cuts.ID])
+    n = F.col("_n")
+    heads, ends = [F.ceil(n * p / 100) for p in TOP_SHARES], [F.floor(n * j / DECILES) for j in range(1, DECILES)]
+    wanted = cuts.places(cuts.sizes(rows, ["score_source"]), ["score_source"], heads + ends)
+    count = len(heads + ends)
+    cut = cuts.cut(rows, ["score_source"], -F.col("value"), ORDERED, wanted, count)
     # A row's buckets follow from how many top shares it is inside, its decile and its two flags, so rows are
-    # summed per symbol and per day on these first; only the small cells are handed out to the buckets.
-    inside = sum((F.when(F.col("_rank") <= F.ceil(F.col("_n") * p / 100), 1).otherwise(0) for p in TOP_SHARES), F.lit(0))
-    spot = ranked.withColumns(
+    # summed on these first, counted per symbol and day; only the small cells are handed out to the buckets.
+    spot = cut.withColumns(
         {
-            "_tops": inside,
-            "_decile": F.ceil(F.col("_rank") * DECILES / F.col("_n")).cast("int"),
+            "_tops": F.lit(len(TOP_SHARES)) - cuts.below(ORDERED, 0, len(TOP_SHARES)),
+            "_decile": cuts.below(ORDERED, len(TOP_SHARES), count) + 1,
             "_raw": F.col("raw_signal") == 1,
             "_ex": F.col("executed") == 1,
         }
@@ -132,18 +129,15 @@ def ranking(df: DataFrame, columns: list[str]) -> DataFrame:
     by = ["score_source", "bucket"]
 
     sums = ["n", "label", "gross", "net", "profit", "gains", "losses"]
-    per_symbol = spot.groupBy(*cell, "symbol").agg(
+    whole = spot.groupBy(*cell).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(c).alias(c) for c in ("label", "gross", "net", "profit")],
         accounting.gains().alias("gains"),
         accounting.losses().alias("losses"),
         F.min("value").alias("lo"),
     )
-    per_symbol = per_symbol.select("score_source", buckets, "symbol", *sums, "lo").groupBy(*by, "symbol").agg(
-        *[F.sum(c).alias(c) for c in sums], F.min("lo").alias("lo")
-    )
     n = F.sum("n")
-    out = per_symbol.groupBy(*by).agg(
+    out = whole.select("score_source", buckets, *sums, "lo").groupBy(*by).agg(
         n.alias("rows"),
         (F.sum("label") / n).alias("label_rate"),
         (F.sum("gross") / n).alias("avg_trade_return"),
@@ -151,8 +145,11 @@ def ranking(df: DataFrame, columns: list[str]) -> DataFrame:
         accounting.factor(F.sum("gains"), F.sum("losses")).alias("profit_factor"),
         F.sum("profit").alias("profit"),
         F.min("lo").alias("score_min"),
-        F.max_by("symbol", F.struct("n", "symbol")).alias("top_symbol"),
-        (F.max("n") / n).alias("top_symbol_share"),
+    )
+    per_symbol = spot.groupBy(*cell, "symbol").agg(F.count(F.lit(1)).alias("n"))
+    per_symbol = per_symbol.select("score_source", buckets, "symbol", "n").groupBy(*by, "symbol").agg(F.sum("n").alias("n"))
+    tops = per_symbol.groupBy(*by).agg(
+        F.max_by("symbol", F.struct("n", "symbol")).alias("top_symbol"), (F.max("n") / F.sum("n")).alias("top_symbol_share")
     )
     per_day = spot.groupBy(*cell, "month", "trade_day").agg(F.count(F.lit(1)).alias("n"))
     per_day = per_day.select("score_source", buckets, "month", "trade_day", "n").groupBy(*by, "month", "trade_day").agg(F.sum("n").alias("n"))
@@ -162,7 +159,7 @@ def ranking(df: DataFrame, columns: list[str]) -> DataFrame:
         F.max_by("month", F.struct("n", "month")).alias("top_month"),
         (F.max("n") / F.sum("n")).alias("top_month_share"),
     )
-    return out.join(months, by)
+    return out.join(tops, by).join(months, by)
 
 
 def exposure(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
