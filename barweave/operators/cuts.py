@@ -20,6 +20,11 @@ def frozen(df: DataFrame) -> DataFrame:
     return stored(df.withColumn(ID, F.monotonically_increasing_id()))
 
 
+def falling(c: str) -> Column:
+    """The value of a descending order: NaN first and null last, as Spark sorts them."""
+    return F.when(F.col(c).isNull(), float("nan")).when(F.isnan(c), float("-inf")).otherwise(-F.col(c))
+
+
 def sizes(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
 

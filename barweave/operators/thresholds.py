@@ -6,11 +6,14 @@ works on the small table of bins from there.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MS_PER_DAY, safe_ratio
-from . import accounting, prefix, quantiles
+from ..session import stored
+from . import accounting, cuts, quantiles
 
 # Quantiles and top counts that enter an adaptive grid, and the threshold of 'no trade'.
 GRID_QUANTILES = (0.50, 0.60, 0.70, 0.80, 0.85, 0.90, 0.925, 0.95, 0.975, 0.99, 0.995)
@@ -63,18 +66,26 @@ def values_of(grid_df: DataFrame) -> list[float]:
     return sorted(row[0] for row in grid_df.collect())
 
 
-def _tails(df: DataFrame, totals: DataFrame, score: str, keys: list[str]) -> DataFrame:
-    """Mean net return of the best hundredth and tenth (at least one row) of the rows at or above each threshold.
+def _tails(df: DataFrame, totals: DataFrame, score: str, keys: list[str], count: int) -> DataFrame:
+    """Mean net return of the best hundredth and tenth (at least one row) of the rows at or above each of the `count` thresholds.
 
-    They are heads of one ranking, so a running sum looked up at two ranks a threshold is enough."""
+    They are heads of one ranking: the rows are summed between the cut rows of all heads, and these sums are added up.
+    """
     ties = [c for c in ("open_time", "symbol", "row_id") if c in df.columns]
-    run = prefix.ordered(df.select(*keys, score, *ties, "net"), keys, [F.desc(score), *ties], rank="_rank", sums={"_sum": F.col("net")})
+    base = cuts.frozen(df.select(*keys, score, *ties, "net"))
     size = lambda share: F.greatest(F.lit(1), F.ceil(F.col("trades") * share)).cast("bigint")
-    heads = totals.select(*keys, "i", F.explode(F.array(F.struct(F.lit("p").alias("_tail"), size(0.01).alias("_rank")), F.struct(F.lit("d").alias("_tail"), size(0.1).alias("_rank")))).alias("_h"))
-    found = run.join(F.broadcast(heads.select(*keys, "i", "_h.*")), [*keys, "_rank"])  # two rows for each key and threshold
-    mean = F.col("_sum") / F.col("_rank")
-    return found.groupBy(*keys, "i").agg(
-        F.max(F.when(F.col("_tail") == "p", mean)).alias("top_1pct_net"), F.max(F.when(F.col("_tail") == "d", mean)).alias("top_decile_net")
+    both = F.explode(F.array(F.struct(F.lit(0).alias("_tail"), size(0.01).alias("_place")), F.struct(F.lit(1).alias("_tail"), size(0.1).alias("_place"))))
+    heads = totals.select(*keys, "i", both.alias("_h")).select(*keys, "i", "_h.*", (F.col("i") * 2 + F.col("_h._tail") - 2).alias("_j"))
+    heads = stored(heads)  # two rows for each key and threshold
+    segment = cuts.below(ties, 0, 2 * count)
+    parts = cuts.cut(base, keys, cuts.falling(score), ties, heads, 2 * count).withColumn("_segment", segment).groupBy(*keys, "_segment").agg(F.sum("net").alias("_sum"))
+    # A row is inside a head if only cut rows of shorter heads are smaller than it.
+    other = heads.select(*[F.col(k).alias(f"_o_{k}") for k in keys], F.col("_place").alias("_shorter"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_o_{k}")) for k in keys], F.lit(True))
+    shorter = heads.join(F.broadcast(other), same).groupBy(*keys, "i", "_tail", "_place").agg(F.count_if(F.col("_shorter") < F.col("_place")).alias("_upto"))
+    mean = shorter.join(parts, keys).filter(F.col("_segment") <= F.col("_upto")).groupBy(*keys, "i", "_tail").agg((F.sum("_sum") / F.first("_place")).alias("m"))
+    return mean.groupBy(*keys, "i").agg(
+        F.max(F.when(F.col("_tail") == 0, F.col("m"))).alias("top_1pct_net"), F.max(F.when(F.col("_tail") == 1, F.col("m"))).alias("top_decile_net")
     )
 
 
@@ -139,11 +150,11 @@ def sweep(
     zero = [*sums, "_top1", "_top3", "_gain1", "_gain3", "_gains", "active_days", "max_trades_in_day"]
     more = []
     if tails:
-        out = out.join(_tails(df, totals, score, keys), [*keys, "i"], "left")
+        out = out.join(_tails(df, totals, score, keys, len(ts)), [*keys, "i"], "left")
         more += ["top_1pct_net", "top_decile_net"]
     if drawdown_order is not None:
-        each = rows.filter("_bin > 0").select(*keys, *[c for c in drawdown_order if c not in keys], "profit", steps)
-        out = out.join(accounting.drawdown(each, [*keys, "i"], drawdown_order).drop("max_drawdown_money"), [*keys, "i"], "left")
+        falls = accounting.nested_drawdowns(rows, keys, drawdown_order, "_bin", len(ts))
+        out = out.join(falls, [*keys, "i"], "left")
         more.append("max_drawdown")
     out = out.fillna(0, [*zero, *more])
     n, tp = F.col("trades"), F.col("tp")

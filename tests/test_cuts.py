@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from barweave.operators import cuts, prefix, reports
+from barweave.operators import cuts, prefix, reports, thresholds
 
 TIES = ["t", "s"]
 
@@ -38,3 +38,27 @@ def test_rankings_order_no_exploded_rows(spark, monkeypatch):
     assert reports.ranking(df, ["a", "b"]).filter("bucket = 'top_25pct'").select("rows").distinct().collect()[0][0] == 100
     assert {r.rows for r in reports.deciles(df, ["a", "b"]).collect()} == {40}
     assert max(seen) < 200  # 800 exploded rows
+
+
+def test_sweep_repeats_no_row_and_orders_no_exploded_rows(spark, monkeypatch):
+    seen = []
+    ranged = prefix.ranged
+    monkeypatch.setattr(prefix, "ranged", lambda df, *a, **k: seen.append(df.count()) or ranged(df, *a, **k))
+    random.seed(7)
+    rows = [(i % 2, f"S{i % 5}", f"d{i % 9}", i // 3, str(i), i % 2, random.uniform(-0.1, 0.1), 40_000.0 * random.uniform(-0.1, 0.1), i % 11 / 10) for i in range(300)]
+    df = spark.createDataFrame(rows, "fold int, symbol string, trade_day string, open_time int, row_id string, label int, net double, profit double, p double")
+    df = df.withColumn("gross", F.col("net")).withColumn("position_size", F.lit(1.0))
+    got = thresholds.sweep(df, [0.2, 0.5, 0.9], "p", ["fold"], tails=True, drawdown_order=["open_time", "symbol", "row_id"]).collect()
+    assert max(seen) <= 300
+    for g in got:
+        hits = sorted((r for r in rows if r[0] == g.fold and r[8] >= g.threshold), key=lambda r: (r[3], r[1], r[4]))
+        equity, peak, fall = 10_000.0, 10_000.0, 0.0
+        for r in hits:
+            equity += r[7]
+            peak = max(peak, equity)
+            fall = max(fall, (peak - equity) / peak)
+        assert abs(g.max_drawdown - fall) < 1e-9
+        best = sorted(hits, key=lambda r: (-r[8], r[3], r[1], r[4]))
+        for name, share in (("top_1pct_net", 0.01), ("top_decile_net", 0.1)):
+            n = max(1, -int(-len(hits) * share // 1))
+            assert abs(g[name] - sum(r[6] for r in best[:n]) / n) < 1e-9
