@@ -328,8 +328,10 @@ def candidate_utility(df: DataFrame, score: str, keys: list[str]) -> DataFrame:
             F.coalesce(F.avg(F.when(pos, F.col(score))), F.lit(0.0)) - F.coalesce(F.avg(F.when(~pos, F.col(score))), F.lit(0.0))
         ).alias("score_positive_utility_gap"),
     )
-    ranked = prefix.ordered(df, keys, [F.desc(score), "open_time", "symbol", "row_id"], rank="_rank", total="_n")
-    top = ranked.filter(F.col("_rank") <= F.ceil(F.col("_n") / DECILES))
+    narrow = cuts.frozen(df.select(*keys, score, *ORDERED, "net").withColumn("_all", F.lit(1)))
+    by = keys or ["_all"]
+    ends = cuts.places(cuts.sizes(narrow, by), by, [F.ceil(F.col("_n") / DECILES)])
+    top = cuts.cut(narrow, by, cuts.falling(score), ORDERED, ends, 1).filter(cuts.below(ORDERED, 0, 1) == 0)
     high = top.groupBy(*keys).agg(
         F.avg("net").alias("top_decile_utility"),
         F.count_if(F.col("net") <= 0).alias("high_score_loss_count"),
