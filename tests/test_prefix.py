@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barweave.operators import prefix, quantiles
@@ -61,3 +62,19 @@ def test_weighted_quantile_repeats_values(spark):
     df = spark.createDataFrame([(1.0, 3), (2.0, 0), (5.0, 2), (9.0, 1)], "v double, w int")
     got = quantiles.exact(df, [], "v", {"m": 0.5, "h": 0.9}, weight="w").first()
     np.testing.assert_allclose([got["m"], got["h"]], np.quantile([1, 1, 1, 5, 5, 9], [0.5, 0.9]))
+
+
+def test_ranks_of_several_scopes_order_the_rows_once(spark, monkeypatch):
+    rows = [(i, (i * 37) % 101 if i % 11 else None, i % 3 if i % 7 else None, 0 if i % 2 else i % 5) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id int, v int, a int, b int")
+    calls = []
+    ranged = prefix.ranged
+    monkeypatch.setattr(prefix, "ranged", lambda *args, **kw: calls.append(args) or ranged(*args, **kw))
+    order = [F.desc("v"), F.col("id")]
+    got = prefix.ranks(df, order, {"a": "a", "b": "b"}, "r_{}", "n_{}").collect()
+    assert len(calls) == 1 and len(got) == len(rows)
+    want = df
+    for c in "ab":
+        whole = Window.partitionBy(c)
+        want = want.withColumn(f"r_{c}", F.row_number().over(whole.orderBy(*order))).withColumn(f"n_{c}", F.count(F.lit(1)).over(whole))
+    assert {r.id: tuple(r) for r in got} == {r.id: tuple(r) for r in want.collect()}
