@@ -35,3 +35,13 @@ def test_research_rows_are_joined_once(spark):
     assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
     assert rows.inputFiles() == catalog_research.research_rows(t).inputFiles()
     assert rows.filter(F.col("predicted") == 1).count() == t.artifact.filter("predicted = 1").count()
+
+
+def test_composite_reads_the_join_once(spark, monkeypatch):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    reads = []
+    read = Tables.read
+    monkeypatch.setattr(Tables, "read", lambda self, name: reads.append(name) or read(self, name))
+    out = catalog_research.composite_robustness(t)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and out.count() == 14
