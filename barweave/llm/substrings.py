@@ -2,14 +2,14 @@
 
 Edges are the k-mers of ``WINDOW`` words. An edge belongs to the node named by its smallest inner ``INNER``-mer (a
 minimiser, so that equal edges have equal nodes). Successive edges of one node form a piece of a path, which is what travels:
-one row a piece instead of one a word.
+one row a piece instead of one a word, with a hash of its path and not the path itself.
 
 * A piece that occurs twice in one task is already known to repeat: only its earliest copy goes on.
 * Pieces are shuffled once, by node. A node with one piece, no edge of it twice, ends there. A node whose pieces all
   have the same edges, none of them twice, does not branch: its path is compacted to one row, and all but its earliest copy are repeats. Only the
-  pieces of branching nodes are opened into edges, and each edge's earliest copy is looked up.
+  pieces of branching nodes go back to their documents, where they are opened into edges, and each edge's earliest copy is looked up.
 * The source coordinates (document, first word, words) of the repeats are joined back to the documents, where the
-  covered words go.
+  covered words go. Both joins with the documents read one shuffle of them.
 
 An edge is identified by the 64 bits of its own hash within its node: n different edges of one node give about n * n / 2**65 false equals
 (8 million: 2 in a million).
@@ -25,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from . import texts
 
 WINDOW = 20
@@ -39,8 +39,10 @@ PIECE = 64
 MEMORY = 1 << 20
 
 #: A piece travels as few bytes as it can: ``place`` holds the tag (23 bits), the first word (31), the number of edges (7), and whether the
-#: piece repeats an earlier one of its task and whether an edge is in it twice (1 each), so that places of a document ascend.
-_PIECES = "node bigint, doc_id bigint, place bigint, path binary"
+#: piece repeats an earlier one of its task and whether an edge is in it twice (1 each), so that places of a document ascend. ``path`` is the hash
+#: of its edges, null for a repeat.
+_PIECES = "node bigint, doc_id bigint, place bigint, path bigint"
+_EDGES = "doc_id bigint, tag int, node bigint, edge bigint, start int"
 
 
 class _Seen:
@@ -92,16 +94,39 @@ def pieces(batches: Iterator[pa.RecordBatch], window: int = WINDOW, inner: int =
             start = at[first] - w.first[owner]
             doc, tag = part.column("doc_id").take(pa.array(owner)), part.column("tag").take(pa.array(owner))
             place = (tag.to_numpy().astype(np.int64) << 40) | (start << 9)
-            again = seen.repeats(texts.span_hashes(edge, first, last), np.stack([doc.fill_null(-(2**63)).to_numpy(), place], axis=1))
-            path = np.ascontiguousarray(edge.astype("<u8"))
+            path = texts.span_hashes(edge, first, last)
+            again = seen.repeats(path, np.stack([doc.fill_null(-(2**63)).to_numpy(), place], axis=1))
             # half of an edge is enough here: a piece that only seems to have an edge twice is opened, and its whole edges are compared
             inside = np.sort((np.repeat(np.arange(len(first), dtype=np.uint64), last - first) << np.uint64(32)) | (edge >> np.uint64(32)))
             loops = np.zeros(len(first), dtype=bool)
             loops[(inside[1:][inside[1:] == inside[:-1]] >> np.uint64(32)).astype(np.int64)] = True
-            whole = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer((np.append(first, len(at)) * 8).astype(np.int32).tobytes()), pa.py_buffer(path.tobytes())])
             place |= ((last - first) << 2) | (again.astype(np.int64) << 1) | loops
-            path_or_null = pa.compute.if_else(pa.array(again), pa.scalar(None, pa.binary()), whole)
-            yield pa.RecordBatch.from_arrays([pa.array(node[first].view(np.int64)), doc, pa.array(place), path_or_null], ["node", "doc_id", "place", "path"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[first].view(np.int64)), doc, pa.array(place), pa.array(path.view(np.int64), mask=again)], ["node", "doc_id", "place", "path"])
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _EDGES: each edge of the pieces listed with a document."""
+    for batch in batches:
+        for part in texts.parts(batch):
+            w = texts.words(part.column("text"))
+            edge = texts.windows(w.hashes, WINDOW)
+            listed = part.column("pieces")
+            doc = np.repeat(np.arange(part.num_rows), listed.value_lengths().to_numpy())
+            start, edges, node = (c.to_numpy() for c in listed.flatten().flatten())
+            fits = start + edges + WINDOW - 1 <= np.diff(w.first)[doc]  # an id and tag may have other texts too
+            doc, start, edges, node = doc[fits], start[fits].astype(np.int64), edges[fits], node[fits]
+            piece = np.repeat(np.arange(len(doc)), edges)
+            start = start[piece] + np.arange(len(piece)) - np.repeat(np.cumsum(edges) - edges, edges)
+            doc = doc[piece]
+            found = pa.array(edge[w.first[doc] + start].view(np.int64))
+            doc_id, tag = part.column("doc_id").take(pa.array(doc)), part.column("tag").take(pa.array(doc))
+            yield pa.RecordBatch.from_arrays([doc_id, tag, pa.array(node[piece]), found, pa.array(start.astype(np.int32))], ["doc_id", "tag", "node", "edge", "start"])
+
+
+def _with(documents: DataFrame, lists: DataFrame, name: str, how: str) -> DataFrame:
+    """The documents (doc_id, tag, text) with the column ``name`` of a table of doc_id and tag."""
+    lists = lists.select(F.col("doc_id").alias("_doc"), F.col("tag").alias("_tag"), name)
+    return documents.join(lists, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag")), how).select("doc_id", "tag", "text", name)
 
 
 def repeated_spans(documents: DataFrame) -> DataFrame:
@@ -109,23 +134,21 @@ def repeated_spans(documents: DataFrame) -> DataFrame:
     texts.small_batches(documents.sparkSession)
     node = Window.partitionBy("node")
     bits = lambda at, n: F.shiftright("place", at).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
-    start, edges, repeats, loops = bits(9, 31), bits(2, 7), bits(1, 1) == 1, bits(0, 1) == 1
+    repeats, loops = bits(1, 1) == 1, bits(0, 1) == 1
     copy = F.struct("doc_id", "place")
-    pathed = F.when(~repeats, F.xxhash64("path"))
     found = documents.mapInArrow(pieces, _PIECES).select(
-        "*", F.count(F.lit(1)).over(node).alias("n"), F.min(pathed).over(node).alias("low"), F.max(pathed).over(node).alias("high"),
+        "*", F.count(F.lit(1)).over(node).alias("n"), F.min("path").over(node).alias("low"), F.max("path").over(node).alias("high"),
         F.min(F.when(~repeats, copy)).over(node).alias("earliest"), F.max(loops).over(node).alias("looped"),
     ).where("n > 1 OR looped")
-    whole = F.array(F.struct(F.lit(None).cast("binary").alias("edge"), start.alias("start"), (edges + WINDOW - 1).alias("words")))
-    opened = F.transform(
-        F.sequence(F.lit(0), edges - 1),
-        lambda i: F.struct(F.substring("path", i * 8 + 1, F.lit(8)).alias("edge"), (start + i).alias("start"), F.lit(WINDOW).alias("words")),
-    )
-    none = F.array().cast("array<struct<edge:binary,start:int,words:int>>")
-    spans = F.when(repeats, whole).when((F.col("low") != F.col("high")) | F.col("looped"), opened).when(F.col("earliest").eqNullSafe(copy), none).otherwise(whole)
-    edges = found.select("node", "doc_id", bits(40, 23).alias("tag"), F.explode(spans).alias("s")).select("node", "doc_id", "tag", "s.edge", "s.start", "s.words")
+    branches = ~repeats & ((F.col("low") != F.col("high")) | F.col("looped"))
+    first_copy = ~repeats & ~branches & F.col("earliest").eqNullSafe(copy)
+    # read twice
+    found = stored(found.where(~first_copy).select("node", "doc_id", bits(40, 23).alias("tag"), bits(9, 31).alias("start"), bits(2, 7).alias("edges"), branches.alias("branches")))
+    lists = found.where("branches").groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "edges", "node")).alias("pieces"))  # bounded by the document's length
+    edges = _with(documents, lists, "pieces", "inner").mapInArrow(_opened, _EDGES)
     first = Window.partitionBy("node", "edge").orderBy("doc_id", "tag", "start")
-    again = edges.withColumn("k", F.rank().over(first)).where("edge IS NULL OR k > 1")
+    again = edges.withColumn("k", F.rank().over(first)).where("k > 1").select("doc_id", "tag", "start", F.lit(WINDOW).alias("words"))
+    again = again.unionByName(found.where("NOT branches").select("doc_id", "tag", "start", (F.col("edges") + WINDOW - 1).alias("words")))
     return again.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "words")).alias("spans"))  # bounded by the document's length
 
 
@@ -157,14 +180,14 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _source(documents: DataFrame) -> DataFrame:
     # the join of `deduplicated` looks a document up by its id and the tag
     text = F.col("text").cast("string")
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.pmod(F.hash(text), F.lit(1 << 23)).alias("tag"), text.alias("text"))
+    tag = F.coalesce(F.pmod(F.hash(text), F.lit(1 << 23)), F.lit(0))  # never null, and Spark can tell
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), tag.alias("tag"), text.alias("text"))
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by one space."""
-    docs, spans = _source(documents), repeated_spans(_source(documents)).withColumnsRenamed({"doc_id": "_doc", "tag": "_tag"})
-    both = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("tag") == F.col("_tag")), "left").select("doc_id", "text", "spans")
-    return both.mapInArrow(_kept, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    docs = _source(documents)
+    return _with(docs, repeated_spans(docs), "spans", "left").drop("tag").mapInArrow(_kept, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 
 
 def report(documents: DataFrame) -> DataFrame:

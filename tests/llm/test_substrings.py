@@ -105,3 +105,19 @@ def test_windows_that_share_half_a_hash(make):
         alike = [f"{phrase} x{i[k]}", f"{phrase} x{j[k]}"]
         compare(make, list(enumerate(alike)))
         compare(make, list(enumerate([*alike, f"{phrase} other", alike[0], alike[1] + " tail"])))
+
+
+def test_a_piece_travels_as_four_numbers():
+    """However long a piece is, its path does not go through the shuffle."""
+    rng = random.Random(3)
+    rows = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([3, 4]), pa.array([" ".join(f"w{rng.randrange(10**6)}" for _ in range(5_000))] * 2)], ["doc_id", "tag", "text"])
+    out = pa.Table.from_batches(substrings.pieces(iter([rows])))
+    assert out.num_rows > 1_000 and all(pa.types.is_int64(f.type) for f in out.schema)
+    assert out.column("path").null_count == out.num_rows // 2  # the second document's pieces repeat the first's
+
+
+def test_branching_pieces_of_rows_that_are_there_twice(make):
+    """The pieces of a node that branches are opened in the documents, of which some have the same id, or the same id and text."""
+    base = [f"w{j}" for j in range(60)]
+    docs = [(k, " ".join([*base[: 7 * k], "edit", *base[7 * k :]])) for k in range(8)]
+    compare(make, [*docs, docs[3], docs[5], (None, " ".join(base)), (None, " ".join(base))])
