@@ -376,8 +376,10 @@ class Join:
 
     def members(self) -> DataFrame:
         """shingle, node, n, hub, of the fan-out groups with two nodes or more, one group for each set of members."""
-        shared = self.fan_out.groupBy("shingle").agg(F.min("node").alias("hub"), F.max("node").alias("high")).where("hub <> high").select("shingle", "hub")
-        found = stored(self.fan_out.join(shared, "shingle").dropDuplicates(["shingle", "node"]))
+        group = Window.partitionBy("shingle")
+        # one shuffle of the rows: groups and members are found where they meet
+        shared = self.fan_out.select("*", F.min("node").over(group).alias("hub"), F.max("node").over(group).alias("high")).where("hub <> high").drop("high")
+        found = stored(shared.dropDuplicates(["shingle", "node"]))
         same = found.groupBy("shingle").agg(F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h"), F.min("hub").alias("hub"))
         one = same.groupBy("members", "h", "hub").agg(F.min("shingle").alias("shingle"))
         return stored(found.join(one.select("shingle", "members"), "shingle"))

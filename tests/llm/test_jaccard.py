@@ -214,3 +214,12 @@ def test_a_task_forgets_and_hands_on(monkeypatch):
     assert len(narrow[0]) > len(whole[0]) and len(narrow[1]) > len(whole[1]) and len(narrow[2]) == len(whole[2])
     recent = jaccard.Recent()
     assert [recent.new(v) for v in (5, 5, -7, 0, 1, 0, 5)] == [True, False, True, True, True, False, True]
+
+
+def test_fan_out_goes_through_one_shuffle(make, odd, monkeypatch):
+    plans, write = [], jaccard.stored
+    monkeypatch.setattr(jaccard, "stored", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or write(df))
+    join = jaccard.Join(make(odd))
+    plans.clear()
+    join.members()
+    assert sum(p.count("MapInArrow") for p in plans) == 1
