@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import MS_PER_MINUTE, fold_index, safe_ratio
+from ..session import stored
 from . import prefix
 
 OPEN, CLOSE, MARK = "position_open", "position_close", "mark_to_market"
 START = 10_000.0
 TOLERANCE = 1e-6
 DEFAULT_FOLD = "default"  # events without a fold
+CELL = 10  # a cell of the exposure has two to this power of rows
 
 # The ledger schema, version 1, in file order.
 EVENT_SCHEMA = """
@@ -132,79 +134,99 @@ def drawdown(events: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _doubled(rows: DataFrame, over: Window, first: str, levels: int, move) -> DataFrame:
-    """Adds minima over 2, 4, 8 ... rows to column `first`0: level k is the lower of level k - 1 here and that 2 ** (k - 1) rows on."""
-    for k in range(1, levels):
-        rows = rows.withColumn(f"{first}{k}", F.least(f"{first}{k - 1}", move(f"{first}{k - 1}", 1 << (k - 1)).over(over)))
-    return rows
+def _levels(rows: DataFrame, column: str) -> int:
+    return max(1, int(rows.agg(F.max(column)).first()[0] or 0).bit_length())
+
+
+def _level(count: Column) -> Column:
+    """k with 2 ** k <= count < 2 ** (k + 1)."""
+    return F.length(F.bin(count)) - 1
 
 
-def _levels(rows: DataFrame) -> int:
-    return max(1, (rows.agg(F.max("_n")).first()[0] or 0).bit_length())
+def _spread(rows: DataFrame, over: Window, levels: int, starting, ending=None) -> DataFrame:
+    """Adds `_top`: the largest value of the stretches that cover a row.
+
+    A stretch is covered by two runs of 2 ** k rows. `starting(k)` is the value of such a run from this row on, `ending(k)` that of one which
+    ends before this row. A run hands its value to its halves, the longest runs first.
+    """
+    rows = rows.withColumn("_top", F.lit(None).cast("double"))
+    for k in reversed(range(levels)):
+        tops = [F.col("_top"), F.lag("_top", 1 << k).over(over), starting(k)]
+        if ending is not None:
+            tops.append(F.lead(ending(k), 1 << k).over(over))
+        rows = rows.withColumn("_top", F.greatest(*tops))
+    return rows
 
 
-def symbol_exposure(events: DataFrame) -> DataFrame:
+def symbol_exposure(events: DataFrame, cell: int = CELL) -> DataFrame:
     """Per fold: the largest exposure of one symbol over the equity of the moment. A close counts only when its trade was opened.
 
-    A symbol's exposure is constant between its own events, so each of these stretches counts with its lowest positive equity. Rows are
-    in ordered buckets. Inside a bucket every row knows the minima of the 1, 2, 4 ... rows from it on and before it: two of them cover a
-    stretch within the bucket. A longer stretch is the end of one bucket, whole buckets (the same table over buckets) and the start of another.
+    A symbol's exposure is constant between its own events. These stretches are laid over the events, each of which gets the largest
+    exposure that covers it. Rows are in ordered buckets, and a bucket is cut into cells of 2 ** `cell` rows. A stretch within a cell is spread over its rows;
+    a longer one covers the end of one cell, whole cells, which are rows of a small table, and the start of another.
     """
-    moves = events.filter(F.col("event_type").isin(OPEN, CLOSE)).select(
-        "fold_id", "trade_id", "symbol", "event_sequence", "event_type", "position_notional"
+    named = F.col("fold_id").isNotNull()
+    events = stored(events.select("fold_id", "trade_id", "symbol", "event_sequence", "event_type", "position_notional", F.when(F.col("equity") > 0, F.col("equity")).alias("low")))
+    opening, closing = (F.col("event_type").eqNullSafe(F.lit(kind)) & named for kind in (OPEN, CLOSE))
+    opens = events.filter(opening).select(
+        F.col("fold_id").alias("_fold"), F.col("trade_id").alias("_trade"), F.col("symbol").alias("_symbol"), F.col("position_notional").alias("_notional"), F.col("event_sequence").alias("_opened")
     )
-    opens = moves.filter(F.col("event_type") == OPEN).select(
-        "fold_id", "trade_id", F.col("symbol").alias("_symbol"), F.col("position_notional").alias("_notional"), F.col("event_sequence").alias("_opened")
+    opened = (F.col("fold_id") == F.col("_fold")) & (F.col("trade_id") == F.col("_trade")) & (F.col("_opened") < F.col("event_sequence"))
+    closes = events.filter(closing).join(opens, opened, "left").select("fold_id", "event_sequence", "low", F.col("_symbol").alias("symbol"), (-F.col("_notional")).alias("step"))
+    others = events.filter(~closing).select(
+        "fold_id", "event_sequence", "low", F.when(opening, F.col("symbol")).alias("symbol"), F.when(opening, F.col("position_notional")).alias("step")
     )
-    closes = moves.filter(F.col("event_type") == CLOSE).join(opens, ["fold_id", "trade_id"])
-    closes = closes.filter(F.col("_opened") < F.col("event_sequence")).select("fold_id", "event_sequence", F.col("_symbol").alias("symbol"), (-F.col("_notional")).alias("step"))
-    steps = moves.filter(F.col("event_type") == OPEN).select("fold_id", "event_sequence", "symbol", F.col("position_notional").alias("step"))
-    timeline = events.select("fold_id", "event_sequence", "equity").join(steps.unionByName(closes), ["fold_id", "event_sequence"], "left")
-    bucketed = prefix.ranged(timeline, ["fold_id"], ["event_sequence"])
-
-    positive = F.when(F.col("equity") > 0, F.col("equity"))
-    inside = Window.partitionBy("fold_id", prefix.BUCKET).orderBy("event_sequence", "symbol", "step")
-    backwards = Window.partitionBy("fold_id", prefix.BUCKET).orderBy(F.desc("event_sequence"), F.desc("symbol"), F.desc("step"))
-    cells = bucketed.groupBy("fold_id", prefix.BUCKET).agg(F.min(positive).alias("_low"), F.count(F.lit(1)).alias("_n"))
-    levels = _levels(cells)
-    rows = bucketed.select(
-        "fold_id", prefix.BUCKET, "event_sequence", "symbol", "step", positive.alias("_on0"), F.lag(positive).over(inside).alias("_off0"), F.row_number().over(inside).alias("_at"),
-        F.min(positive).over(inside.rowsBetween(Window.unboundedPreceding, -1)).alias("_head"),
-    )
-    rows = _doubled(_doubled(rows, inside, "_on", levels, F.lead), inside, "_off", levels, F.lag)
-    rows = rows.withColumn("_tail", F.min("_on0").over(backwards.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    rows = rows.filter(F.col("symbol").isNotNull()).select(
-        "fold_id", prefix.BUCKET, "event_sequence", "symbol", "step", "_at", "_head", "_tail",
-        F.array(*[f"_on{k}" for k in range(levels)]).alias("_on"), F.array(*[f"_off{k}" for k in range(levels)]).alias("_off"),
+    placed = prefix.ranged(others.unionByName(closes), ["fold_id"], ["event_sequence", "symbol", "step"])
+
+    at = F.col(prefix.AT)
+    inside = F.shiftright(at.bitwiseAND(F.lit((1 << 33) - 1)), cell)  # the cell within its bucket
+    sizes = placed.groupBy(prefix.BUCKET).agg(F.max(inside + 1).alias("_n"))
+    earlier = Window.orderBy(prefix.BUCKET).rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+    bases = sizes.select(prefix.BUCKET, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_base"))
+    rows = placed.join(F.broadcast(bases), prefix.BUCKET).select("fold_id", prefix.BUCKET, prefix.AT, (F.col("_base") + inside).alias("_cell"), "low", "symbol", "step")
+
+    own = Window.partitionBy(prefix.BUCKET, "fold_id", "symbol").orderBy(prefix.AT)
+    here = F.struct(at.alias("at"), F.col("_cell").alias("cell"))
+    moves = rows.filter(F.col("symbol").isNotNull()).withColumn("_next", F.lead(here).over(own))
+    moves = prefix.scan(moves, ["fold_id", "symbol"], [], sums={"_held": F.col("step")}, previous={"_was": here})
+    same_next, same_was = (F.coalesce(F.col(f"{c}.cell") == F.col("_cell"), F.lit(False)) for c in ("_next", "_was"))
+    before = F.col("_held") - F.col("step")
+    # the crossing rows are read twice
+    moves = stored(
+        moves.select(
+            "fold_id", "symbol", prefix.AT, "_cell", "low", F.col("_held").alias("held"),
+            F.when(same_next, F.col("_next.at") - at).alias("_on"),
+            F.when(same_was, at - F.col("_was.at")).alias("_back"), F.when(F.col("_was").isNotNull(), before).alias("before"), F.col("_was.cell").alias("_from"),
+        )
     )
 
-    line, back = Window.partitionBy("fold_id").orderBy(prefix.BUCKET), Window.partitionBy("fold_id").orderBy(F.desc(prefix.BUCKET))  # one row a bucket
-    over = _levels(cells.groupBy("fold_id").agg(F.count(F.lit(1)).alias("_n")))
-    spans = cells.select(
-        "fold_id", prefix.BUCKET, F.row_number().over(line).alias("_place"), F.lead("_low").over(line).alias("_next0"), F.lag("_low").over(line).alias("_last0"),
-        F.min("_low").over(back.rowsBetween(Window.unboundedPreceding, -1)).alias("_rest"),
-    )
-    spans = _doubled(_doubled(spans, line, "_next", over, F.lead), line, "_last", over, F.lag)
-    spans = spans.select(
-        "fold_id", prefix.BUCKET, "_place", "_rest", F.array(*[f"_next{k}" for k in range(over)]).alias("_next"), F.array(*[f"_last{k}" for k in range(over)]).alias("_last")
-    )
-    stretches = prefix.ordered(
-        rows.join(spans, ["fold_id", prefix.BUCKET]).drop(prefix.BUCKET), ["fold_id", "symbol"], ["event_sequence", "step"], sums={"_held": F.col("step")},
-        previous={"_was_at": F.col("_at"), "_was_place": F.col("_place"), "_was_tail": F.col("_tail"), "_was_on": F.col("_on"), "_was_next": F.col("_next")},
+    line = Window.partitionBy("fold_id", "_cell").orderBy(prefix.AT)
+    back = Window.partitionBy("fold_id", "_cell").orderBy(F.desc(prefix.AT)).rowsBetween(Window.unboundedPreceding, -1)
+    marks = rows.filter(F.col("symbol").isNull()).select("fold_id", prefix.AT, "_cell", "low")
+    each = moves.drop("symbol").unionByName(marks, allowMissingColumns=True)
+    each = _spread(
+        each, line, cell,
+        lambda k: F.when(_level(F.col("_on")) == k, F.col("held")), lambda k: F.when(_level(F.col("_back")) == k, F.col("before")),
     )
-
-    def lowest(forward: str, backward: str, count: Column) -> Column:
-        level = F.length(F.bin(count))  # 2 ** (level - 1) <= count
-        return F.when(count > 0, F.least(F.try_element_at(forward, level), F.try_element_at(backward, level)))
-
-    within = lowest("_was_on", "_off", F.col("_at") - F.col("_was_at"))
-    across = F.least("_was_tail", lowest("_was_next", "_last", F.col("_place") - F.col("_was_place") - 1), F.col("_head"))
-    low = F.when(F.col("_place") == F.col("_was_place"), within).otherwise(across)
-    shares = stretches.filter(F.col("_was_at").isNotNull()).select("fold_id", (F.greatest(F.lit(0.0), F.col("_held") - F.col("step")) / low).alias("share"))
-    ends = stretches.groupBy("fold_id", "symbol").agg(F.max_by(F.struct("_held", F.least("_tail", "_rest").alias("low")), F.struct("event_sequence", "_at")).alias("end"))
-    ends = ends.select("fold_id", (F.greatest(F.lit(0.0), F.col("end._held")) / F.col("end.low")).alias("share"))
-    every = events.select("fold_id", F.lit(0.0).alias("share"))
-    return shares.unionByName(ends).unionByName(every).groupBy("fold_id").agg(F.coalesce(F.max("share"), F.lit(0.0)).alias("maximum_per_symbol_exposure"))
+    tail = F.max(F.when(F.col("_on").isNull(), F.col("held"))).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    head = F.max(F.when(F.col("_back").isNull(), F.col("before"))).over(back)
+    shares = each.select("fold_id", "low", F.greatest("_top", tail, head).alias("_top"))
+
+    cells = rows.groupBy("fold_id", "_cell").agg(F.min("low").alias("low"))  # a row for each 2 ** cell rows
+    limits = cells.groupBy("fold_id").agg(F.max("_cell").alias("_end"), F.count(F.lit(1)).alias("_n"))
+    across = moves.filter(F.col("_from") < F.col("_cell") - 1).select("fold_id", (F.col("_from") + 1).alias("_cell"), (F.col("_cell") - F.col("_from") - 1).alias("_n"), F.col("before").alias("held"))
+    last = moves.groupBy("fold_id", "symbol").agg(F.max_by(F.struct("_cell", "held"), at).alias("last")).select("fold_id", "last.*")
+    after = last.join(F.broadcast(limits.select("fold_id", "_end")), "fold_id").filter(F.col("_cell") < F.col("_end"))  # limits: one row a fold
+    after = after.select("fold_id", (F.col("_cell") + 1).alias("_cell"), (F.col("_end") - F.col("_cell")).alias("_n"), "held")
+    runs = across.unionByName(after).filter(F.col("held") > 0).withColumn("k", _level(F.col("_n")))
+    second = F.col("_cell") + F.col("_n") - F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("k"))
+    runs = runs.select("fold_id", F.explode(F.array("_cell", second)).alias("_cell"), "k", "held")
+    levels = _levels(limits, "_n")
+    starts = runs.groupBy("fold_id", "_cell").agg(*[F.max(F.when(F.col("k") == k, F.col("held"))).alias(f"_start{k}") for k in range(levels)])
+    whole = _spread(cells.join(starts, ["fold_id", "_cell"], "left"), Window.partitionBy("fold_id").orderBy("_cell"), levels, lambda k: F.col(f"_start{k}"))
+    every = events.select("fold_id", F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("_top"))
+    shares = shares.unionByName(whole.select("fold_id", "low", "_top")).unionByName(every)
+    return shares.groupBy("fold_id").agg(F.coalesce(F.max(F.greatest(F.lit(0.0), F.col("_top")) / F.col("low")), F.lit(0.0)).alias("maximum_per_symbol_exposure"))
 
 
 def reconcile(events: DataFrame, reported: DataFrame | None = None) -> DataFrame:
@@ -214,7 +236,11 @@ def reconcile(events: DataFrame, reported: DataFrame | None = None) -> DataFrame
     under `DEFAULT_FOLD`.
     """
     named = F.coalesce(F.nullif(F.trim("fold_id"), F.lit("")), F.lit(DEFAULT_FOLD))
-    events = events.withColumn("fold_id", named)
+    read = [
+        "event_sequence", "timestamp", "event_type", "trade_id", "symbol", "position_notional", "fee", "slippage", "latency_cost", "total_open_exposure", "equity",
+        "concurrent_position_count",
+    ]
+    events = stored(events.select(named.alias("fold_id"), *read))  # read by all three
     out = totals(events, ["fold_id"]).join(drawdown(events, ["fold_id"]), "fold_id").join(symbol_exposure(events), "fold_id")
     if reported is not None:
         out = out.join(reported, "fold_id", "left")
