@@ -1,3 +1,5 @@
+import json
+import random
 import zlib
 
 import numpy as np
@@ -26,6 +28,36 @@ def test_encoder_is_exact(library, odd):
         assert [np.frombuffer(x, dtype="<u4").tolist() for x in own.encode(texts)] == [encoded(library, t) for t in texts]
 
 
+def test_pieces_put_together_are_exact(library):
+    rng = random.Random(3)
+    parts = ["Ab", "xy", "é", "ïßŁ", "ªµº", "à", "ɏ", "ɐ", "ж", "中", "\u0301", "7", "²", "_", ".", ",", "!!", "'", "'s", "n't", "\n", "\n", " ", " ", " ", "\t", "\u00a0", "\x1c", "<|endoftext|>", "<|", "…", "©", "Ġ", "Ã"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(60))) for _ in range(4000)]
+    own = tokens.Encoder(PATH)
+    assert own.bare
+    for _ in range(2):
+        assert [np.frombuffer(x, dtype="<u4").tolist() for i in range(0, len(texts), 500) for x in own.encode(texts[i : i + 500])] == [encoded(library, t) for t in texts]
+
+
+def test_only_new_words_are_encoded(monkeypatch):
+    """Punctuation and line ends around a word that was met do not make it a new one."""
+    own = tokens.Encoder(PATH)
+    asked = []
+    monkeypatch.setattr(own, "_ask", lambda texts, ask=own._ask: asked.extend(texts) or ask(texts))
+    own.encode(["one two three", "one! two, three..."])
+    asked.clear()
+    own.encode(["one two! two, one...\none three,", "one, three!"])
+    assert not asked
+
+
+def test_other_vocabularies_are_asked_whole(tmp_path, library):
+    """Pieces are put together only for the pre-tokenizer that cuts between them."""
+    about = json.loads(library.to_str())
+    for change in ({"pre_tokenizer": {**about["pre_tokenizer"], "use_regex": False}}, {"normalizer": {"type": "Lowercase"}}, {"added_tokens": [{**about["added_tokens"][0], "content": "wo,"}]}):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(about | change))
+        assert not tokens.Encoder(str(path)).bare
+
+
 def test_joined_crc32():
     raw = [b"abc", b"", b"x" * 3_000_000, b"\x00" * 10]
     assert tokens.joined_crc32([(len(r), zlib.crc32(r)) for r in raw]) == zlib.crc32(b"".join(raw))
