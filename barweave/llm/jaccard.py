@@ -6,17 +6,17 @@ dropped, or a pair of boxes with all their pairs, if that sum is under the overl
 
 1. Equal sets become one node (its copies are only attached again at the end).
 2. The root of the tree fans out by shingle: two sets that are similar enough share one of their first
-   n - ceil(0.8 n) + 1 shingles in any common order. The order puts shingles found to be frequent last, so that passages which many
-   documents share do not gather them. A fan-out group needs two nodes; groups with equal members are searched once.
+   n - ceil(0.8 n) + 1 shingles in any common order. The order is by hash, but shingles found to be frequent, or only shared by many different
+   sets, come last, the most common at the very end, so that neither passages nor chance phrases gather unlike documents in groups that grow with the table. A fan-out group needs two nodes; groups with equal members are searched once.
 3. Star round: each member is held against one member of its group. Point bound first, then the sets. Dense groups of
    near copies become one component here, with as many pairs as members.
 4. Search: in each group that still has more than one component, the points, folded to ``GROUPS`` coordinates, are packed into leaves by recursive halving on
-   the widest coordinate; boxes of leaves, then points, then long texts' points with all their coordinates, are bounded by their summed minima; pairs between components that survive are
+   the widest coordinate, after a cut by size; boxes of leaves whose sizes are close enough, then points, then long texts' points with all their coordinates, are bounded by their summed minima; pairs between components that survive are
    verified on the sets. Groups over ``TILE`` members are searched as pairs of tiles, so a task's memory stays bounded. One group in
    ``FIRST_GROUPS`` is searched first, all others after its links have joined components: no group is left out.
 5. Links become components by alternating large-star and small-star steps; component ids are the smallest document ids.
 
-Which shingles count as frequent is taken from all documents, but only changes how work is spread; the result is exact.
+Which shingles count as frequent or shared is taken from all documents, but only changes how work is spread; the result is exact.
 
 Edge cases: a null or empty text, or one of separators only, has no shingles and is its own component; fewer than 5 words are one
 shingle; rows that share an id are documents of their own; a null id never is a component id unless the whole component has none; extra
@@ -45,11 +45,19 @@ RUN = 1 << 21
 RECENT = 1 << 18
 HELD = 1 << 19
 SMALL = 48
+#: Earlier groups that a group's pairs are held against.
+MARKS = 1 << 13
 TILE = 4096
 #: One group in so many is searched before the others.
 FIRST_GROUPS = 16
 #: A shingle found in one document of so many goes last in the order: at most so many times the shingles of an average document do.
 FREQUENT = 256
+#: So does a shingle shared by one set of so many, and by ``LEAST`` sets at least, if its hash is under ``LOW``: the fan-out takes the lowest hashes, some fifth of a set.
+SHARED = 1 << 14
+LEAST = 16
+LOW = 3 << 61
+#: Low hashes that a task holds before it counts them.
+TALLY = 1 << 21
 #: Nodes whose ids are sent to every task; beyond that the ids are joined instead.
 SENT = 1 << 20
 
@@ -137,10 +145,21 @@ _SCAN = "doc_id bigint, key bigint, n bigint, node bigint, point binary, shingle
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and one for each shingle that is frequent in a run of documents."""
+    """A row for each document, one for each shingle that is frequent in a run of documents, and one for each of low hash that several sets of a task share."""
     names = [c.split()[0] for c in _SCAN.split(", ")]
     nothing = lambda n, kind: pa.nulls(n, kind)
     recent = Recent()
+    low, held, n_sets = [], 0, 0
+
+    def counted(value: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
+        k = len(value)
+        return pa.RecordBatch.from_arrays([nothing(k, pa.int64())] * 4 + [nothing(k, pa.binary()), pa.array(value.view(np.int64)), pa.array(found, pa.int64())], names)
+
+    def shared() -> pa.RecordBatch:
+        value, found = np.unique(np.concatenate(low), return_counts=True)
+        often = found >= max(2, n_sets // SHARED)
+        return counted(value[often], found[often])
+
     for batch in batches:
         for part in texts.parts(batch, size=RUN):
             sets = Sets(part.column("text"))
@@ -155,15 +174,22 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ],
                 names,
             )
-            value, found = np.unique(sets.values, return_counts=True)
+            below = sets.values < np.uint64(LOW)
+            value, found = np.unique(sets.values[~below], return_counts=True)
             often = found >= max(8, len(some) // 128)
             if often.any():
-                k = int(often.sum())
-                yield pa.RecordBatch.from_arrays([nothing(k, pa.int64())] * 4 + [nothing(k, pa.binary()), pa.array(value[often].view(np.int64)), pa.array(found[often])], names)
+                yield counted(value[often], found[often])
+            low.append(sets.values[below & np.array(fresh, dtype=bool)[sets.owner]])
+            held, n_sets = held + len(low[-1]), n_sets + sum(fresh)
+            if held > TALLY:
+                yield shared()
+                low, held, n_sets = [], 0, 0
+    if held:
+        yield shared()
 
 
 def _fan_out(frequent: np.ndarray, level: np.ndarray):
-    """Rows (shingle, node, n): the shingles of which similar sets share one."""
+    """Rows (shingle, node, size): the shingles of which similar sets share one; the size, and above its 32 bits the mean level of the set's shingles (in 1 / 4)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, recent = Lookup(frequent), Recent()
@@ -173,21 +199,25 @@ def _fan_out(frequent: np.ndarray, level: np.ndarray):
                 levels = np.zeros(len(sets.values), dtype=np.int8)
                 at, place = lookup.find(sets.values)
                 levels[at] = level[place]
-                loud = np.zeros(len(sets.sizes), dtype=bool)
-                loud[sets.owner[at]] = True
+                weight = np.bincount(sets.owner[at], weights=level[place], minlength=len(sets.sizes))
+                loud = weight > 0
+                size = sets.sizes + ((4 * weight // np.maximum(sets.sizes, 1)).astype(np.int64) << 32)
                 take = []
                 for d in np.flatnonzero(sets.sizes).tolist():
                     if not recent.new(int(sets.names[d])):
                         continue
                     i, n = int(sets.first[d]), int(sets.sizes[d])
                     p = n + -4 * n // 5 + 1  # n - ceil(0.8 n) + 1
-                    order = np.argsort(levels[i : i + n], kind="stable")[:p] if loud[d] else np.arange(p)
-                    take.append(i + order)
+                    if loud[d] and levels[i : i + p].any():
+                        quiet = np.flatnonzero(levels[i : i + n] == 0)[:p]
+                        take.append(i + (quiet if len(quiet) == p else np.argsort(levels[i : i + n], kind="stable")[:p]))
+                    else:
+                        take.append(np.arange(i, i + p))
                 if take:
                     take = np.concatenate(take)
                     owner = sets.owner[take]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(sets.values[take].view(np.int64)), pa.array(sets.names[owner]), pa.array(sets.sizes[owner], pa.int32())], ["shingle", "node", "n"]
+                        [pa.array(sets.values[take].view(np.int64)), pa.array(sets.names[owner]), pa.array(size[owner], pa.int64())], ["shingle", "node", "size"]
                     )
 
     return rows
@@ -200,9 +230,13 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _leaves(points: np.ndarray) -> list[np.ndarray]:
-    """Rows in leaves of at most LEAF, by halving on the coordinate with the widest spread."""
-    out, todo = [], [np.arange(len(points))]
+def _leaves(points: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """Rows in leaves of at most LEAF, by halving on the coordinate with the widest spread; first cut into runs of sizes within an eighth."""
+    order = np.argsort(size, kind="stable")
+    cuts, at = [], 0
+    while (at := int(np.searchsorted(size[order], size[order[at]] * 9 // 8, side="right"))) < len(order):
+        cuts.append(at)
+    out, todo = [], np.split(order, cuts)
     while todo:
         rows = todo.pop()
         if len(rows) <= LEAF:
@@ -216,31 +250,55 @@ def _leaves(points: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def search(points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows (i < j) whose bound reaches the overlap asked for, by boxes of leaves and then by points."""
-    leaves = _leaves(points)
+def search(points: np.ndarray, part: np.ndarray | None = None, met: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (i < j) whose bound reaches the overlap asked for, by boxes of leaves and then by points; of different parts only,
+    and with no bit of ``met`` in common, if these are given."""
     size = points.sum(axis=1)
+    leaves = _leaves(points, size)
     top = np.stack([points[r].max(axis=0) for r in leaves])
-    least = np.array([size[r].min() for r in leaves])
+    least, most = np.array([size[r].min() for r in leaves]), np.array([size[r].max() for r in leaves])
     for x, rows in enumerate(leaves):
-        need = 4 * (least[x] + least[x:])
-        near = x + np.flatnonzero(9 * np.minimum(top[x], top[x:]).sum(axis=1) >= need)
+        # the overlap asked for is at most the smaller size
+        near = x + np.flatnonzero((5 * most[x:] >= 4 * least[x]) & (5 * most[x] >= 4 * least[x:]))
+        near = near[9 * np.minimum(top[x], top[near]).sum(axis=1) >= 4 * (least[x] + least[near])]
         if not len(near):
             continue
         others = np.concatenate([leaves[y] for y in near])
         for i in rows.tolist():
             js = others[(others > i) | ~np.isin(others, rows)]
+            js = js[(5 * size[js] >= 4 * size[i]) & (5 * size[i] >= 4 * size[js])]
+            if part is not None:
+                js = js[part[js] != part[i]]
+            if met is not None and met.size:
+                js = js[~(met[js] & met[i]).any(axis=1)]
             js = js[9 * np.minimum(points[i], points[js]).sum(axis=1) >= 4 * (size[i] + size[js])]
             if len(js):
                 yield np.minimum(i, js), np.maximum(i, js)
 
 
+def marks(lists: pa.ListArray) -> np.ndarray:
+    """Bits of each list's values, as far as several lists have them, in words of 64; of many values the most common."""
+    owner = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy())
+    value, place, n = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    bit = np.full(len(value), -1)
+    often = np.argsort(-n, kind="stable")[:MARKS]
+    often = often[n[often] > 1]
+    bit[often] = np.arange(len(often))
+    out = np.zeros((len(lists), (len(often) + 63) // 64), dtype=np.uint64)
+    bits = bit[place]
+    owner, bits = owner[bits >= 0], bits[bits >= 0]
+    np.bitwise_or.at(out, (owner, bits >> 6), np.uint64(1) << (bits & 63).astype(np.uint64))
+    return out
+
+
 def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return texts.mixed(a.astype(np.int64).view(np.uint64)) ^ b.astype(np.int64).view(np.uint64)
 
 
 def _search_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by unit; in each unit, surviving pairs of different components (and of different tiles, if the unit has two) that were not tried before."""
+    """Rows sorted by unit; in each unit, surviving pairs of different components (and of different tiles, if the unit has two).
+
+    Pairs listed in a column ``tried`` are left out, and so are, in units over SMALL, pairs whose lists in a column ``earlier`` share a unit: they meet there."""
     held: pa.Table | None = None
 
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -256,12 +314,15 @@ def _search_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         def good(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return (part[i] != part[j]) & (~two_tiles[i] | (tile[i] != tile[j]))
 
-        tried = rows.column("tried").combine_chunks()
-        before = pair_key(np.repeat(node, tried.value_lengths().fill_null(0).to_numpy()), tried.flatten().to_numpy())
+        before = np.zeros(0, dtype=np.uint64)
+        if "tried" in rows.column_names:
+            tried = rows.column("tried").combine_chunks()
+            before = pair_key(np.repeat(node, tried.value_lengths().fill_null(0).to_numpy()), tried.flatten().to_numpy())
 
         def untried(both: np.ndarray) -> pa.RecordBatch:
             a, b = np.minimum(node[both[:, 0]], node[both[:, 1]]), np.maximum(node[both[:, 0]], node[both[:, 1]])
-            both = both[~np.isin(pair_key(a, b), before)]
+            _, once = np.unique(np.stack([a, b]), axis=1, return_index=True)
+            both = both[once[~np.isin(pair_key(a, b)[once], before)]]
             fine = np.flatnonzero(dimensions(n[both]).min(axis=1) > GROUPS)
             keep = np.ones(len(both), dtype=bool)
             for k in fine.tolist():  # at full resolution
@@ -294,7 +355,8 @@ def _search_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for s, e in zip(start.tolist(), stop.tolist()):
             if e - s > SMALL:
                 own = coarse(column.slice(s, e - s))
-                for i, j in search(own):
+                met = marks(rows.column("earlier").combine_chunks().slice(s, e - s)) if "earlier" in rows.column_names else None
+                for i, j in search(own, part[s:e], met):
                     keep = good(s + i, s + j)
                     found.append(np.stack([s + i[keep], s + j[keep]], axis=1))
                     size += len(found[-1])
@@ -368,17 +430,22 @@ class Join:
         #: one row a distinct set, with its smallest document
         self.nodes = stored(scanned.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"), F.first("n").alias("n"), F.max("point").alias("point")))
         often = scanned.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("found").alias("found"))
-        often = often.where(F.col("found") * FREQUENT >= self.rows.count()).collect()
-        value = np.array([r.shingle for r in often], dtype=np.int64).view(np.uint64)
+        rows = self.rows.count()
+        low = F.col("shingle").between(0, LOW - 1) & (F.col("found") >= LEAST) & (F.col("found") * SHARED >= rows)
+        often = often.where(low | (F.col("found") * FREQUENT >= rows)).toPandas()  # at most SHARED times the low hashes of an average set, and FREQUENT times its shingles
+        value = often["shingle"].to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(value)
-        level = np.log2(np.array([r.found for r in often], dtype=float) + 1).astype(np.int8) + 1
-        self.fan_out = self.docs.select("text").mapInArrow(_fan_out(value[order], level[order]), "shingle bigint, node bigint, n int")
+        level = np.log2(often["found"].to_numpy().astype(float) + 1).astype(np.int8) + 1
+        self.fan_out = self.docs.select("text").mapInArrow(_fan_out(value[order], level[order]), "shingle bigint, node bigint, size bigint")
 
     def members(self) -> DataFrame:
         """shingle, node, n, hub, of the fan-out groups with two nodes or more, one group for each set of members."""
         group = Window.partitionBy("shingle")
         # one shuffle of the rows: groups and members are found where they meet
-        shared = self.fan_out.select("*", F.min("node").over(group).alias("hub"), F.max("node").over(group).alias("high")).where("hub <> high").drop("high")
+        # the hub has the most of what many sets share: of edited copies of one text, the least edited
+        hub = F.max(F.struct(F.shiftright("size", 32).alias("weight"), "node")).over(group)["node"]
+        shared = self.fan_out.select("*", F.min("node").over(group).alias("low"), F.max("node").over(group).alias("high")).where("low <> high")
+        shared = shared.select("shingle", "node", F.col("size").bitwiseAND(F.lit(2**32 - 1)).cast("int").alias("n"), hub.alias("hub"))
         found = stored(shared.dropDuplicates(["shingle", "node"]))
         same = found.groupBy("shingle").agg(F.count(F.lit(1)).alias("members"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h"), F.min("hub").alias("hub"))
         one = same.groupBy("members", "h", "hub").agg(F.min("shingle").alias("shingle"))
@@ -405,15 +472,17 @@ class Join:
         part = components(links)
         labelled = members.where("members > 2").join(part, "node", "left").withColumn("component", F.coalesce("component", "node"))
         open_ = labelled.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
-        left = labelled.join(open_, "shingle").select("shingle", "node", "component", "n", "members").join(self.nodes.select("node", "point"), "node")
-        before = tried.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("tried"))  # a node's partners that reach the bound
-        left = left.join(before, "node", "left")
+        left = labelled.join(open_, "shingle").select("shingle", "node", "component", "n", "members")
+        # copies of one text meet in many large groups: there a pair is looked at in the first of them only
+        large = left.where(F.col("members") > SMALL).groupBy("node").agg(F.collect_list("shingle").alias("large"))
+        left = left.join(self.nodes.select("node", "point"), "node").join(large, "node", "left")
+        earlier = F.when(F.col("members") > SMALL, F.filter("large", lambda s: s < F.col("shingle")))
         tiles = F.ceil(F.col("members") * 2 / TILE)
         tile = F.when(F.col("members") > TILE, F.pmod(F.xxhash64("node"), tiles)).otherwise(F.lit(0)).cast("int")
         spread = left.withColumn("tile", tile).withColumn("other", F.explode(F.when(F.col("members") > TILE, F.sequence(F.lit(0), (tiles - 1).cast("int"))).otherwise(F.array(F.lit(0)))))
-        units = spread.select(F.xxhash64("shingle", F.least("tile", "other"), F.greatest("tile", "other")).alias("unit"), "node", "component", F.col("n").cast("bigint").alias("n"), "tile", "point", "tried")
+        units = spread.select(F.xxhash64("shingle", F.least("tile", "other"), F.greatest("tile", "other")).alias("unit"), "node", "component", F.col("n").cast("bigint").alias("n"), "tile", "point", earlier.alias("earlier"))
         n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        return units.repartition(n, "unit").sortWithinPartitions("unit", "n").mapInArrow(_search_groups, "a bigint, b bigint").distinct()
+        return units.repartition(n, "unit").sortWithinPartitions("unit", "n").mapInArrow(_search_groups, "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti")
 
     def links(self) -> DataFrame:
         """Verified pairs that join all of each component; pairs within what is joined already are left out."""

@@ -223,3 +223,65 @@ def test_fan_out_goes_through_one_shuffle(make, odd, monkeypatch):
     plans.clear()
     join.members()
     assert sum(p.count("MapInArrow") for p in plans) == 1
+
+
+def test_common_phrases_gather_no_unlike_documents(make):
+    """Phrases that one document in ten has, in no run of documents frequent, come last in the order: no group has all documents with a phrase."""
+    rng = random.Random(12)
+    phrases = [[f"ph{i}w{j}" for j in range(9)] for i in range(20)]
+    docs = []
+    for k in range(400):
+        own = [f"d{k}w{j}" for j in range(80)]
+        for phrase in rng.sample(phrases, 2):
+            at = rng.randrange(len(own))
+            own[at:at] = phrase
+        docs.append((k, " ".join(own)))
+    docs += [(400 + k, t.replace(f"d{k}w7 ", "changed ")) for k, t in docs[:30]]
+    join = jaccard.Join(make(docs, 12))
+    members = join.members().groupBy("shingle").count().collect()
+    assert members and max(r["count"] for r in members) < 16
+    check(make, docs)
+
+
+def test_least_edited_copy_is_the_hub(make):
+    """Copies edited far apart join in the star round, through the copy that all of them come from."""
+    rng = random.Random(13)
+    base = [f"b{j}" for j in range(150)]
+    docs = [(0, " ".join(base))] + [(k, " ".join(near(rng, base, 3))) for k in range(1, 200)]
+    join = jaccard.Join(make(docs))
+    members = join.members()
+    hubs = {r.hub for r in members.select("hub", "members").distinct().collect() if r.members > 150}
+    assert hubs == {r.node for r in join.nodes.where("doc_id = 0").collect()}
+    check(make, docs)
+
+
+def test_pairs_of_large_groups_meet_once(monkeypatch):
+    """Nodes that share several large groups are held against each other in the first one only; all pairs are found."""
+    monkeypatch.setattr(jaccard, "SMALL", 5)
+    rng = np.random.RandomState(14)
+    base = rng.poisson(2, jaccard.GROUPS)
+    points = [np.maximum(0, base - (rng.rand(jaccard.GROUPS) < 0.1)) for _ in range(40)]
+    groups = [np.sort(rng.choice(40, 20, replace=False)) for _ in range(6)]
+    rows = [(g, k, int(points[k].sum()), [h for h in range(g) if k in groups[h]]) for g, own in enumerate(groups) for k in own.tolist()]
+    rows.sort(key=lambda r: (r[0], r[2]))
+    table = pa.table(
+        {
+            "unit": pa.array([r[0] for r in rows], pa.int64()), "node": pa.array([r[1] for r in rows], pa.int64()), "component": pa.array([r[1] // 2 for r in rows], pa.int64()), "n": pa.array([r[2] for r in rows], pa.int64()),
+            "tile": pa.array([0] * len(rows), pa.int32()), "point": pa.array([b"\x01" + points[r[1]].astype("u1").tobytes() for r in rows]), "earlier": pa.array([r[3] or None for r in rows], pa.list_(pa.int64())),
+        }
+    )
+
+    def pairs(t):
+        return [(a, b) for x in jaccard._search_groups(iter(t.to_batches())) for a, b in zip(*(c.to_pylist() for c in x.columns))]
+
+    once, often = pairs(table), pairs(table.drop_columns("earlier"))
+    assert len(set(once)) == len(once) and set(once) == set(often) and len(set(often)) > 100
+    seen = []
+    search = jaccard.search
+    monkeypatch.setattr(jaccard, "search", lambda *a: (seen.append((i, j)) or (i, j) for i, j in search(*a)))
+    pairs(table.drop_columns("earlier"))
+    many, seen[:] = sum(len(i) for i, _ in seen), []
+    pairs(table)
+    assert sum(len(i) for i, _ in seen) == len(once) < many
+    monkeypatch.setattr(jaccard, "MARKS", 1)
+    assert set(pairs(table)) == set(often)
