@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import MS_PER_DAY, safe_ratio
 from ..session import stored
-from . import accounting, cuts, quantiles
+from . import accounting, cuts, prefix, quantiles
 
 # Quantiles and top counts that enter an adaptive grid, and the threshold of 'no trade'.
 GRID_QUANTILES = (0.50, 0.60, 0.70, 0.80, 0.85, 0.90, 0.925, 0.95, 0.975, 0.99, 0.995)
@@ -97,27 +97,35 @@ def sweep(
 
     A column expected_value gives avg_expected_value. `tails` adds top_1pct_net and top_decile_net, `short_history_days` the share of
     rows whose symbol was first seen less than that before, `drawdown_order` the worst fall from the peak in that order.
+    The narrow rows are written once, in that order if there is one: what `df` joins and shuffles is not done again for each table.
     """
     ts = sorted(set(thresholds))
     passed = sum((F.when(F.col(score) >= t, 1).otherwise(0) for t in ts), F.lit(0))
-    rows = df.withColumn("_bin", passed)
+    rows = df.withColumns({"_bin": passed, "_drag": (F.col("gross") - F.col("net")) * F.col("position_size")})
+    narrow = dict.fromkeys([*keys, "symbol", "trade_day", "label", score, "net", "profit", "_drag", "_bin"])
+    narrow |= dict.fromkeys(c for c in ("expected_value",) if c in df.columns)
+    narrow |= dict.fromkeys(c for c in ("open_time", "row_id") if (tails or (c == "open_time" and short_history_days is not None)) and c in df.columns)
+    if drawdown_order is not None:
+        rows = prefix.ranged(rows.select(*(narrow | dict.fromkeys(drawdown_order))), keys, drawdown_order, keep=list(narrow))
+    else:
+        rows = stored(rows.select(*narrow))
     steps = F.explode(F.sequence(F.lit(1), F.col("_bin"))).alias("i")
     won = F.col("net") > 0
 
     expected = F.col("expected_value") if "expected_value" in df.columns else F.lit(None).cast("double")
-    young = F.lit(0)
+    young, aged = F.lit(0), rows
     if short_history_days is not None:
-        first = df.groupBy("symbol").agg(F.min("open_time").alias("_first"))
-        rows = rows.join(first, "symbol")
+        first = stored(rows.groupBy("symbol").agg(F.min("open_time").alias("_first")))  # stored, so that Spark sees its size
+        aged = rows.join(first, "symbol", "left")
         young = (F.col("open_time") - F.col("_first") < short_history_days * MS_PER_DAY).cast("int")
-    cells = rows.groupBy(*keys, "symbol", "_bin").agg(
+    cells = aged.groupBy(*keys, "symbol", "_bin").agg(
         F.sum(expected).alias("expected"),
         F.sum(young).alias("young"),
         F.count(F.lit(1)).alias("trades"),
         F.count_if(F.col("label") == 1).alias("tp"),
         F.sum("profit").alias("profit"),
         F.sum("net").alias("net"),
-        F.sum((F.col("gross") - F.col("net")) * F.col("position_size")).alias("cost_drag"),
+        F.sum("_drag").alias("cost_drag"),
         F.count_if(won).alias("winners"),
         F.sum(F.when(won, F.col(score)).otherwise(0.0)).alias("winner_score"),
         F.sum(F.when(won, 0.0).otherwise(F.col(score))).alias("loser_score"),
@@ -143,14 +151,14 @@ def sweep(
     days = rows.filter("_bin > 0").groupBy(*keys, "trade_day", "_bin").agg(F.count(F.lit(1)).alias("n"))
     days = days.select(*keys, "trade_day", "n", steps).groupBy(*keys, "i", "trade_day").agg(F.sum("n").alias("n"))
     days = days.groupBy(*keys, "i").agg(F.count(F.lit(1)).alias("active_days"), F.max("n").alias("max_trades_in_day"))
-    positives = cells.groupBy(*keys).agg(F.sum("tp").alias("_pos"), F.sum("trades").alias("_rows"))
+    positives = rows.groupBy(*keys).agg(F.count_if(F.col("label") == 1).alias("_pos"), F.count(F.lit(1)).alias("_rows"))
     labels = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(t).alias("threshold")) for i, t in enumerate(ts, 1)]))
     frame = positives.select(*keys, "_pos", "_rows", labels.alias("g")).select(*keys, "_pos", "_rows", "g.*")
     out = frame.join(totals, [*keys, "i"], "left").join(days, [*keys, "i"], "left")
     zero = [*sums, "_top1", "_top3", "_gain1", "_gain3", "_gains", "active_days", "max_trades_in_day"]
     more = []
     if tails:
-        out = out.join(_tails(df, totals, score, keys, len(ts)), [*keys, "i"], "left")
+        out = out.join(_tails(rows, totals, score, keys, len(ts)), [*keys, "i"], "left")
         more += ["top_1pct_net", "top_decile_net"]
     if drawdown_order is not None:
         falls = accounting.nested_drawdowns(rows, keys, drawdown_order, "_bin", len(ts))

@@ -62,3 +62,22 @@ def test_sweep_repeats_no_row_and_orders_no_exploded_rows(spark, monkeypatch):
         for name, share in (("top_1pct_net", 0.01), ("top_decile_net", 0.1)):
             n = max(1, -int(-len(hits) * share // 1))
             assert abs(g[name] - sum(r[6] for r in best[:n]) / n) < 1e-9
+
+
+def test_sweep_reads_its_rows_once(spark):
+    """Whatever the sweep adds, the rows' source is read when they are written, and by none of its tables."""
+    df = spark.range(200).selectExpr(
+        "cast(id % 2 as int) AS fold", "concat('S', id % 7) AS symbol", "concat('d', id % 9) AS trade_day", "id * 43200000 AS open_time", "cast(id AS string) AS row_id", "cast(id % 2 AS int) AS label",
+        "id % 5 / 100 - 0.02 AS net", "id % 5 / 100 AS gross", "id * 1.5D AS position_size", "id % 5 * 10 - 20D AS profit", "id % 11 / 10 AS p",
+    )
+    for more in ({}, {"short_history_days": 50, "drawdown_order": ["open_time", "symbol", "row_id"]}, {"tails": True}):
+        got = thresholds.sweep(df, [0.2, 0.5], "p", ["fold"], **more)
+        assert "Range (0, 200" not in got._jdf.queryExecution().optimizedPlan().toString()
+        rows = df.collect()
+        for g in got.collect():
+            hits = [r for r in rows if r.fold == g.fold and r.p >= g.threshold]
+            assert g.trades == len(hits) and g.active_days == len({r.trade_day for r in hits})
+            assert abs(g.cost_drag - sum((r.gross - r.net) * r.position_size for r in hits)) < 1e-6
+            if more.get("short_history_days"):
+                first = {s: min(r.open_time for r in rows if r.symbol == s) for s in {r.symbol for r in rows}}
+                assert abs(g.short_history_share - sum(r.open_time - first[r.symbol] < 50 * 86_400_000 for r in hits) / len(hits)) < 1e-9
