@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barweave.operators import prefix, quantiles
+from barweave.operators import accounting, prefix, quantiles
 
 
 def sample(n=3000, seed=1):
@@ -78,3 +78,19 @@ def test_ranks_of_several_scopes_order_the_rows_once(spark, monkeypatch):
         whole = Window.partitionBy(c)
         want = want.withColumn(f"r_{c}", F.row_number().over(whole.orderBy(*order))).withColumn(f"n_{c}", F.count(F.lit(1)).over(whole))
     assert {r.id: tuple(r) for r in got} == {r.id: tuple(r) for r in want.collect()}
+
+
+def test_running_highs_shuffle_their_rows_once(spark):
+    """The totals and the rows of a running maximum of sums share a shuffle, which carries the rows and not a number for each sum."""
+    df = spark.range(300).selectExpr("id % 3 AS k", "id AS at", "id % 5 AS level", "id % 7 - 3D AS profit")
+    got = accounting.nested_drawdowns(df, ["k"], ["at"], "level", 4)
+    rows = got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan and plan.count("FileScan") == 1
+    for r in rows:
+        equity, peak, fall = 10_000.0, 10_000.0, 0.0
+        for x in (x for x in range(300) if x % 3 == r.k and x % 5 >= r.i):
+            equity += x % 7 - 3
+            peak = max(peak, equity)
+            fall = max(fall, (peak - equity) / peak)
+        assert abs(r.max_drawdown - fall) < 1e-12
