@@ -94,3 +94,33 @@ def test_entries_travel_in_few_bytes():
     assert len(body) < 7 * n and (backoff._open(body, n) == np.stack(entries)).all()
     few = [np.array(x) for x in ([-(2**63), 2**63 - 1], [2**63 - 1, -5], [0, 1], [1, 1 << 40], [1, 4])]
     assert (backoff._open(backoff._press(few), 2) == np.stack(few)).all()
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+@pytest.mark.parametrize("common", [1, 60, 1 << 20])
+def test_orders(make, odd, common, order):
+    """Runs of three and four words are scored by their counts; shorter documents by the count of all their words in a row."""
+    rng = random.Random(9)
+    docs = [(k, " ".join(f"w{int(rng.paretovariate(0.9))}" for _ in range(rng.choice([0, 1, 2, 3, 4, 40])))) for k in range(150)]
+    for some in (docs, odd):
+        low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        words = [(t or "").translate(low).encode().split() for _, t in some]
+        counts = [Counter(tuple(w[i : i + k]) for w in words for i in range(len(w) - k + 1)) for k in range(order + 1)]
+        total = sum(counts[1].values())
+        want = []
+        for (d, _), w in zip(some, words):
+            s = 0.0
+            for i in range(len(w)):
+                run = tuple(w[max(0, i - order + 1) : i + 1])
+                s += math.log10(counts[len(run)][run] / (counts[len(run) - 1][run[:-1]] if len(run) > 1 else total))
+            want.append((d, len(w), s))
+        key = lambda x: (str(x[0]), x[1], round(x[2], 3))
+        got = sorted(((r.doc_id, r.n_words, r.log_score) for r in backoff.report(make(some), common=common, order=order).collect()), key=key)
+        for g, w in zip(got, sorted(want, key=key), strict=True):
+            assert g[:2] == w[:2] and abs(g[2] - w[2]) < 1e-4 * max(1, w[1] / 1000)
+
+
+def test_orders_that_are_not_offered(make):
+    for more in ({"order": 1}, {"order": 3, "seen": 2}, {"order": 3, "share": 100}):
+        with pytest.raises(ValueError):
+            backoff.report(make([(1, "a b")]), **more)
